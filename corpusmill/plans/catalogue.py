@@ -1,0 +1,7 @@
+"""The queries over the driver tables, by name, and SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "scan_scores"

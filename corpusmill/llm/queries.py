@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, linededup, toxicity
+from . import bpe, decontaminate, html, jaccard, linededup, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,10 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+def op4_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -52,12 +56,26 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-QUERIES = {f.__name__: f for f in (op2_html_main_text, op5_byte_bpe, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
+QUERIES = {f.__name__: f for f in (op2_html_main_text, op4_jaccard_rtree, op5_byte_bpe, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op4_jaccard_rtree": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + least(4, len(w)) - 1) AS s
+  FROM w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, hash(s) AS h FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM h AS a JOIN h AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach AS r JOIN edge AS e ON r.b = e.a),
+root AS (SELECT a AS doc_id, min(b) AS r FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(r, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)""",
     "op8_benchmark_contamination": f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 win AS (

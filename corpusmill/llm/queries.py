@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, linededup, toxicity
+from . import bpe, decontaminate, html, jaccard, linededup, suffixdedup, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", *suffixdedup.digests())
+
+
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     text = F.col("main")["text"]
@@ -56,7 +61,7 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-QUERIES = {f.__name__: f for f in (op2_html_main_text, op4_jaccard_rtree, op5_byte_bpe, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_main_text, op4_jaccard_rtree, op5_byte_bpe, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

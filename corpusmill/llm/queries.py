@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, linededup, suffixdedup, toxicity
+from . import ann, bpe, decontaminate, html, jaccard, linededup, suffixdedup, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *bpe.digests())
 
 
+def op6_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op8_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -61,7 +66,7 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_main_text, op4_jaccard_rtree, op5_byte_bpe, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_main_text, op4_jaccard_rtree, op5_byte_bpe, op6_adaptive_scan_ann, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

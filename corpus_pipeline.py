@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs.filter(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
     return toxicity.score(docs, model).filter(F.col("toxicity")["score"] < 0.5).select(*COLUMNS)
 
 

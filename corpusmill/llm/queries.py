@@ -52,7 +52,7 @@ def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs.filter(~held_out("doc_id")), table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
     got = toxicity.score(docs, model)
     s = F.col("toxicity")
     return got.select(

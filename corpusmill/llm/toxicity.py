@@ -136,21 +136,23 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 300, rate: float
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, rows: int, mb: int) -> DataFrame:
-    """At most ``rows`` labelled texts of each class, the first by a hash of their id; none with more than their share of ``mb``."""
-    each = mb * 1_000_000 // max(1, 2 * rows)
+    """The texts of at most ``rows`` ids of each class, the first by a hash of the id; overlong texts are left out.
+
+    Ids are chosen from the labels alone, so what is broadcast to the documents is ``2 * rows`` ids, whatever the input.
+    """
+    most = 16 * (mb * 1_000_000 // max(1, 2 * rows))
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.max("__y").alias("__y"))
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).filter(F.col("__text").isNotNull())
-    near = texts.filter(F.length("__text") <= 16 * each).join(known, "__id")
-    parts = [near.filter(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(rows) for c in (0, 1)]
-    return parts[0].unionAll(parts[1])
+    chosen = [known.filter(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(rows) for c in (0, 1)]
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).filter(F.length("__text") <= most)
+    return texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "__id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, mb: int = SAMPLE_MB) -> Model:
     """A model from a bounded sample of labelled documents.
 
     Rows with a null id, text or label, or a label other than 0 and 1, are left out; of repeated labels of one id the
-    larger counts. The sample is the only data that reaches the driver: twice ``rows`` texts at most, cut off in hash order
-    once they pass ``mb``.
+    larger counts. The sample is the only data that reaches the driver: the texts of twice ``rows`` ids at most, cut off in
+    hash order once they pass ``mb``.
     """
     got, total = [], 0
     chosen = sample(docs, labels, doc_id=doc_id, text=text, label=label, rows=rows, mb=mb)

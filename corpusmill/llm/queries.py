@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html, jaccard, linededup, suffixdedup, toxicity
+from . import ann, bpe, decontaminate, html, jaccard, licences, linededup, suffixdedup, surrogates, toxicity
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: The key of the surrogates; a deployment brings its own.
+SURROGATE_KEY = "corpusmill"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,16 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+def op3_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licences.scan(docs, licences.train(docs)).drop("text")
+    named = F.array_sort(F.array_distinct(F.filter(F.col("licences")["family"], lambda f: f != "unknown")))
+    return got.select(
+        "doc_id", F.size("licences").cast("long").alias("n_paragraphs"), F.array_join(named, ",").alias("families"),
+        F.array_join(F.transform("licences", lambda x: x["line"].cast("string")), ",").alias("lines"), F.array_max(F.col("licences")["probability"]).alias("probability"),
+    )
+
+
 def op4_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -38,6 +50,13 @@ def op6_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    got = surrogates.replace_private(docs, SURROGATE_KEY, text="original")
+    p = F.col("private")
+    return got.select("doc_id", F.size(p["entities"]).cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(p["kinds"])), ",").alias("kinds"), p["text"].alias("text"))
+
+
 def op8_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -66,7 +85,7 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_main_text, op4_jaccard_rtree, op5_byte_bpe, op6_adaptive_scan_ann, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_main_text, op3_licence_classifier, op4_jaccard_rtree, op5_byte_bpe, op6_adaptive_scan_ann, op7_pii_surrogates, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

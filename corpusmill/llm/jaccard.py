@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SpanHasher, mix, packs, small_batches, written
@@ -69,14 +69,19 @@ def intervals(num: int, den: int, most: int) -> list[tuple[int, int, int, int]]:
         after = max(low + 1, low * 17 // 10)
         high = (after - 1) * den // num
         k = (den - num) * (after - 1 + high) // (den + num)
-        out.append((low, high, k, k + max(2, -(-k // 4))))
+        out.append((low, high, k, k + max(2, -(-3 * k // 10))))
         low = after
     return out
 
 
-def block_keys(s: np.ndarray, scheme: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """One key for each block of each interval that the set's size is in."""
-    out = []
+def block_keys(s: np.ndarray, scheme: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """One key for each block of each interval that the set's size is in, and how they may be thinned.
+
+    Linked sets have ``m - k`` equal blocks at least. Blocks that are empty get no key, unless there are so many that those equal may
+    all be empty. Of the others ``m - k`` less the empty ones are equal at least, so each set can do without one fewer of its keys, as long as
+    both leave out those that come last in one order of all keys. The second array has the interval times 2^16, plus that number.
+    """
+    out, thin = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for c, (low, high, k, m) in enumerate(scheme):
         if low <= len(s) <= high:
             block = ((mix(s ^ np.uint64(0xA5A5)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -84,11 +89,13 @@ def block_keys(s: np.ndarray, scheme: list[tuple[int, int, int, int]]) -> np.nda
             cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
             sums = np.add.reduceat(mix(s ^ np.uint64(0x5A5A5A))[order], cuts)
             at = block[order][cuts]
-            if m - len(at) >= m - k:  # so many empty blocks that those in common may be all that is equal
+            spare = m - k - (m - len(at)) - 1
+            if spare < 0:
                 empty = np.setdiff1d(np.arange(m), at)
-                at, sums = np.concatenate((at, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
+                at, sums, spare = np.concatenate((at, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64))), 0
             out.append(mix(sums + mix(np.uint64((c + 1) << 32) + at.astype(np.uint64))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            thin.append(np.full(len(at), c << 16 | min(spare, 0xFFFF)))
+    return np.concatenate(out), np.concatenate(thin)
 
 
 def _shingled(batch: pd.DataFrame, words: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -178,7 +185,8 @@ def similar_groups(
         for batch in batches:
             for ids, sets in _shingled(batch, words):
                 got = [block_keys(s, scheme) for s in sets]
-                yield pd.DataFrame({"key": np.concatenate(got).astype(np.int64), "id": np.repeat(ids, [len(g) for g in got])})
+                keys_, thin = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+                yield pd.DataFrame({"key": keys_.astype(np.int64), "id": np.repeat(ids, [len(g) for g, _ in got]), "thin": thin})
 
     sized = written(d.mapInPandas(measure, f"id {kind}, n long, h long"), "sets")
     known = sized.filter("id is not null and n > 0")
@@ -186,9 +194,13 @@ def similar_groups(
     rep_of = known.join(classes, ["n", "h"]).select("id", "rep", "n").distinct()
     rep_of = written(rep_of, "classes")
 
-    keyed = d.filter("id is not null").mapInPandas(keys, f"key long, id {kind}")
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
-    near = keyed.join(hubs, "key").filter("id <> hub").select("hub", "id").distinct()
+    keyed = d.filter("id is not null").mapInPandas(keys, f"key long, id {kind}, thin int")
+    common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = Window.partitionBy("id", F.shiftright("thin", 16)).orderBy(F.desc("n"), "key")
+    kept = keyed.join(common, "key").withColumn("nth", F.row_number().over(often)).filter(F.col("nth") > F.col("thin").bitwiseAND(0xFFFF)).select("key", "id")
+    kept = written(kept, "keys")
+    hubs = kept.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
+    near = kept.join(hubs, "key").filter("id <> hub").select("hub", "id").distinct()
     to_rep = rep_of.select("id", "rep")
     ties = near.join(to_rep, "id").select("hub", F.col("rep").alias("b")).join(to_rep.withColumnRenamed("id", "hub"), "hub").select(F.col("rep").alias("a"), "b").filter("a <> b")
     roots = components(ties, "a", "b")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,13 +30,22 @@ class Pattern:
         body = java(self.body) if self.regex else re.escape(self.body)
         return ("(?di)" if self.nocase else "(?d)") + body
 
-    def found(self, text: Column) -> Column:
-        return text.contains(self.body) if not self.regex and not self.nocase else text.rlike(self.source())
+    def may_match(self, text: Column, low: Column) -> Column | None:
+        """A cheap test that every match passes: the text has the pattern's longest plain part. Null if it has none."""
+        part = self.body if not self.regex else literal_part(self.body)
+        if len(part) < 2:
+            return None
+        return low.contains(part.lower()) if self.nocase else text.contains(part)
 
-    def at(self, text: Column) -> Column:
+    def at(self, text: Column, low: Column) -> Column:
         """Position of the first match from 1, or null."""
-        where = F.locate(self.body, text) if not self.regex and not self.nocase else F.regexp_instr(text, F.lit(self.source()))
-        return F.nullif(where.cast("int"), F.lit(0))
+        if not self.regex and not self.nocase:
+            return F.nullif(F.locate(self.body, text), F.lit(0))
+        where, may = F.nullif(F.regexp_instr(text, F.lit(self.source())).cast("int"), F.lit(0)), self.may_match(text, low)
+        return where if may is None else F.when(may, where)
+
+    def found(self, text: Column, low: Column) -> Column:
+        return self.at(text, low).isNotNull()
 
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.source()))
@@ -58,16 +66,46 @@ class Rule:
     prose_only: bool = False
     when: object = field(default=None)
 
-    def matches(self, text: Column) -> Column:
-        hit = {p.name: p.found(text) for p in self.patterns}
-        return self.when(hit, {p.name: p for p in self.patterns}, text) if self.when else reduce(lambda a, b: a | b, hit.values())
+    def position(self, text: Column, low: Column) -> Column:
+        """Of the earliest match, or of the first pattern in order that matches if the rule is for prose; null without a match.
+
+        ``low`` is the text in lower case.
+        """
+        spots = [p.at(text, low) for p in self.patterns]
+        first = spots[0] if len(spots) == 1 else F.coalesce(*spots) if self.prose_only else F.least(*spots)
+        if self.when is None:
+            return first
+        return F.when(self.when({p.name: p.found(text, low) for p in self.patterns}, {p.name: p for p in self.patterns}, text), F.coalesce(first, F.lit(1)))
+
 
-    def position(self, text: Column) -> Column:
-        """Of the earliest match; for prose rules, of the first pattern in order that matches."""
-        spots = [p.at(text) for p in self.patterns]
-        if len(spots) == 1:
-            return F.coalesce(spots[0], F.lit(1))
-        return F.coalesce(F.coalesce(*spots) if self.prose_only else F.least(*spots), F.lit(1))
+def literal_part(body: str) -> str:
+    """The longest run of characters that every match of a regular expression holds as they stand; empty if none is sure."""
+    runs, run, i, depth = [], "", 0, 0
+    while i < len(body):
+        c = body[i]
+        if depth == 0 and c == "|":
+            return ""
+        if c == "[":
+            i = body.index("]", i + 2)
+            runs, run = [*runs, run], ""
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            runs, run = [*runs, run], ""
+        elif depth == 0 and c in "?*{":
+            runs, run = [*runs, run[:-1]], ""
+            i = body.index("}", i) if c == "{" else i
+        elif depth == 0 and c == "\\" and not body[i + 1].isalnum():
+            run += body[i + 1]
+            i += 1
+        elif c == "\\":
+            runs, run = [*runs, run], ""
+            i += 1
+        elif c in "+.^$":
+            runs, run = [*runs, run], ""
+        elif depth == 0:
+            run += c
+        i += 1
+    return max([*runs, run], key=len)
 
 
 def java(body: str) -> str:

@@ -2,6 +2,323 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import fenced_blocks, lines, mask_code
+from ..operators import changelog, dependencies, lint, metadata, review, rewrite, runs, sampling, scan
+from . import overlay, rule_sql
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "scan_scores"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over the cluster's cores, where the input has fewer partitions and each row needs much work."""
+    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _scanned(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    return scan.scan(spread(overlay.documents(spark, sf_dir)), **kw)
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+
+
+_SCORES = f"""SELECT d.doc_id, CAST(count(rule_id) AS INTEGER) AS n_findings, CAST(greatest(0, 100 - coalesce(sum({rule_sql.points()}), 0)) AS INTEGER) AS score,
+  coalesce(bool_and(severity NOT IN ('high', 'critical')) FILTER (WHERE rule_id IS NOT NULL), TRUE) AS passed"""
+
+
+@query(f"WITH {rule_sql.findings()} {_SCORES} FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id")
+def scan_scores(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("doc_id", F.size("findings").alias("n_findings"), "score", "passed")
+
+
+@query(f"WITH {rule_sql.findings()} {_SCORES} FROM d LEFT JOIN (SELECT * FROM f WHERE rule_id <> 'SD-202') AS f USING (doc_id) GROUP BY d.doc_id")
+def scan_context_suppressed(spark, sf_dir):
+    return _scanned(spark, sf_dir, api_client=True).select("doc_id", F.size("findings").alias("n_findings"), "score", "passed")
+
+
+@query(f"WITH {rule_sql.findings()} SELECT doc_id, rule_id, severity, line, routing FROM f")
+def findings_rows(spark, sf_dir):
+    return _findings(spark, sf_dir).select("doc_id", "rule_id", "severity", "line", "routing")
+
+
+@query(f"WITH {rule_sql.findings()} SELECT rule_id, category, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM f GROUP BY ALL")
+def findings_by_rule(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {rule_sql.findings()} SELECT severity, count(*) AS n FROM f GROUP BY ALL")
+def findings_by_severity(spark, sf_dir):
+    return _findings(spark, sf_dir).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {rule_sql.findings()} SELECT lang, category, count(*) AS n FROM f JOIN d USING (doc_id) GROUP BY ALL")
+def findings_by_category(spark, sf_dir):
+    d = _scanned(spark, sf_dir).select("lang", F.explode("findings").alias("f"))
+    return d.groupBy("lang", F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {rule_sql.findings()} SELECT toxic, quality, count(DISTINCT l.doc_id) AS n_docs, count(rule_id) AS n_findings FROM labels AS l JOIN d USING (doc_id) LEFT JOIN f USING (doc_id) GROUP BY ALL")
+def labels_vs_findings(spark, sf_dir):
+    """Joins findings with labels: an extension of this engine."""
+    d = _scanned(spark, sf_dir).select("doc_id", F.size("findings").alias("n"))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic", "quality").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n").cast("long").alias("n_findings"))
+
+
+@query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(prose) AS INTEGER) AS n_prose FROM d")
+def prose_only_masking(spark, sf_dir):
+    d = overlay.documents(spark, sf_dir)
+    masked = F.regexp_replace(F.regexp_replace(mask_code(F.col("text")), "\x00+(?:\n\x00+)*(?:\n|\\z)", ""), "\x00", "")
+    return d.select("doc_id", F.length("text").alias("n"), F.length(masked).alias("n_prose"))
+
+
+@query(f"WITH {overlay.sql()} SELECT doc_id, CAST(len(regexp_extract_all(text, '[{scan.HOMOGLYPHS}]')) AS INTEGER) AS n FROM d")
+def homoglyph_counts(spark, sf_dir):
+    return overlay.documents(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(f"[{scan.HOMOGLYPHS}]")).alias("n"))
+
+
+@query(
+    f"WITH {overlay.sql()} SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\x{{41}}-\\x{{24F}}]')) AS INTEGER) AS latin, CAST(len(regexp_extract_all(text, '[\\x{{400}}-\\x{{4FF}}]')) AS INTEGER) AS cyrillic, CAST(len(regexp_extract_all(text, '[\\x{{370}}-\\x{{3FF}}]')) AS INTEGER) AS greek FROM d"
+)
+def mixed_script(spark, sf_dir):
+    n = lambda p: F.regexp_count("text", F.lit(p))
+    return overlay.documents(spark, sf_dir).select("doc_id", n(r"[\x{41}-\x{24F}]").alias("latin"), n(r"[\x{400}-\x{4FF}]").alias("cyrillic"), n(r"[\x{370}-\x{3FF}]").alias("greek"))
+
+
+@query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{AD}}\\x{{2060}}-\\x{{2064}}\\x{{180E}}]', '', 'g')) AS INTEGER) AS n FROM d")
+def invisible_chars(spark, sf_dir):
+    return overlay.documents(spark, sf_dir).select("doc_id", (F.length("text") - F.length(rewrite.strip_invisible(F.col("text")))).alias("n"))
+
+
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS INTEGER) AS n_comments FROM pages")
+def html_comments(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?s)<!--.*?-->"), 0)).alias("n_comments"))
+
+
+@query()
+def base64_payloads(spark, sf_dir):
+    d = overlay.documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/]{40,}={0,2}"), 0)).alias("m"))
+    return d.select("doc_id", F.length("m").alias("n_chars"), F.octet_length(F.try_to_binary(F.when(F.length("m") % 4 == 0, F.col("m")), F.lit("base64"))).alias("n_bytes"))
+
+
+@query()
+def conversation_scan(spark, sf_dir):
+    d = scan.scan(spread(table(spark, sf_dir, "conversations")))
+    return d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("findings")).alias("n_findings"), F.min("score").alias("min_score"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes FROM documents WHERE strlen(text) < 1000")
+def lint_short_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(F.octet_length("text") < 1000).select("doc_id", F.octet_length("text").alias("n_bytes"))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(strlen(l) AS INTEGER) AS n_bytes FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(l, i) WHERE strlen(l) > 1000")
+def lint_long_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.col("text"))).alias("i", "l"))
+    return d.filter(F.octet_length("l") > 1000).select("doc_id", (F.col("i") + 1).alias("line"), F.octet_length("l").alias("n_bytes"))
+
+
+@query(f"WITH {overlay.sql()}, s AS (SELECT unnest(['## Core Patterns', '## Pitfalls', '## Imports']) AS section) SELECT section, count(*) AS n_missing FROM d, s WHERE NOT contains(text, section) GROUP BY ALL")
+def lint_missing_sections(spark, sf_dir):
+    d = lint.lint(overlay.documents(spark, sf_dir)).select(F.explode("issues").alias("i")).filter("i.category = 'structure'")
+    return d.groupBy(F.regexp_extract("i.message", "(## .*)$", 1).alias("section")).agg(F.count(F.lit(1)).alias("n_missing"))
+
+
+@query("""WITH l AS (SELECT doc_id, i, left(l, 20) AS p FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(l, i)),
+r AS (SELECT doc_id, p, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM l)
+SELECT doc_id, CAST(max(n) AS INTEGER) AS longest FROM (SELECT doc_id, p, g, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc_id""")
+def lint_repeated_prefix(spark, sf_dir):
+    """The longest run of lines with equal beginnings: gaps and islands, all within a document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines(F.concat("text", F.lit("\n")))).alias("i", "l")).select("doc_id", "i", F.substring("l", 1, 20).alias("p"))
+    g = d.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "p").orderBy("i")))
+    return g.groupBy("doc_id", "p", "g").count().groupBy("doc_id").agg(F.max("count").cast("int").alias("longest"))
+
+
+@query()
+def lint_issues_rollup(spark, sf_dir):
+    return lint.rollup(lint.lint(spread(overlay.documents(spark, sf_dir))))
+
+
+@query()
+def lint_verdicts(spark, sf_dir):
+    return lint.verdict(spread(overlay.documents(spark, sf_dir))).select("doc_id", F.size("issues").alias("n_issues"), "score", "ok")
+
+
+@query(r"SELECT doc_id, CAST(max(strlen(w)) AS INTEGER) AS longest FROM documents, unnest(regexp_split_to_array(text, '\s+')) AS t(w) GROUP BY doc_id")
+def longest_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_max(F.transform(F.split("text", r"\s+"), F.octet_length)).alias("longest"))
+
+
+_LICENCE = """CASE WHEN contains(p, 'mit license') OR contains(p, 'permission is hereby granted, free of charge') THEN 'MIT' WHEN contains(p, 'apache license') AND contains(p, 'version 2') THEN 'Apache-2.0'
+ WHEN contains(p, 'gnu general public license') AND contains(p, 'version 3') THEN 'GPL-3.0' WHEN contains(p, 'gnu general public license') THEN 'GPL-2.0' END"""
+_PREFIX = "(SELECT *, lower(CASE WHEN strlen(text) <= 600 THEN text ELSE (SELECT max_by(left(text, n), n) FROM (SELECT unnest(range(140, 601)) AS n) WHERE strlen(left(text, n)) <= 600) END) AS p FROM documents)"
+
+
+@query(f"SELECT doc_id, {_LICENCE} AS licence FROM {_PREFIX}")
+def license_class(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", metadata.classify_licence(F.col("text")).alias("licence"))
+
+
+@query(f"SELECT lang, {_LICENCE} AS licence, count(*) AS n FROM {_PREFIX} GROUP BY ALL")
+def license_by_lang(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", metadata.classify_licence(F.col("text")).alias("licence"))
+    return d.groupBy("lang", "licence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[^\pN.]+|[^\pN.]+$', '', 'g')), lambda x: regexp_matches(x, '^\d+(\.\d+){1,3}$') AND TRY_CAST(split_part(x, '.', 1) AS INTEGER) < 100) AS v FROM documents)
+SELECT doc_id, v[1] AS version FROM w WHERE len(v) > 0""")
+def version_tokens(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", metadata.version_token(F.col("text")).alias("version"))
+    return d.filter("version is not null")
+
+
+_TAG = "CASE event_id % 4 WHEN 0 THEN 'v' ELSE '' END || (user_id % 7) || '.' || (event_id % 11) || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.' || (event_id % 13) ELSE '.' || (event_id % 5) || '-rc' || (event_id % 2) END"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT event_type AS repo, {_TAG} AS tag FROM events),
+s AS (SELECT *, regexp_extract(tag, '^v?(\\d+)\\.(\\d+)(?:\\.(\\d+))?', ['a', 'b', 'c']) AS x FROM t)
+SELECT repo, tag, CAST(row_number() OVER (PARTITION BY repo ORDER BY CAST(x.a AS INTEGER) DESC, CAST(x.b AS INTEGER) DESC, CAST(coalesce(nullif(x.c, ''), '0') AS INTEGER) DESC, contains(tag, '-rc'), tag DESC) AS INTEGER) AS place FROM s""")
+def semver_order(spark, sf_dir):
+    """Tags made of the events, newest first in each type of event."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("repo"), F.expr(_TAG).alias("tag")).distinct()
+    return e.withColumn("place", F.row_number().over(Window.partitionBy("repo").orderBy(*metadata.newest_first(e)))).select("repo", "tag", "place")
+
+
+_LOG = "'## 2.' || (doc_id % 3) || '.0' || chr(10) || '- Added a new function' || chr(10) || '- ' || CASE doc_id % 4 WHEN 0 THEN 'Removed the old class' WHEN 1 THEN 'Fixed a bug' WHEN 2 THEN 'Deprecated the helper' ELSE 'It now returns a list' END || chr(10) || 'Jan 5' || chr(10) || '## 1.0.0' || chr(10) || '- Breaking: first'"
+_CLASS = """CASE WHEN regexp_matches(lower(l), 'breaking|removed|incompatible|no longer|changed behavior|must now') THEN 'BREAKING'
+ WHEN regexp_matches(lower(l), 'added|new|introduce') AND regexp_matches(lower(l), 'api|function|method|class|module') THEN 'NEW API' WHEN regexp_matches(lower(l), 'deprecat|will be removed') THEN 'DEPRECATED'
+ WHEN regexp_matches(lower(l), 'now returns|now accepts|changed to|default changed') THEN 'BEHAVIOR CHANGE' END"""
+
+
+def _logs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("repo"), F.expr(_LOG).alias("text"), F.lit("1.0.0").alias("old_version"), F.expr("'2.' || (doc_id % 3) || '.0'").alias("new_version"))
+
+
+@query(f"SELECT doc_id AS repo, CAST(i - 1 AS INTEGER) AS pos, {_CLASS} AS tag FROM documents, unnest(string_split({_LOG}, chr(10))) WITH ORDINALITY AS t(l, i)")
+def changelog_tags(spark, sf_dir):
+    return _logs(spark, sf_dir).select("repo", F.posexplode(changelog.annotate(F.col("text"))).alias("pos", "a")).select("repo", "pos", F.col("a.tag").alias("tag"))
+
+
+@query(f"SELECT doc_id AS repo, CAST(i - 1 AS INTEGER) AS pos, l AS change FROM documents, unnest(string_split({_LOG}, chr(10))) WITH ORDINALITY AS t(l, i) WHERE i IN (2, 3)")
+def changelog_slice(spark, sf_dir):
+    return changelog.between(_logs(spark, sf_dir))
+
+
+@query("""SELECT doc_id AS repo, 'regenerate' AS significance, 'API changes detected: ' || CASE doc_id % 4 WHEN 0 THEN '1 breaking change(s), 1 new feature(s)' WHEN 1 THEN '1 new feature(s)'
+ WHEN 2 THEN '1 new feature(s), 1 deprecation(s)' ELSE '1 new feature(s), 1 behavior change(s)' END AS reason FROM documents""")
+def changelog_decisions(spark, sf_dir):
+    return changelog.analyse(_logs(spark, sf_dir)).drop("changes_found")
+
+
+@query(f"SELECT doc_id, d AS dependency, CAST(i - 1 AS INTEGER) AS pos FROM documents, unnest(['numpy', 'requests', 'scikit-learn', 'pydantic>=2']) WITH ORDINALITY AS t(d, i) WHERE doc_id % {len(overlay.PAYLOADS)} = {len(overlay.PAYLOADS) - 1}")
+def dep_extract_python(spark, sf_dir):
+    d = dependencies.dependencies(overlay.documents(spark, sf_dir), "python")
+    return d.select("doc_id", F.posexplode("dependencies").alias("pos", "dependency")).select("doc_id", "dependency", "pos")
+
+
+@query("""WITH f AS (SELECT p_partkey % 50 AS k, p_partkey AS pos, 'pkg_' || (p_partkey % 40) AS name, CASE WHEN p_size % 2 = 0 THEN '>=' || p_size END AS spec FROM part WHERE p_partkey % 3 = 0),
+m AS (SELECT p_partkey % 50 AS k, p_partkey AS pos, 'PKG-' || (p_partkey % 40) AS name, '==' || p_size AS spec FROM part WHERE p_partkey % 5 = 0)
+SELECT coalesce(f.k, m.k) AS doc_id, coalesce(f.name, m.name) AS name, coalesce(f.spec, m.spec) AS raw_spec, CASE WHEN f.name IS NULL THEN 'manifest' ELSE 'pattern' END AS source, coalesce(f.pos, 1000000 + m.pos) AS pos
+FROM f FULL JOIN m ON f.k = m.k AND replace(f.name, '_', '-') = lower(m.name)""")
+def dep_merge_outer(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    side = lambda keep, name, spec: p.filter(keep).select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").alias("pos"), F.expr(name).alias("name"), F.expr(spec).alias("raw_spec"))
+    found = side("p_partkey % 3 = 0", "'pkg_' || (p_partkey % 40)", "CASE WHEN p_size % 2 = 0 THEN '>=' || p_size END")
+    return dependencies.enrich(found, side("p_partkey % 5 = 0", "'PKG-' || (p_partkey % 40)", "'==' || p_size"))
+
+
+@query("""WITH s AS (SELECT source, doc_id, strlen(text) AS n, coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, doc_id, CAST(least(n, 20000 - before) AS BIGINT) AS taken_bytes FROM s WHERE before < 20000""")
+def budget_fill(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("content"))
+    return sampling.fill(d, 20_000, key="source", order=["doc_id"]).select("source", "doc_id", "taken_bytes")
+
+
+@query("""WITH c AS (SELECT source, doc_id, doc_id % 3 AS rank FROM documents) SELECT source, doc_id, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, doc_id) AS r FROM c) WHERE r <= 3""")
+def priority_topk(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("doc_id") % 3).alias("rank"))
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id"))).filter("place <= 3").select("source", "doc_id", "place")
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, n AS name, c AS category FROM documents, (VALUES ('Basic use', 'basic', 1), ('Error handling', 'error', 2)) AS t(n, c, i) WHERE doc_id % {len(overlay.PAYLOADS)} = {len(overlay.PAYLOADS) - 1}")
+def pattern_extract(spark, sf_dir):
+    return sampling.select_patterns(sampling.patterns(overlay.documents(spark, sf_dir))).select("doc_id", "pos", "name", "category")
+
+
+@query(f"SELECT doc_id, CAST(CASE doc_id % {len(overlay.PAYLOADS)} WHEN 10 THEN 1 WHEN {len(overlay.PAYLOADS) - 1} THEN 3 ELSE 0 END AS INTEGER) AS n_blocks FROM documents")
+def fence_blocks(spark, sf_dir):
+    return overlay.documents(spark, sf_dir).select("doc_id", F.size(fenced_blocks(F.col("text"))).alias("n_blocks"))
+
+
+@query("SELECT doc_id, regexp_replace(text, 'token = .[0-9a-f]{40}.', 'token = [REDACTED]', 'g') AS text FROM documents WHERE regexp_matches(text, 'token = .[0-9a-f]{40}.')")
+def redact_tokens(spark, sf_dir):
+    pattern = "token = .[0-9a-f]{40}."
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(pattern))
+    return d.select("doc_id", F.regexp_replace("text", pattern, "token = [REDACTED]").alias("text"))
+
+
+_REPLY = "CASE doc_id % 5 WHEN 0 THEN '{\"passed\": true, \"issues\": []}' WHEN 1 THEN 'Here: {\"passed\": false, \"issues\": [{\"severity\": \"warning\", \"complaint\": \"thin\"}]}' WHEN 2 THEN '{\"passed\": false}' WHEN 3 THEN 'no verdict' ELSE '{\"issues\": [{\"category\": \"safety\"}]}' END"
+
+
+@query("SELECT doc_id, doc_id % 5 IN (0, 1) AS passed, doc_id % 5 IN (2, 3) AS malformed, CAST(CASE WHEN doc_id % 5 IN (1, 4) THEN 1 ELSE 0 END AS INTEGER) AS n_issues FROM documents")
+def review_verdicts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_REPLY).alias("reply"))
+    return review.verdicts(d).select("doc_id", "passed", "malformed", F.size("issues").alias("n_issues"))
+
+
+_RUN = "event_type AS language, 'lib' || (event_id % 97) AS library, 'model' || (user_id % 5) AS model, event_id % 3 <> 0 AS passed, value AS duration_secs"
+
+
+@query(f"SELECT model, count(*) AS n, count(*) FILTER (WHERE passed) AS n_passed FROM (SELECT {_RUN} FROM events) GROUP BY model")
+def runs_by_model(spark, sf_dir):
+    return runs.by_model(table(spark, sf_dir, "events").selectExpr(*_RUN.split(", "))).select("model", "n", "n_passed")
+
+
+@query(f"SELECT model, count(*) AS n_failed FROM (SELECT {_RUN} FROM events) WHERE NOT passed GROUP BY model")
+def failed_runs(spark, sf_dir):
+    return runs.failed(table(spark, sf_dir, "events").selectExpr(*_RUN.split(", "))).groupBy("model").agg(F.count(F.lit(1)).alias("n_failed"))
+
+
+@query("SELECT event_id, 'lib' || (event_id % 97) AS library, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM events ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%SZ') DESC, library, event_id LIMIT 10")
+def recent_runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.expr("'lib' || (event_id % 97)").alias("library"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    return e.orderBy(F.desc("timestamp"), "library", "event_id").limit(10)
+
+
+_PATHS = "CASE doc_id % 6 WHEN 0 THEN 'pkg/__init__.py' WHEN 1 THEN 'pkg/sub/__init__.py' WHEN 2 THEN 'pkg/mod.py' WHEN 3 THEN 'pkg/_impl/x.py' WHEN 4 THEN 'pkg/sub/deep.py' ELSE 'a/b/c/d.py' END"
+
+
+@query(f"SELECT path, priority, count(*) AS n FROM (SELECT {_PATHS} AS path, CAST([0, 10, 20, 100, 30, 50][1 + doc_id % 6] AS INTEGER) AS priority FROM documents) GROUP BY ALL")
+def file_priorities(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.expr(_PATHS).alias("path"))
+    return d.groupBy("path", metadata.file_priority(F.col("path")).alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source AS repo, ['python', 'rust', 'javascript', 'go', 'java'][CAST(min(doc_id % 5) AS INTEGER) + 1] AS language FROM documents GROUP BY source")
+def detect_languages(spark, sf_dir):
+    mark = F.element_at(F.array(*map(F.lit, ["setup.py", "Cargo.toml", "package.json", "go.mod", "pom.xml"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    return metadata.detect_language(table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), mark.alias("path")))
+
+
+@query()
+def normalise_documents(spark, sf_dir):
+    d = spread(overlay.documents(spark, sf_dir)).select("doc_id", "text", F.lit("pkg").alias("name"), F.lit("1.0").alias("version"), F.lit("python").alias("ecosystem"), F.lit("MIT").alias("license"))
+    return rewrite.normalise(d).select("doc_id", F.length("normal").alias("n_chars"), F.sha2("normal", 256).alias("sha256"))

@@ -19,8 +19,8 @@ from .common import small_batches, written
 
 #: Centroids are fitted to at most this many vectors and bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 16_384, 32 << 20
-#: Mean number of vectors of a list, and most lists.
-LIST_ROWS, MAX_LISTS = 256, 16_384
+#: Lists for each unit of the square root of the number of vectors, and most lists.
+LISTS, MAX_LISTS = 0.4, 16_384
 #: A query probes as many lists as hold this share of the true neighbours of so many vectors of the sample.
 COVERAGE, TRIALS = 0.97, 400
 #: Rows of a shard of a list, and queries that meet it in one task.
@@ -97,7 +97,7 @@ def scan(rotated: np.ndarray, q: np.ndarray, best: np.ndarray, k: int) -> np.nda
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5,
-    list_rows: int = LIST_ROWS, coverage: float = COVERAGE,
+    lists_by_root: float = LISTS, coverage: float = COVERAGE,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query among all other ids, by cosine.
 
@@ -120,7 +120,7 @@ def nearest(
     take = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * d)))
     fit = _unit(np.array([r[0] for r in x.orderBy(F.xxhash64("id"), "id").limit(take).select("v").collect()]))
     turn = rotation(d)
-    lists = max(1, min(MAX_LISTS, len(fit) // 4 or 1, total // list_rows))
+    lists = max(1, min(MAX_LISTS, len(fit) // 4 or 1, round(lists_by_root * total**0.5)))
     c = centroids(fit, lists) @ turn
     lists = len(c)
 

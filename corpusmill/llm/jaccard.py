@@ -26,6 +26,8 @@ from .components import components
 
 #: Groups of the count vector, points of a leaf and children of a node.
 GROUPS, FANOUT = 32, 16
+#: Bits of the map that spares most documents outside the clusters a shuffle of their texts: 4 MB.
+MAP_BITS = 1 << 25
 #: A task verifies clusters of at most this many shingles together.
 TASK_SHINGLES = 2_000_000
 
@@ -159,6 +161,20 @@ def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[
     return out
 
 
+def likely(d: DataFrame, members: DataFrame, node: str) -> DataFrame:
+    """The rows of ``d`` whose id may be among ``members``: all that are, and few others as long as these are few enough.
+
+    Members set bits of a map of ``MAP_BITS`` bits, whatever their number, so that its broadcast has a fixed size.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1
+    bits = members.select(bit(node).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    keyed = d.withColumn("__b", bit("id"))
+    at = F.bitmap_bit_position("__b")
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = keyed.join(F.broadcast(bits), F.bitmap_bucket_number("__b") == F.col("bucket"))
+    return joined.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*d.columns)
+
+
 def similar_groups(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 4, num: int = 85, den: int = 100,
     task_shingles: int = TASK_SHINGLES,
@@ -218,7 +234,8 @@ def similar_groups(
     )
     bin_of = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "lo", "hi"))
     tasks = tasks.withColumn("bin", bin_of).drop("chunks")
-    loaded = d.join(tasks, d["id"] == tasks["node"]).select("bin", "root", "lo", "hi", "chunk", "node", "text")
+    texts = likely(d, member.select("node"), "node")
+    loaded = texts.join(tasks, texts["id"] == tasks["node"]).select("bin", "root", "lo", "hi", "chunk", "node", "text")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         found = []

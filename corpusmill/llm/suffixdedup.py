@@ -197,7 +197,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, b
         raise ValueError(f"width must be at least {DEEP + COVER}")
     spark = docs.sparkSession
     small_batches(spark)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    # numbered once and written: numbers given anew, after a lost executor say, need not be the same
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     texts = numbered.select("__row", F.col(text).alias("__text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

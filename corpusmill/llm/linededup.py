@@ -1,21 +1,25 @@
-"""Line dedup by site-relative frequency: lines on more than a set share of a host's pages are boilerplate."""
+"""Line dedup by site-relative frequency: lines on a set share of a host's pages are boilerplate, long ones on a smaller share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A line on a larger share of its host's pages than this is boilerplate, if it is on MIN_PAGES pages at least.
-MAX_RATIO = 0.1
-MIN_PAGES = 4
+#: A line on this share of its host's pages or more is boilerplate, if it is on MIN_PAGES pages at least.
+MAX_RATIO = 0.01
+MIN_PAGES = 2
+#: A line of LONG_WORDS words or more is seldom written twice by chance, so this share is enough for it.
+LONG_WORDS, LONG_RATIO = 50, 0.001
 
 
-def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, long_ratio: float = LONG_RATIO
+) -> DataFrame:
     """(host, lines): the array of trimmed boilerplate lines of each host that has any.
 
     A line is compared without the spaces, tabs and carriage returns around it; blank lines never count. Null hosts form
     one host of their own. Counting is by (host, line) with partial sums, so a hot host spreads over its lines; a host has at most
-    1 / max_ratio times its mean number of distinct lines a page in the result.
+    1 / max_ratio times its mean number of distinct short lines a page in the result, and 1 / long_ratio times that of long ones.
     """
     lines = F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _key))
     p = pages.select(F.col(host).alias("__host"), lines.alias("__lines"))
@@ -27,7 +31,8 @@ def boilerplate(pages: DataFrame, *, host: str = "source", text: str = "text", m
         .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") >= min_pages)
     )
-    joined = counts.join(totals, counts["__host"].eqNullSafe(totals["__host"])).filter(F.col("__n") > max_ratio * F.col("__pages"))
+    ratio = F.when(F.size(F.split("__line", r"[ \t]+")) >= LONG_WORDS, F.lit(min(long_ratio, max_ratio))).otherwise(F.lit(max_ratio))
+    joined = counts.join(totals, counts["__host"].eqNullSafe(totals["__host"])).filter(F.col("__n") >= ratio * F.col("__pages"))
     return joined.groupBy(counts["__host"].alias("__host")).agg(F.collect_list("__line").alias("__lines"))
 
 
@@ -36,7 +41,7 @@ def _key(line):
 
 
 def drop_boilerplate(
-    pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    pages: DataFrame, *, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, long_ratio: float = LONG_RATIO,
     into: str = "kept_text", dropped: str = "n_dropped",
 ) -> DataFrame:
     """``pages`` with ``into``, the text without its host's boilerplate lines, and ``dropped``, how many lines went.
@@ -46,10 +51,12 @@ def drop_boilerplate(
     ``min_pages`` of them. All columns stay but those named ``into`` and ``dropped``. Each row meets one
     row of its host's boilerplate, a join that adaptive execution broadcasts or splits where a host is hot.
     """
-    bad = boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages)
+    bad = boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages, long_ratio=long_ratio)
     joined = pages.join(bad, pages[host].eqNullSafe(bad["__host"]), "left").drop("__host")
     lines = F.split(F.col(text), "\n")
-    keep = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("__lines", F.array().cast("array<string>")), _key(x)))
+    # the page's own boilerplate lines first, by hashing, so that a host with many costs no product of both lists
+    own = F.array_intersect(F.transform(lines, _key), F.coalesce("__lines", F.array().cast("array<string>")))
+    keep = F.transform(F.array(own), lambda bad: F.filter(lines, lambda x: ~F.array_contains(bad, _key(x))))[0]
     return (
         joined.withColumn("__keep", keep)
         .withColumn(dropped, F.coalesce(F.size(lines) - F.size("__keep"), F.lit(0)).cast("long"))

@@ -178,6 +178,14 @@ def test_line_dedup(spark):
     assert got[0] == ("own 0\n", 2) and got[9] == ("menu", 0) and got[10] == (None, 0) and got[11] == ("", 0)
 
 
+def test_line_dedup_of_a_hot_and_a_small_host(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, "hot", f"own {i}" + "\nshared" * (i % 100 == 0) + "\nrare" * (i < 9) + f"\n{passage}" * (i < 4)) for i in range(1000)]
+    rows += [(2000 + i, "small", f"own {i}" + "\nfooter" * (i < 2)) for i in range(3)]
+    got = {r.doc_id: r.kept_text for r in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id int, source string, text string")).collect()}
+    assert [got[i] for i in (0, 1, 100, 2000, 2001, 2002)] == ["own 0\nrare", "own 1\nrare", "own 100", "own 0", "own 1", "own 2"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op10_toxicity_mil(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic", "doc_id").toPandas()

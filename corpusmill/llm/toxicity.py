@@ -2,12 +2,13 @@
 
 A document is a bag of sentences. A sentence's score is the logistic function of the summed weights of its distinct
 features (whole words and word beginnings); a document's score is the noisy-or of its sentences', 1 - prod(1 - p). The
-weights are fitted to document labels only, and the sentence scores then locate the offending sentences.
+weights are fitted to document labels only, and the sentence scores then locate the offending sentences. In a long document
+the sentences that as many clean ones would match are held against what clean text has, so that length alone is no sign.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,10 @@ from .common import SpanHasher, packs, small_batches
 PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled documents of each class are fitted, and of each only this many MB of text in all.
 SAMPLE_ROWS, SAMPLE_MB = 1500, 8
+#: In the sample, a clean text counts by its first so many MB, as a part of it is as clean; a toxic one is used whole, up to so many MB.
+CLEAN_MB, TOXIC_MB = 0.25, 2
+#: -log(1 - p) that clean sentences may add up to by their number alone; so many times their mean is what chance explains of the others.
+BACKGROUND, CHANCE = 0.1, 3
 #: At most so many features get a weight.
 FEATURES = 2000
 
@@ -62,11 +67,13 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """hashes (sorted) and their weights; bias of every sentence."""
+    """hashes (sorted) and their weights; bias of every sentence; distinct -log(1 - p) of clean sentences, the largest first, and the means of what reaches each."""
 
     hashes: np.ndarray
     weights: np.ndarray
     bias: float
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    reach: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self):
         self.seen = np.zeros(1 << 20, bool)  # passes every known feature and few others
@@ -86,7 +93,25 @@ class Model:
     def score(self, texts: list[str]) -> list[tuple[float, np.ndarray]]:
         p, counts = self.sentences(texts)
         parts = np.split(p, np.cumsum(counts)[:-1])
-        return [(float(-np.expm1(np.log1p(-x).sum())), x) for x in parts]
+        return [(float(-np.expm1(-self.evidence(-np.log1p(-x)))), x) for x in parts]
+
+    def calibrate(self, texts: list[str]) -> None:
+        """Take the background from the sentences of clean texts."""
+        q = [-np.log1p(-self.sentences(texts[part])[0]) for part in packs([len(t) for t in texts])]
+        levels, n = np.unique(np.concatenate(q), return_counts=True) if q else (np.zeros(0), np.zeros(0))
+        self.levels, self.reach = levels[::-1], np.cumsum((levels * n)[::-1]) / max(1, n.sum())
+
+    def evidence(self, q: np.ndarray) -> float:
+        """The sum of a document's -log(1 - p), less what its length explains.
+
+        A sentence counts in full above the level down to which as many clean sentences would add up to BACKGROUND; that is 0 for
+        short documents, and at most p = 0.5, where a sentence is toxic alone. The others count by what they have beyond chance.
+        """
+        k = int(np.searchsorted(self.reach, BACKGROUND / len(q), side="right"))
+        if k == len(self.reach):
+            return float(q.sum())
+        full = q > (min(self.levels[k], np.log(2)) if k else np.log(2))
+        return float(q[full].sum() + max(0.0, q[~full].sum() - CHANCE * self.reach[-1] * len(q)))
 
 
 def train(texts: list[str], labels: np.ndarray, *, steps: int = 300, rate: float = 0.1, l2: float = 1e-2) -> Model:
@@ -132,35 +157,40 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 300, rate: float
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         w, b = w - step[:-1], b - step[-1]
     order = np.argsort(distinct[use])
-    return Model(distinct[use][order], w[order], float(b))
+    model = Model(distinct[use][order], w[order], float(b))
+    model.calibrate([t for t, bad in zip(texts, y, strict=True) if not bad])
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, rows: int, mb: int) -> DataFrame:
-    """The texts of at most ``rows`` ids of each class, the first by a hash of the id; overlong texts are left out.
+    """The texts of at most ``rows`` ids of each class, the first by a hash of the id; long clean texts by their beginning.
 
-    Ids are chosen from the labels alone, so what is broadcast to the documents is ``2 * rows`` ids, whatever the input.
+    A toxic text beyond TOXIC_MB is left out, as any part of it may be without what makes it toxic. Ids are chosen from the labels alone, so what is broadcast to the documents is ``2 * rows`` ids, whatever the input.
     """
-    most = 16 * (mb * 1_000_000 // max(1, 2 * rows))
+    clean, toxic = (int(min(x, mb) * 1_000_000) for x in (CLEAN_MB, TOXIC_MB))
     known = labels.select(F.col(doc_id).alias("__id"), F.col(label).alias("__y")).filter("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = [known.filter(F.col("__y") == c).orderBy(F.xxhash64("__id"), "__id").limit(rows) for c in (0, 1)]
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).filter(F.length("__text") <= most)
-    return texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "__id")
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).filter("__text is not null")
+    known = texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "__id").filter((F.col("__y") == 0) | (F.length("__text") <= toxic))
+    return known.withColumn("__text", F.when(F.col("__y") == 0, F.substring("__text", 1, clean)).otherwise(F.col("__text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, mb: int = SAMPLE_MB) -> Model:
     """A model from a bounded sample of labelled documents.
 
     Rows with a null id, text or label, or a label other than 0 and 1, are left out; of repeated labels of one id the
-    larger counts. The sample is the only data that reaches the driver: the texts of twice ``rows`` ids at most, cut off in
-    hash order once they pass ``mb``.
+    larger counts. The sample is the only data that reaches the driver: the texts of twice ``rows`` ids at most, in hash order.
+    One that would take the sample beyond ``mb`` is passed over, and reading ends when twice ``mb`` are read.
     """
-    got, total = [], 0
+    got, total, read = [], 0, 0
     chosen = sample(docs, labels, doc_id=doc_id, text=text, label=label, rows=rows, mb=mb)
     for r in chosen.orderBy(F.xxhash64("__id"), "__id").select("__text", "__y").toLocalIterator():
-        total += len(r[0])
-        if total > mb * 1_000_000:
+        read += len(r[0])
+        if total + len(r[0]) <= mb * 1_000_000:
+            total += len(r[0])
+            got.append((r[0], r[1]))
+        if read > 2 * mb * 1_000_000:
             break
-        got.append((r[0], r[1]))
     return train([t for t, _ in got], np.array([y for _, y in got]))
 
 

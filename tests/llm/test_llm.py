@@ -194,6 +194,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.score.between(0, 1).all() and (got.predicted == got.toxic).mean() > 0.97
 
 
+def test_toxicity_of_long_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(documents, labels.filter(~queries.held_out("doc_id")))
+    rows = documents.join(labels.filter(queries.held_out("doc_id")), "doc_id").filter("text is not null").orderBy("doc_id").select("text", "toxic").collect()
+    scored = list(zip(rows, model.score([r.text for r in rows]), strict=True))
+    clean = "\n".join(r.text for r, (p, _) in scored if not r.toxic and p < 0.5)
+    clean = (clean * (1 + 1_000_000 // len(clean)))[:1_000_000]
+    bad = max((each.max(), r.text.replace("\n", " ")) for r, (_, each) in scored if r.toxic)[1]
+    scores = [p for p, _ in model.score([clean[:n] for n in (46_000, 141_000, 274_000, 1_000_000)] + [clean[:500_000] + "\n" + bad + "\n" + clean[500_000:]])]
+    assert max(scores[:4]) < 0.5 <= scores[4]
+
+
+def test_toxicity_samples_long_texts(spark):
+    d = spark.createDataFrame([(1, "fine. " * 10_000), (2, "bad. " * 10_000), (3, "fine. " * 100_000), (4, "ok")], "doc_id int, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id int, toxic int")
+    got = toxicity.sample(d, labels, doc_id="doc_id", text="text", label="toxic", rows=1500, mb=8)
+    assert {r["__id"]: len(r["__text"]) for r in got.collect()} == {1: 60_000, 2: 50_000, 3: 250_000, 4: 2}
+
+
 def test_toxicity_finds_the_sentence():
     texts = [f"All is well here {i}. It is fine.\nGood day." for i in range(40)] + [f"All is well here {i}. You are an idiot!\nGood day." for i in range(40)]
     model = toxicity.train(texts, np.repeat([0, 1], 40))

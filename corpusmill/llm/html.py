@@ -3,7 +3,7 @@
 A page is cut into text blocks, each with the path of tags from the root to it. Text length, punctuation and link text
 are aggregated per path; the ratios are smoothed over the blocks in page order, fused with each other and with what
 the tags and class names say, and a threshold on the fused ratio chooses the content paths. The smallest container that holds
-the chosen paths gives the result, with its headings and short paragraphs but without its boilerplate subtrees.
+all blocks of the chosen paths gives the result, with its headings and short paragraphs but without its boilerplate subtrees.
 """
 
 from __future__ import annotations
@@ -175,18 +175,12 @@ def extract(html: str | None, *, width: int = 1, level: float = 0.5) -> list[Blo
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
     best = max(fused.values())
     paths = {p for p, s in fused.items() if s >= min(best, max(level * spread, best / 2))}
-    weight: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {}
+    root = None
     for b in found:
         if b.path in paths:
-            for d, n in enumerate(b.nodes[:-1]):  # containers only, not the paragraph itself
-                weight[n] += len(b.text) - b.link
-                depth[n] = d
-    if not weight:
-        return [b for b in found if b.path in paths]
-    most = max(weight.values())
-    root = max((n for n in weight if weight[n] >= 0.75 * most), key=lambda n: depth[n])
-    inside = [b for b in found if root in b.nodes]
+            own = b.nodes[:-1]  # containers only, not the paragraph itself
+            root = own if root is None else tuple(m for m, n in zip(root, own) if m == n)
+    inside = [b for b in found if b.nodes[: len(root)] == root]
     return [b for b in inside if b.path in paths or b.tag in HEADING or b.prior >= 2 or b.link * 2 <= len(b.text)]
 
 

@@ -84,6 +84,13 @@ def test_main_text():
     assert [b.text for b in html.extract("just text")] == ["just text"]
 
 
+def test_main_text_of_uneven_sections():
+    lead, rest = "A lead, not long. It has two sentences.", "A longer part, with more to say. It goes on, and on. Then it ends."
+    parts = [f"{rest} {i}." for i in range(4)]
+    page = f"<body><nav>x</nav><article><h1>Title</h1><p>{lead}</p><section>{''.join(f'<p>{p}</p>' for p in parts)}</section></article><div class=ad>Buy.</div></body>"
+    assert [b.text for b in html.extract(page)] == ["Title", lead, *parts]
+
+
 def test_main_text_of_the_pages(spark, sf):
     for r in queries.op2_html_main_text(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = r.html.split("<article>")[1].split("</article>")[0]

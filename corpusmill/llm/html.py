@@ -50,6 +50,13 @@ NOISE = re.compile(
     r"tags|taglist|navigation|contentinfo|complementary|dialog|form)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, what readers write: it can be longer than the article and hold articles of its own.
+TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?=$|[\s_-])", re.I)
+#: A header that is an article's title, not the site's.
+HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
+TITLED = re.compile(r"(?:article|post|entry|story|content|main)[_-]+header(?=$|[\s_-])", re.I)
+#: A noisy name is overruled if the element holds more than the first share of the page's text, or an article with the second.
+MOST, ARTICLE = 0.5, 0.25
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post\w*|entry\w*|story\w*|body|text|page)(?=$|[\s_-])", re.I)
 
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("paths", T.ArrayType(T.StringType()))])
@@ -64,12 +71,15 @@ class Block:
     noise: bool
     prior: float
     tag: str
+    named: dict[int, bool]  # numbers of the elements around it that their names make noise, and whether readers write there
+    tops: tuple[int, ...]  # numbers of the article and main elements around it
+    main: int  # number of the innermost main element, or 0
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed and misnested tags end where the enclosing block ends."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool, float, bool]] = []  # tag, label, number, noise, prior, whether its text is skipped
+    stack: list[tuple[str, str, int, bool, float, bool, bool, bool]] = []  # tag, label, number, noise, prior, whether its text is skipped, noise and talk by name
     parts: list[str] = []
     link = count = 0
     skip_until = 0
@@ -86,6 +96,7 @@ def blocks(html: str) -> list[Block]:
                 Block(
                     tuple(x[1] for x in block), tuple(x[2] for x in block), text, min(link, len(text)),
                     any(x[3] for x in stack), max((x[4] for x in block), default=1.0), block[-1][0] if block else "",
+                    {x[2]: x[7] for x in stack if x[6]}, tuple(x[2] for x in stack if x[0] in ("article", "main")), max((x[2] for x in stack if x[0] == "main"), default=0),
                 )
             )
         link = 0
@@ -136,11 +147,12 @@ def blocks(html: str) -> list[Block]:
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m[3])} if m[3] else {}
         name = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).strip()
         top = any(x[0] in ("article", "main") for x in stack)
-        noise = tag in SKIP or tag == "header" and not top or bool(name and NOISE.search(name)) and tag not in ("article", "main", "body", "html")
+        noise = tag in SKIP or tag == "header" and not top and not TITLED.search(name)
+        named = bool(name) and tag not in ("article", "main", "body", "html") and bool(NOISE.search((HEADER if top else TITLED).sub(" ", name)))
         noise = noise or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         prior = 4.0 if tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody" else 2.0 if name and MAIN.search(name) else 1.0
         count += 1
-        stack.append((tag, f"{tag}.{'.'.join(name.split())}" if name else tag, count, noise, prior, tag in SKIP or bool(stack) and stack[-1][5]))
+        stack.append((tag, f"{tag}.{'.'.join(name.split())}" if name else tag, count, noise, prior, tag in SKIP or bool(stack) and stack[-1][5], named, named and bool(TALK.search(name))))
         if tag in RAW:
             stop = low.find(f"</{tag}", at)
             skip_until = at = len(html) if stop < 0 else stop
@@ -150,9 +162,26 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def without_noise(found: list[Block]) -> list[Block]:
+    """The blocks that no noisy name rules out; a name is overruled by what the element holds, and all are where nothing is left."""
+    found = [b for b in found if not b.noise]
+    held: dict[int, int] = defaultdict(int)
+    for b in found:
+        for n in {*b.named, *b.tops}:
+            held[n] += len(b.text) - b.link
+    total = sum(len(b.text) - b.link for b in found)
+    spared = set()
+    for b in found:
+        for n, talk in b.named.items():
+            inner = any(t > n and held[t] >= ARTICLE * total for t in b.tops)
+            if inner and b.main > n if talk else inner or held[n] > MOST * total:
+                spared.add(n)
+    return [b for b in found if spared.issuperset(b.named)] or found
+
+
 def extract(html: str | None, *, width: int = 1, level: float = 0.5) -> list[Block]:
     """The content blocks of a page: ``width`` blocks on either side smooth the ratios, ``level`` scales the threshold."""
-    found = [b for b in blocks(html or "") if not b.noise]
+    found = without_noise(blocks(html or ""))
     if not found:
         return []
     total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0] * 4)

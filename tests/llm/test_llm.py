@@ -91,6 +91,21 @@ def test_main_text_of_uneven_sections():
     assert [b.text for b in html.extract(page)] == ["Title", lead, *parts]
 
 
+def test_main_text_in_elements_with_noisy_names():
+    prose = [f"A part with much to say, number {i}. It goes on, and on. Then it ends." for i in range(4)]
+    article = "<header class='entry-header'><h1>Title</h1></header>" + "".join(f"<p>{p}</p>" for p in prose)
+    side = "<div class='sidebar'><p>Some words. Not many.</p></div><div class='related'><article><p>Another page. Read it.</p></article></div>"
+    talk = "<ol class='commentlist'>" + "".join(f"<li><article><p>I like it, very much. Thanks, friend {i}.</p></article>" for i in range(12)) + "</ol>"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{article}</article>{side}</div>",
+        f"<div id='page' class='right-sidebar'><div class='post'>{article}</div>{side}</div>",
+        f"<div class='comments-open'><main>{article}</main>{side}{talk}</div>",
+        f"<main><article>{article}</article><div class='comments'><article><p>{'I like it. ' * 20}</p></article></div></main>",
+        f"<div class='text-form'><article>{article}</article></div>{side}{talk}",
+    ):
+        assert [b.text for b in html.extract(f"<body>{page}</body>")] == ["Title", *prose]
+
+
 def test_main_text_of_the_pages(spark, sf):
     for r in queries.op2_html_main_text(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = r.html.split("<article>")[1].split("</article>")[0]

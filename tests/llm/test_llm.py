@@ -1,6 +1,7 @@
 """Each operator against brute force, a reference library or held-out rows, and on nulls, empty tables, ties and clashing columns."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter
 
@@ -255,6 +256,19 @@ def test_licences(spark, docs, odd):
     assert licences.scan(odd, model).filter("size(licences) > 0").count() == 0
 
 
+def test_wrapped_licences(spark, docs):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software'
+    apache = "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    texts = [(f, t, w) for f, t in (("BSD-3-Clause", bsd), ("GPL-2.0", gpl.format(2)), ("GPL-3.0", gpl.format(3)), ("MIT", mit), ("Apache-2.0", apache)) for w in (40, 70, 80)]
+    d = [(i, "Some text.\n\n" + "\n".join(f"# {x}" for x in textwrap.wrap(t, w)) + "\n\nMore text.") for i, (_, t, w) in enumerate(texts)]
+    d += [(100, "Released under the MIT License.\n" + "\n".join(textwrap.wrap(bsd, 72)) + "\nReleased under the Unlicense.")]
+    got = {r.doc_id: [(x.line, x.family) for x in r.licences] for r in licences.scan(spark.createDataFrame(d, "doc_id int, text string"), licences.train(docs)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[(3, f)] for f, _, _ in texts]
+    assert got[100] == [(1, "MIT"), (2, "BSD-3-Clause"), (2 + len(textwrap.wrap(bsd, 72)), "Unlicense")]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -137,7 +137,7 @@ class Splitter:
 
 
 class Codec:
-    """Encodes and decodes texts. A worker keeps the ids of the pre-tokens it has met, by 64-bit hash."""
+    """Encodes and decodes texts. A worker keeps the ids of the pre-tokens it has met, by their bytes."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.split = Splitter() if pattern == PRE_TOKENS else regex.compile(pattern)
@@ -145,8 +145,8 @@ class Codec:
         self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.recent: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is no token itself: always the lowest rank, leftmost first.
@@ -178,23 +178,22 @@ class Codec:
             i = end[i]
         return out
 
-    def encode_distinct(self, keys: list[int], data: bytes, start: list[int], end: list[int]) -> list[bytes]:
+    def encode_distinct(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of distinct pre-tokens, as bytes; one not met lately is looked up whole, and merged if that fails."""
         if len(self.recent) > CACHE:
             self.recent, self.older = {}, self.recent
         recent, older = self.recent, self.older
         new = []
-        for i, k in enumerate(keys):
-            if k not in recent:
-                if k in older:
-                    recent[k] = older[k]
+        for p in pieces:
+            if p not in recent:
+                if p in older:
+                    recent[p] = older[p]
                 else:
-                    new.append(i)
-        raw = [data[start[i] : end[i]] for i in new]
-        for i, b, found in zip(new, raw, self.whole.find(raw).tolist(), strict=True):
-            ids = (found,) if found >= 0 else self.merge(b)
-            recent[keys[i]] = struct.pack(f"<{len(ids)}I", *ids)
-        return [recent[k] for k in keys]
+                    new.append(p)
+        for p, found in zip(new, self.whole.find(new).tolist(), strict=True):
+            ids = (found,) if found >= 0 else self.merge(p)
+            recent[p] = struct.pack(f"<{len(ids)}I", *ids)
+        return [recent[p] for p in pieces]
 
     def spans(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The texts' joined bytes, the byte offset of each pre-token and the number of pre-tokens of each text."""
@@ -214,10 +213,11 @@ class Codec:
         data, start, counts = self.spans(texts)
         if not len(start):
             return [np.zeros(0, "<u4")] * len(texts)
-        end = np.append(start[1:], len(data))
-        h = SpanHasher(np.frombuffer(data, np.uint8)).spans(start, end)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        parts = self.encode_distinct(distinct.tolist(), data, start[where].tolist(), end[where].tolist())
+        at = [*start.tolist(), len(data)]
+        pieces = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+        back = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        parts = self.encode_distinct(list(number))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begin, count, ids = (np.cumsum(sizes) - sizes)[back], sizes[back], np.frombuffer(b"".join(parts), "<u4")
         last = np.cumsum(count)

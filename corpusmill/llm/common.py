@@ -24,10 +24,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is configured."""
+    """The folder that driver and executors share. Only a local session may do without one and gets a folder of its own."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -80,7 +82,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SpanHasher:
-    """64-bit hashes of any byte spans of one buffer, from prefix sums of a polynomial modulo 2^64."""
+    """64-bit hashes of any byte spans of one buffer, from prefix sums of a polynomial modulo 2^64.
+
+    Cheap, but strings can be made that collide: for bucket keys and features, or where bytes are compared afterwards.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -93,6 +98,48 @@ class SpanHasher:
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: A Mersenne prime, and two bases drawn once for the polynomials modulo it.
+_P = np.uint64((1 << 31) - 1)
+_BASES = (1_246_809_673, 1_933_542_241)
+_MOST = 1 << 24
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo _P, for x below 2^63."""
+    for _ in range(2):
+        x = (x & _P) + (x >> np.uint64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _prime_powers(base: int, n: int) -> np.ndarray:
+    have = _POWERS.get(str(base))
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate((have, _fold(have * np.uint64(pow(base, len(have), int(_P))))))
+        _POWERS[str(base)] = have
+    return have[:n]
+
+
+class PairHasher:
+    """62 bits of hash for any byte spans of one buffer, from two polynomials modulo a prime: no two strings collide for every base."""
+
+    def __init__(self, data: np.ndarray):
+        n, x = len(data), data.astype(np.uint64) + np.uint64(1)
+        self._parts = []
+        for base in _BASES:
+            sums, last = np.zeros(n + 1, np.uint64), np.uint64(0)
+            up = _prime_powers(base, n)
+            for at in range(0, n, _MOST):
+                sums[at + 1 : at + _MOST + 1] = _fold(np.cumsum(x[at : at + _MOST] * up[at : at + _MOST]) + last)
+                last = sums[min(at + _MOST, n)]
+            self._parts.append((sums, _prime_powers(pow(base, -1, int(_P)), n + 1)))
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = (_fold((sums[end] + _P - sums[start]) * down[start]) for sums, down in self._parts)
+        return mix((a << np.uint64(32) | b) ^ mix((end - start).astype(np.uint64)))
+
+
 def packs(sizes: list[int], most: int = 1 << 20):
     """Slices of consecutive items whose sizes add up to ``most`` at the most, or that hold one larger item."""
     start = total = 0

@@ -3,17 +3,19 @@
 1. Documents with equal sets form a class; its smallest id stands for it from then on.
 2. Shingles are hashed to blocks. Two sets of similar size can differ in k shingles at most, so with more than k blocks one block
    at least holds the same shingles in both (or is empty in both, which then holds for so many blocks that
-   only documents with many empty blocks need to name them). Documents with an equal block are candidates, and candidates that hang
-   together form a cluster. No pair is made here: each block's documents are tied to the smallest of them.
-3. Within a cluster the counts of shingles by hash group are points of an R-tree. The sum over the groups of the smaller
+   only documents with many empty blocks need to name them). Documents with an equal block are candidates. No pair is made here: each
+   block's documents are held against the smallest of them, its hub, and the links found join them to components.
+3. Blocks whose documents are then one component are done, however many they are. Those of the others that hang together form a
+   cluster. Within it the counts of shingles by hash group are points of an R-tree. The sum over the groups of the smaller
    of query count and node maximum bounds the overlap with everything below the node. Pairs that survive are
    verified on the sets themselves; nodes already joined with the query are passed over. A cluster beyond a set size is
    cut into chunks, and each pair of chunks is one task.
-4. The verified links' connected components are the groups.
+4. The verified links' connected components are the groups. Verification compares words, not their hashes.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, mix, packs, small_batches, written
+from .common import PairHasher, mix, packs, small_batches, written
 from .components import components
 
 #: Groups of the count vector, points of a leaf and children of a node.
@@ -42,7 +44,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     gap = np.concatenate(([True], _SPACE[data]))
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
-    h = SpanHasher(data).spans(start, end)
+    h = PairHasher(data).spans(start, end)
     first = np.searchsorted(start, np.cumsum([0, *map(len, raw)]))
     factor = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
     total = max(0, len(h) - words + 1)
@@ -106,8 +108,27 @@ def _shingled(batch: pd.DataFrame, words: int) -> Iterator[tuple[np.ndarray, lis
         yield batch["id"].to_numpy()[part], shingle_sets(texts[part], words)
 
 
-def _set_hash(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s).sum(dtype=np.uint64)]))[0].astype(np.int64)) if len(s) else 0
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set, from two sums that do not depend on each other."""
+    sums = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum(dtype=np.uint64)])
+    return tuple(mix(sums).astype(np.int64).tolist()) if len(s) else (0, 0)
+
+
+def exact_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """Each text's shingles as numbers: two are equal if and only if their words are, within this call."""
+    known: dict[bytes, int] = {}
+    runs = []
+    for t in texts:
+        w = t.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        ids = np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w))
+        # a short text is one shingle, filled up with a number that no word has
+        runs.append(ids if len(ids) >= words or not len(ids) else np.append(ids, np.full(words - len(ids), 0xFFFFFFFF)))
+    starts = [max(0, len(r) - words + 1) for r in runs]
+    code = np.concatenate([r[:n] for r, n in zip(runs, starts, strict=True)] or [np.zeros(0, np.int64)])
+    for k in range(1, words):
+        after = np.concatenate([r[k : k + n] for r, n in zip(runs, starts, strict=True)])
+        code = np.unique(code.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64), return_inverse=True)[1]
+    return [np.unique(x) for x in np.split(code.astype(np.uint64), np.cumsum(starts)[:-1])] if texts else []
 
 
 class Tree:
@@ -138,23 +159,28 @@ class Tree:
         return nodes
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Linked pairs that connect whatever the links connect. ``side`` 0 and 1: only pairs across; all 0: every pair."""
+def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def links(sets: list[np.ndarray], side: np.ndarray, comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Linked pairs that, with the components given, connect whatever the links connect. ``side`` 0 and 1: only pairs across; all 0: every pair."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     across = len(np.unique(side)) > 1
-    points = np.array([np.bincount((sets[i] % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for i in order])
-    tree, comp, members = Tree(points, sizes[order]), np.arange(len(sets)), {i: [i] for i in range(len(sets))}
+    points = np.array([np.bincount((mix(sets[i]) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for i in order])
+    tree, comp = Tree(points, sizes[order]), np.unique(comp[order], return_inverse=True)[1]
+    members = {int(c): np.flatnonzero(comp == c).tolist() for c in np.unique(comp)}
     out = []
     for i, a in enumerate(order.tolist()):
         for j in tree.search(points[i], int(sizes[a]), i + 1, comp, comp[i], num, den).tolist():
             b = int(order[j])
             if comp[i] == comp[j] or across and side[a] == side[b]:
                 continue
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if den * both >= num * (sizes[a] + sizes[b] - both):
+            if linked(sets[a], sets[b], num, den):
                 out.append((a, b))
-                big, small = sorted((comp[i], comp[j]), key=lambda c: -len(members[c]))
+                big, small = sorted((int(comp[i]), int(comp[j])), key=lambda c: -len(members[c]))
                 moved = members.pop(small)
                 comp[moved] = big
                 members[big] += moved
@@ -183,8 +209,8 @@ def similar_groups(
 
     Words are runs of characters other than space and U+0009 to U+000D, with A-Z lower-cased. Null, empty and blank texts
     have no shingles and are their own group; so is a text with fewer than ``words`` words unless others have the same words. A null id
-    gives a null component and links nothing. Rows that repeat an id are grouped by their own text each. Sets are compared by
-    64-bit hashes of their shingles, and classes by the set's size and a 64-bit hash.
+    gives a null component and links nothing. Rows that repeat an id are counted each, and linked by the text of one of them. Candidates and
+    classes go by 62-bit hashes of words and 128-bit hashes of sets; links between classes are verified word by word.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -194,7 +220,8 @@ def similar_groups(
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, sets in _shingled(batch, words):
-                yield pd.DataFrame({"id": ids, "n": [len(s) for s in sets], "h": [_set_hash(s) for s in sets]})
+                h = [_set_hash(s) for s in sets]
+                yield pd.DataFrame({"id": ids, "n": [len(s) for s in sets], "h": [x for x, _ in h], "g": [x for _, x in h]})
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme = intervals(num, den, 1 << 32)
@@ -204,51 +231,77 @@ def similar_groups(
                 keys_, thin = (np.concatenate([g[i] for g in got]) for i in (0, 1))
                 yield pd.DataFrame({"key": keys_.astype(np.int64), "id": np.repeat(ids, [len(g) for g, _ in got]), "thin": thin})
 
-    sized = written(d.mapInPandas(measure, f"id {kind}, n long, h long"), "sets")
+    sized = written(d.mapInPandas(measure, f"id {kind}, n long, h long, g long"), "sets")
     known = sized.filter("id is not null and n > 0")
-    classes = known.groupBy("n", "h").agg(F.min("id").alias("rep"))
-    rep_of = known.join(classes, ["n", "h"]).select("id", "rep", "n").distinct()
-    rep_of = written(rep_of, "classes")
+    classes = known.groupBy("n", "h", "g").agg(F.min("id").alias("rep"))
+    rep_of = written(known.join(classes, ["n", "h", "g"]).select("id", "rep", "n").distinct(), "classes")
+    reps = rep_of.filter("id = rep").groupBy("rep").agg(F.max("n").alias("n"))
 
     keyed = d.filter("id is not null").mapInPandas(keys, f"key long, id {kind}, thin int")
     common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     often = Window.partitionBy("id", F.shiftright("thin", 16)).orderBy(F.desc("n"), "key")
     kept = keyed.join(common, "key").withColumn("nth", F.row_number().over(often)).filter(F.col("nth") > F.col("thin").bitwiseAND(0xFFFF)).select("key", "id")
-    kept = written(kept, "keys")
-    hubs = kept.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("key", "hub")
-    near = kept.join(hubs, "key").filter("id <> hub").select("hub", "id").distinct()
-    to_rep = rep_of.select("id", "rep")
-    ties = near.join(to_rep, "id").select("hub", F.col("rep").alias("b")).join(to_rep.withColumnRenamed("id", "hub"), "hub").select(F.col("rep").alias("a"), "b").filter("a <> b")
-    roots = components(ties, "a", "b")
-    member = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    reps = rep_of.filter("id = rep").groupBy("rep").agg(F.max("n").alias("n"))
-    member = written(member.join(reps, member["node"] == reps["rep"]).select("node", "root", "n"), "members")
+    by_key = written(kept.join(rep_of.select("id", "rep"), "id").select("key", "rep").distinct(), "keys")
+    hubs = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub <> last").select("key", "hub")
+    by_key = written(by_key.join(hubs, "key"), "candidates")
+    pairs = written(by_key.filter("rep <> hub").select("hub", F.col("rep").alias("node")).distinct(), "hubs")
+    sets = functools.partial(exact_sets, words=words)
+    bins = lambda total: max(spark.sparkContext.defaultParallelism, -(-2 * total // task_shingles))
+
+    # each hub against its documents, in as many tasks as they fill
+    sizes = pairs.join(reps, pairs["node"] == reps["rep"]).select("hub", "node", "n")
+    whole = sizes.groupBy("hub").agg(F.sum("n").alias("all_n")).withColumn("chunks", F.ceil(F.col("all_n") / task_shingles).cast("int"))
+    near = sizes.join(whole, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+    near = near.unionAll(whole.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks"))
+    n_bins = bins(whole.agg(F.sum("all_n")).first()[0] or 0)
+    near = near.select("hub", "node", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("hub"), F.lit(n_bins))).otherwise(F.xxhash64("hub", "chunk")).alias("bin"))
+    texts = likely(d, near.select("node"), "node")
+
+    def against_hub(group: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for hub, g in group.groupby("hub", sort=False):
+            g = g.drop_duplicates("node")
+            hub_set, others = g["node"] == hub, g["node"] != hub
+            if hub_set.any():
+                for part in packs([len(t) for t in g["text"][others]]):
+                    first, *rest = sets([g["text"][hub_set].iloc[0], *g["text"][others].tolist()[part]])
+                    found += [(hub, node) for node, s in zip(g["node"][others].tolist()[part], rest, strict=True) if linked(first, s, num, den)]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    edges = f"a {kind}, b {kind}"
+    to_hubs = written(texts.join(near, texts["id"] == near["node"]).select("bin", "hub", "node", "text").groupBy("bin").applyInPandas(against_hub, edges), "hub-links")
+
+    # what is left: blocks with documents of different components, and the clusters that they make
+    first = components(to_hubs, "a", "b").select(F.col("node").alias("rep"), "root")
+    by_key = by_key.join(first, "rep", "left").select("key", "hub", "rep", F.coalesce("root", "rep").alias("comp"))
+    mixed = by_key.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    open_ = written(by_key.join(mixed, "key"), "open")
+    roots = components(open_.select("hub", "rep"), "hub", "rep")
+    member = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(reps, F.col("node") == F.col("rep")).select("node", "root", "n")
+    member = written(member.join(open_.select(F.col("rep").alias("node"), "comp").distinct(), "node"), "members")
 
-    total = member.agg(F.sum("n")).first()[0] or 0
-    bins = max(spark.sparkContext.defaultParallelism, -(-2 * total // task_shingles))
+    n_bins = bins(member.agg(F.sum("n")).first()[0] or 0)
     whole = member.groupBy("root").agg(F.sum("n").alias("all_n")).withColumn("chunks", F.ceil(F.col("all_n") / task_shingles).cast("int"))
     placed = member.join(whole, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    tasks = placed.select("node", "root", "chunk", "chunks", other.alias("other")).select(
-        "node", "root", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunks"
+    tasks = placed.select("node", "root", "comp", "chunk", "chunks", other.alias("other")).select(
+        "node", "root", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunks"
     )
-    bin_of = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "lo", "hi"))
+    bin_of = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(n_bins))).otherwise(F.xxhash64("root", "lo", "hi"))
     tasks = tasks.withColumn("bin", bin_of).drop("chunks")
     texts = likely(d, member.select("node"), "node")
-    loaded = texts.join(tasks, texts["id"] == tasks["node"]).select("bin", "root", "lo", "hi", "chunk", "node", "text")
+    loaded = texts.join(tasks, texts["id"] == tasks["node"]).select("bin", "root", "comp", "lo", "hi", "chunk", "node", "text")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         found = []
         for (_, lo, _), g in group.groupby(["root", "lo", "hi"], sort=False):
             g = g.drop_duplicates("node")
-            ids, sets = g["node"].tolist(), []
-            for part in packs([len(t) for t in g["text"]]):
-                sets += shingle_sets(g["text"].tolist()[part], words)
-            found += [(ids[a], ids[b]) for a, b in links(sets, (g["chunk"] != lo).to_numpy().astype(int), num, den)]
+            ids = g["node"].tolist()
+            found += [(ids[a], ids[b]) for a, b in links(sets(g["text"].tolist()), (g["chunk"] != lo).to_numpy().astype(int), g["comp"].to_numpy(), num, den)]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    linked = loaded.groupBy("bin").applyInPandas(verify, f"a {kind}, b {kind}")
-    final = components(linked, "a", "b").withColumnRenamed("node", "rep")
-    out = sized.join(classes, ["n", "h"], "left").join(final, "rep", "left")
+    more = loaded.groupBy("bin").applyInPandas(verify, edges)
+    final = components(to_hubs.unionAll(more), "a", "b").withColumnRenamed("node", "rep")
+    out = sized.join(classes, ["n", "h", "g"], "left").join(final, "rep", "left")
     alone = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), alone).alias("component_id"))

@@ -127,6 +127,59 @@ def test_bpe_against_the_library(spark, docs, odd):
     assert other.decode(other.encode(["ab cd"])[0]) == b"ab cd"
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    texts = [t for n in (512, 1024, 2048) for t in thue_morse(n)]
+    tokens = bpe.read_ranks(public_tokenizers.path(queries.RANKS))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    codec = bpe.Codec(tokens, public_tokenizers.PATTERN)
+    assert [x.tolist() for x in codec.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    words = [" ".join(f"{t}{i}" for i in range(9)) for t in texts]
+    d = spark.createDataFrame(list(enumerate([*words, *words])), "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(d).collect()}
+    assert got == {i: i % 6 for i in range(12)}
+    exact = jaccard.exact_sets([*words, "", "x", "x y", "x y z"], 4)
+    assert [len(s) for s in exact] == [6] * 6 + [0, 1, 1, 1] and len(np.unique(np.concatenate(exact))) == 39
+
+
+def brute_groups(texts, words, num, den):
+    """Component of each text by every pair of sets."""
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if c.isascii() else c for c in t or "").split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(sets)))
+    for _ in sets:
+        before = list(root)
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            return [len(s) for s in sets], root
+
+
+@pytest.mark.parametrize(("words", "num", "size"), [(4, 85, jaccard.TASK_SHINGLES), (5, 80, 900)])
+def test_groups_against_brute_force(spark, words, num, size):
+    rng = np.random.default_rng(7)
+    base = [[f"w{x}" for x in rng.integers(0, 500, n)] for n in (3, 4, 12, 40, 150, 400)]
+    texts = [" ".join(b) for b in base]
+    for _ in range(90):
+        t = list(base[rng.integers(len(base))])
+        for _ in range(rng.integers(0, 1 + len(t) // 30 + 1)):
+            t[rng.integers(len(t))] = f"x{rng.integers(50)}"
+        texts.append("\t".join(t))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted(map(tuple, jaccard.similar_groups(d, words=words, num=num, task_shingles=size).collect()))
+    assert got == [(i, n, r) for i, (n, r) in enumerate(zip(*brute_groups(texts, words, num, 100), strict=True))]
+
+
 def test_groups_of_edge_rows(odd):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.similar_groups(odd).collect())
     assert got == [(-1, 5, None), (1000, 0, 1000), (1001, 0, 1001), (1002, 1, 1002), (1003, 1, 1003), (1003, 1, 1003), (1004, 1, 1004)]

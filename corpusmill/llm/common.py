@@ -44,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], n: str, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and in ``n`` the number of rows of ``left`` with that key.
+
+    A key with more than one in ``share`` of the rows is hot. There are fewer than ``share`` of them, whatever the input, so they are
+    broadcast and their rows stay where they are; the others are shuffled. Both tables are read twice, so they should be written ones.
+    """
+    hot = F.col(n) > left.count() / share
+    keys = F.broadcast(right.filter(hot).select(*on))
+    cold = left.join(keys, on, "left_anti").join(right.filter(~hot), on)
+    return left.join(F.broadcast(right.filter(hot)), on).unionByName(cold)
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

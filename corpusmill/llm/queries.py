@@ -16,7 +16,8 @@ SURROGATE_KEY = "corpusmill"
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", *suffixdedup.digests())
+    # what is left as text: a removed run may begin or end within a character, whose other bytes then show as U+FFFD
+    return got.select("doc_id", *suffixdedup.digests(), F.make_valid_utf8(F.col("dedup")["kept"].cast("string")).alias("kept_text"))
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,16 +4,17 @@ A window is a string of ``width`` bytes that starts at one byte of a document. T
 
 1. Every window picks the smallest hash among its 64-byte grams. Windows next to each other with the same pick form a segment, the text
    they cover. Equal windows pick equal grams, so the pick is a bucket key: windows of different buckets differ.
-2. A bucket with one segment has no repeat. In one whose segments are all equal, every window repeats. Only the distinct segments
-   of the other buckets are loaded, and several buckets make a block of bounded size.
+2. A bucket with one segment has no repeat. Of the others each distinct segment, by a 128-bit cryptographic digest, is loaded once, with
+   the number of its copies, and several buckets make a block of bounded size.
 3. A block's suffixes are sorted down to ``width`` bytes. Suffix buckets (equal first 32 bytes) are taken one range at a time; long
    ties within them are resolved by ranks of the suffixes at a difference cover modulo 32, computed once for the block: any two positions
-   have an offset below 32 at which both are in the cover. Equal neighbours are repeats.
-4. A bucket beyond the size of a block is sorted in several blocks, whose classes of equal windows then meet by a 128-bit hash.
+   have an offset below 32 at which both are in the cover. Equal neighbours are repeats, and so is each window of a segment with copies.
+4. A bucket beyond the size of a block is sorted in several blocks, whose classes of equal windows then meet by such a digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SpanHasher, mix, small_batches, written
+from .common import SpanHasher, join_skewed, small_batches, written
 
 WIDTH, GRAM = 400, 64
 #: Modulus of the difference cover, and the depth to which sampled suffixes are ranked.
@@ -74,19 +75,25 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
+def digests_of(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each span: 128 bits of BLAKE2b."""
+    raw = b"".join(hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
+
+
 def segments(text: bytes, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each piece of a document: first windows, numbers of windows, bucket keys and content hashes of its segments."""
+    """For each piece of a document: first windows, numbers of windows, bucket keys and content digests of its segments."""
     bits = np.uint64(_PIECE.bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
     for at in range(0, len(text) - width + 1, _PIECE):
-        data = np.frombuffer(text[at : at + _PIECE + width - 1], np.uint8)
-        h = SpanHasher(data)
+        piece = text[at : at + _PIECE + width - 1]
+        data = np.frombuffer(piece, np.uint8)
         pos = np.arange(len(data) - gram + 1)
-        grams = h.spans(pos, pos + gram)
+        grams = SpanHasher(data).spans(pos, pos + gram)
         best = (sliding_min((grams >> bits << bits) | pos.astype(np.uint64), width - gram + 1) & low).astype(np.int64)
         first = np.flatnonzero(np.diff(best, prepend=-1))
         last = np.append(first[1:], len(best))
-        yield at + first, last - first, grams[best[first]], h.spans(first, last + width - 1)
+        yield at + first, last - first, grams[best[first]], digests_of(piece, first, last + width - 1)
 
 
 def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -160,8 +167,13 @@ def _runs(on: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
+#: Of a sorted block: a segment, its number of copies, and first and last + 1 of its runs of repeated windows; with w1 and w2 not
+#: null, one window whose class may go on in another block.
+SORTED = "key long, s1 long, s2 long, n long, runs array<struct<lo:long,hi:long>>, w1 long, w2 long"
+
+
 def _sort_block(group: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Repeats within a block: runs of windows of a segment (kind 0), and where the bucket has more blocks, its classes (kind 1)."""
+    """Repeats within a block: each segment's runs of windows, and where the bucket has more blocks, one window of each class."""
     text = b"".join(group["text"])
     size = np.fromiter(map(len, group["text"]), np.int64, len(group))
     begin, count = np.cumsum(size) - size, size - width + 1
@@ -169,21 +181,22 @@ def _sort_block(group: pd.DataFrame, width: int) -> pd.DataFrame:
     inside = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
     windows = begin[seg] + inside
     cls = BlockSorter(text, width).classes(windows)
-    repeated = (np.bincount(cls)[cls] > 1) | group["many"].to_numpy()[seg]
-    key, sh, split = (group[c].to_numpy() for c in ("key", "sh", "split"))
+    repeated = (np.bincount(cls)[cls] > 1) | (group["n"].to_numpy() > 1)[seg]
+    names = ["key", "s1", "s2", "n"]
     runs = _runs(np.insert(repeated, np.cumsum(count)[:-1], False))
     which = np.searchsorted(np.cumsum(count + 1), runs[:, 0], side="right")
     base = (np.cumsum(count + 1) - count - 1)[which]
-    out = pd.DataFrame({"kind": 0, "key": key[which], "sh": sh[which], "lo": runs[:, 0] - base, "hi": runs[:, 1] - base, "w1": 0, "w2": 0})
-    if not split.any():
+    own = [{"lo": lo, "hi": hi} for lo, hi in (runs - base[:, None]).tolist()]
+    some, at = np.unique(which, return_index=True)
+    at = [*at.tolist(), len(own)]
+    out = group[names].iloc[some].assign(runs=[own[a:b] for a, b in zip(at, at[1:], strict=False)], w1=None, w2=None)
+    if not group["split"].any():
         return out
     rep = np.unique(cls, return_index=True)[1]
-    rep = rep[split[seg[rep]]]
-    h = SpanHasher(np.frombuffer(text, np.uint8)).spans(windows[rep], windows[rep] + width)
-    again = SpanHasher(np.frombuffer(text, np.uint8) ^ np.uint8(0x5A)).spans(windows[rep], windows[rep] + width)
-    lo = inside[rep]
-    more = pd.DataFrame({"kind": 1, "key": key[seg[rep]], "sh": sh[seg[rep]], "lo": lo, "hi": lo + 1, "w1": h.astype(np.int64), "w2": mix(again).astype(np.int64)})
-    return pd.concat([out, more], ignore_index=True)
+    rep = rep[group["split"].to_numpy()[seg[rep]]]
+    w = digests_of(text, windows[rep], windows[rep] + width)
+    more = group[names].iloc[seg[rep]].assign(runs=[[{"lo": i, "hi": i + 1}] for i in inside[rep].tolist()], w1=w[:, 0], w2=w[:, 1])
+    return pd.concat([out.astype({"w1": "Int64", "w2": "Int64"}), more.astype({"w1": "Int64", "w2": "Int64"})], ignore_index=True)
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, into: str = "dedup") -> DataFrame:
@@ -191,7 +204,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, b
 
     Texts are UTF-8 bytes and a null text is empty. Each byte goes that a window of ``width`` bytes covers which also starts anywhere
     else, in the same or another row, overlaps included; repeats are judged on the input. Texts shorter than
-    ``width`` lose nothing. Equal rows lose whatever is in windows. All columns of ``docs`` stay but one called ``into``.
+    ``width`` lose nothing. Equal rows lose whatever is in windows. All columns of ``docs`` stay but one called ``into``; names that
+    begin with two underscores are this function's own. A bucket or segment that many rows share is counted before it is shuffled.
     """
     if width < DEEP + COVER:
         raise ValueError(f"width must be at least {DEEP + COVER}")
@@ -204,8 +218,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, b
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row, t in zip(batch["__row"], batch["__text"], strict=True):
-                for first, count, key, sh in segments((t or "").encode("utf-8", "surrogatepass"), width):
-                    yield pd.DataFrame({"row": row, "first": first, "count": count, "key": key.astype(np.int64), "sh": sh.astype(np.int64)})
+                for first, count, key, s in segments((t or "").encode("utf-8", "surrogatepass"), width):
+                    yield pd.DataFrame({"row": row, "first": first, "count": count, "key": key.astype(np.int64), "s1": s[:, 0], "s2": s[:, 1]})
 
     def cut_batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -218,38 +232,34 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, b
         if held:
             yield pd.concat(held, ignore_index=True)
 
-    found = texts.filter(F.octet_length("__text") >= width).mapInPandas(cut_batched, "row long, first long, count long, key long, sh long")
+    found = texts.filter(F.octet_length("__text") >= width).mapInPandas(cut_batched, "row long, first long, count long, key long, s1 long, s2 long")
     found = written(found, "segments")
-    buckets = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sh").alias("s"), F.max("sh").alias("t")).filter("n > 1")
-    found = written(found.join(buckets.select("key", (F.col("s") == F.col("t")).alias("alike")), "key"), "repeated")
-
-    unlike = found.filter("not alike").groupBy("key", "sh").agg(F.min(F.struct("row", "first", "count")).alias("at"), (F.count(F.lit(1)) > 1).alias("many"))
-    unlike = unlike.select("key", "sh", "at.*", "many").withColumn("bytes", F.col("count") + (width - 1))
-    sizes = unlike.groupBy("key").agg(F.sum("bytes").alias("all_bytes"))
+    segment = ["key", "s1", "s2"]
+    distinct = found.groupBy(*segment).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "count")).alias("at"))
+    distinct = written(distinct.select(*segment, "n", "at.*").withColumn("bytes", F.col("count") + (width - 1)), "distinct")
+    sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("copies"), F.sum("bytes").alias("all_bytes"))
+    sizes = written(sizes.filter("copies > 1").drop("copies"), "buckets")
+    loading = join_skewed(distinct, sizes, ["key"], "kinds")
     big = F.col("all_bytes") > block_bytes
-    unlike = unlike.join(sizes, "key").withColumn("split", big)
-    total = unlike.agg(F.sum("bytes")).first()[0] or 0
-    bins = max(1, -(-2 * total // block_bytes))
-    part = F.pmod(F.xxhash64("sh"), F.ceil(F.col("all_bytes") * 2 / block_bytes))
-    unlike = unlike.withColumn("bin", F.when(big, F.xxhash64("key", part)).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins))))
+    bins = max(1, -(-2 * (sizes.agg(F.sum("all_bytes")).first()[0] or 0) // block_bytes))
+    part = F.pmod(F.xxhash64("s1"), F.ceil(F.col("all_bytes") * 2 / block_bytes))
+    loading = loading.withColumn("split", big).withColumn("bin", F.when(big, F.xxhash64("key", part)).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins))))
 
-    wanted = unlike.groupBy("row").agg(F.collect_list(F.struct("bin", "key", "sh", "first", "bytes", "many", "split")).alias("want"))
+    wanted = loading.groupBy("row").agg(F.collect_list(F.struct("bin", *segment, "n", "first", "bytes", "split")).alias("want"))
     loaded = (
         texts.join(wanted, texts["__row"] == wanted["row"])
         .select(F.col("__text").cast("binary").alias("b"), F.explode("want").alias("w"))
-        .select("w.bin", "w.key", "w.sh", "w.many", "w.split", F.substring(F.col("b"), F.col("w.first").cast("int") + 1, F.col("w.bytes").cast("int")).alias("text"))
-    )
-    schema = "kind int, key long, sh long, lo long, hi long, w1 long, w2 long"
-    sorted_ = written(loaded.groupBy("bin").applyInPandas(lambda g: _sort_block(g, width), schema), "sorted")
-
-    classes = sorted_.filter("kind = 1").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    across = sorted_.filter("kind = 1").join(classes, ["w1", "w2"]).select("key", "sh", "lo", "hi")
-    runs = sorted_.filter("kind = 0").select("key", "sh", "lo", "hi").unionAll(across)
-    spans = (
-        found.filter("not alike").join(runs, ["key", "sh"]).select("row", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
-        .unionAll(found.filter("alike").select("row", F.col("first").alias("lo"), (F.col("first") + F.col("count")).alias("hi")))
+        .select("w.bin", "w.key", "w.s1", "w.s2", "w.n", "w.split", F.substring(F.col("b"), F.col("w.first").cast("int") + 1, F.col("w.bytes").cast("int")).alias("text"))
     )
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+    sorted_ = written(loaded.groupBy("bin").applyInPandas(lambda g: _sort_block(g, width), SORTED), "sorted")
+
+    across = sorted_.filter("w1 is not null")
+    classes = across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("w1", "w2")
+    runs = sorted_.filter("w1 is null").select(*segment, "n", "runs").unionAll(across.join(classes, ["w1", "w2"]).select(*segment, "n", "runs"))
+    runs = written(runs.groupBy(*segment).agg(F.max("n").alias("n"), F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("lo"), (F.col("first") + r["hi"]).alias("hi")))
+    spans = join_skewed(found, runs, segment, "n").select("row", moved.alias("spans"))
+    spans = spans.groupBy(F.col("row").alias("__at")).agg(F.flatten(F.collect_list("spans")).alias("__spans"))
 
     @F.pandas_udf(RESULT)
     def apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -267,7 +277,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, b
             rows.append((len(raw), runs[:, 0].tolist(), runs[:, 1].tolist(), np.frombuffer(raw, np.uint8)[~out].tobytes()))
         return pd.DataFrame(rows, columns=["n_bytes", "starts", "ends", "kept"])
 
-    joined = numbered.join(spans, numbered["__row"] == spans["row"], "left").drop("row")
+    joined = numbered.join(spans, numbered["__row"] == spans["__at"], "left").drop("__at")
     return joined.withColumn(into, apply(F.col(text), F.col("__spans"))).drop("__row", "__spans")
 
 

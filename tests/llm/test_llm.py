@@ -60,6 +60,22 @@ def test_repeats_against_brute_force(spark, docs, block):
     assert got == dict(zip([i for i, _ in texts], brute_repeats([t for _, t in texts]), strict=True))
 
 
+def test_repeats_of_edge_rows(spark, odd):
+    got = suffixdedup.remove_repeats(odd)
+    assert got.columns == [*odd.columns, "dedup"] and got.filter("row = 3 and key = 4").count() == len(ODD)
+    rows = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in got.select("doc_id", *suffixdedup.digests()).collect())
+    assert rows == [(-1, 15, 0), (1000, 0, 0), (1001, 0, 0), (1002, 3000, 3000), (1003, 4, 0), (1003, 4, 0), (1004, 40000, 40000)]
+    assert suffixdedup.remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_repeats_of_hot_copies(spark):
+    passage = " ".join(f"w{i}" for i in range(120))
+    texts = [f"{i} start {passage} end {i}" if i % 3 else "copy " + "x y z " * 200 for i in range(300)]
+    got = suffixdedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), block_bytes=20_000)
+    got = [tuple(r)[1:] for r in got.select("doc_id", *suffixdedup.digests()).orderBy("doc_id").collect()]
+    assert got == brute_repeats(texts)
+
+
 def test_difference_cover_and_sorter():
     cover = suffixdedup.difference_cover(32)
     assert {(a - b) % 32 for a in cover for b in cover} == set(range(32))

@@ -235,6 +235,29 @@ def test_nearest(spark, sf):
     assert {r.vec_id for r in ann.nearest(v.filter("vec_id < 3"), v.filter("vec_id = 0")).collect()} == {1, 2}
 
 
+def test_nearest_with_ties_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(30)] + [(7, [9.0, 9.0, 9.0]), (50, [1.0, 0.0, 0.5])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1)).withColumn("id", F.lit(2)).withColumn("bound", F.lit(0))
+    got = ann.nearest(d, d.filter("vec_id in (0, 50)")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in (3, 6, 9, 12, 15)] + [(50, i) for i in (0, 3, 6, 9, 12)]
+    assert all(abs(r.score - 1) < 1e-12 for r in got)
+
+
+def test_scan_abandons_candidates():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, share = x[:40], ann.shares(64)
+    same = np.arange(3000)[:, None] == np.arange(40)[None, :]
+    near = 2 - 2 * x @ q.T + 9 * same
+    fifth = np.sort(near, axis=0)[4]
+    want = {(i, j) for j in range(40) for i in np.argsort(near[:, j])[:5]}
+    for bound, most in ((np.full(40, np.inf), 0.6), (fifth * 1.1, 0.5)):
+        i, j, reads = ann.scan(x, q, same, bound, 5, share)
+        assert len(want & set(zip(i.tolist(), j.tolist(), strict=True))) >= 0.93 * len(want) and reads < most * x.size * 40
+        assert not same[i, j].any()
+
+
 def test_surrogates(spark, odd):
     t = "Mail bob.x@mail8.example.com, +1 (988) 555-2485, 4111 1111 1111 1111 or 42.144.35.254. Mrs. Anna Jones and Mr Jones. bob.x@mail8.example.com"
     d = spark.createDataFrame([(1, t), (2, "again bob.x@mail8.example.com"), (3, None), (4, "Госпожа Иванова")], "doc_id long, text string")

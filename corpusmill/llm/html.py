@@ -2,16 +2,18 @@
 
 A page is cut into text blocks, each with the path of tags from the root to it. Text length, punctuation and link text
 are aggregated per path; the ratios are smoothed over the blocks in page order, fused with each other and with what
-the tags and class names say, and a threshold on the fused ratio chooses the content paths. The smallest container that holds
-all blocks of the chosen paths gives the result, with its headings and short paragraphs but without its boilerplate subtrees.
+the tags and class names say, and a threshold on the fused ratio chooses the content paths. A name that marks boilerplate is a
+factor like the others, and none where the element holds an article or most of the text. The smallest container that holds
+all chosen blocks gives the result, with its headings and short paragraphs but without its boilerplate subtrees.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 import pandas as pd
@@ -29,7 +31,7 @@ INLINE = set(
     "strike strong sub sup time tt u var wbr".split()
 )
 SKIP = set(
-    "script style noscript template title textarea xmp iframe noembed noframes plaintext head nav footer aside form button select option "
+    "script style noscript template title textarea xmp iframe noembed noframes plaintext head nav footer aside button select option "
     "datalist svg math canvas object audio video map dialog menu input".split()
 )
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -38,8 +40,12 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: White space as HTML has it, and the no-break space.
 SPACE = " \t\n\r\f\v\xa0               　 \x85"
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A tag; possessive, so that it is found or not in one go.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same where a quote of an earlier tag was never closed: a quote then means nothing.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+COMMENT_END = re.compile(r"--!?>")
+ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
 BLANK = re.compile(f"[{SPACE}]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 #: Words in a class, id or role that mark boilerplate, each at a word's start or end.
@@ -55,166 +61,238 @@ TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|re
 #: A header that is an article's title, not the site's.
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 TITLED = re.compile(r"(?:article|post|entry|story|content|main)[_-]+header(?=$|[\s_-])", re.I)
-#: A noisy name is overruled if the element holds more than the first share of the page's text, or an article with the second.
+#: A noisy name is overruled if the element holds an article with the second share of the page's text, or the first share where no article has the second.
 MOST, ARTICLE = 0.5, 0.25
+#: The factor of a noisy name that is not.
+NOISY = 0.1
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post\w*|entry\w*|story\w*|body|text|page)(?=$|[\s_-])", re.I)
 
-RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("paths", T.ArrayType(T.StringType()))])
+RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("labels", T.ArrayType(T.StringType()))])
+
+
+@dataclass(slots=True, eq=False)
+class Node:
+    """An element. What holds for all below it is handed down when it is made, so that no step walks up the tree."""
+
+    parent: Node | None
+    tag: str
+    label: str = ""
+    number: int = 0  # in the order of the opening tags
+    path: int = 0  # number of the path of labels from the root to it, inline elements left out
+    silent: bool = False  # its text is never shown
+    link: bool = False
+    prior: float = 1.0
+    named: bool = False  # its own name marks boilerplate
+    talk: bool = False  # ... that readers write
+    noisy: bool = False  # it or an element around it is named and not overruled
+    top: bool = False  # in an article or main element
+    block: Node | None = None  # the innermost element around it, or itself, that is not inline
+    last: int = 0  # the largest number below it
+    text: int = 0  # characters of its text but links
+    inner: int = 0  # most such characters of an article or main element below it
+    main: bool = False  # a main element with text is below it
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]  # numbers of the elements on the path
+    node: Node
     text: str
     link: int
-    noise: bool
-    prior: float
-    tag: str
-    named: dict[int, bool]  # numbers of the elements around it that their names make noise, and whether readers write there
-    tops: tuple[int, ...]  # numbers of the article and main elements around it
-    main: int  # number of the innermost main element, or 0
-
-
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order. Unclosed and misnested tags end where the enclosing block ends."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, int, bool, float, bool, bool, bool]] = []  # tag, label, number, noise, prior, whether its text is skipped, noise and talk by name
-    parts: list[str] = []
-    link = count = 0
-    skip_until = 0
-
-    def flush() -> None:
-        nonlocal link
-        if not parts:
-            return
-        text = BLANK.sub(" ", unescape("".join(parts))).strip(" ")
-        parts.clear()
-        if text:
-            block = [x for x in stack if x[0] not in INLINE]
-            out.append(
-                Block(
-                    tuple(x[1] for x in block), tuple(x[2] for x in block), text, min(link, len(text)),
-                    any(x[3] for x in stack), max((x[4] for x in block), default=1.0), block[-1][0] if block else "",
-                    {x[2]: x[7] for x in stack if x[6]}, tuple(x[2] for x in stack if x[0] in ("article", "main")), max((x[2] for x in stack if x[0] == "main"), default=0),
-                )
-            )
-        link = 0
-
-    def add(piece: str) -> None:
-        nonlocal link
-        if piece and not any(x[5] for x in stack[-1:]):
-            parts.append(piece)
-            if any(x[0] == "a" for x in stack):
-                link += len(BLANK.sub(" ", piece).strip())
-
-    at, low = 0, html.lower()
-    for m in TOKEN.finditer(html):
-        if m.start() < skip_until:
-            continue
-        add(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if any(x[0] == tag for x in stack):
-                if tag not in INLINE:
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
+
+
+@dataclass
+class Page:
+    """Parses a page into ``blocks``, in order. Unclosed and misnested tags end where the enclosing block ends; time is linear."""
+
+    html: str
+    nodes: list[Node] = field(default_factory=list)
+    blocks: list[Block] = field(default_factory=list)
+
+    def __post_init__(self):
+        root = Node(None, "")
+        root.block = root
+        self.nodes.append(root)
+        self.stack, self.open, self.paths = [root], defaultdict(int), {}
+        self.parts: list[str] = []
+        self.linked = 0
+        self.parse()
+        self.flush()
+        for n in reversed(self.nodes[1:]):
+            p, is_top = n.parent, n.tag in ("article", "main")
+            p.last, p.text = max(p.last, n.last), p.text + n.text
+            p.inner = max(p.inner, n.inner, n.text if is_top else 0)
+            p.main = p.main or n.main or n.tag == "main" and n.text > 0
+
+    def parse(self) -> None:
+        html, at, start, tag = self.html, 0, 0, TAG
+        while (start := html.find("<", start)) >= 0:
+            follows = html[start + 1 : start + 2]
+            if follows in ("!", "?"):
+                self.add(html[at:start])
+                if html.startswith("<!--", start):
+                    m = COMMENT_END.search(html, start + 2)
+                    end = m.end() if m else len(html)
+                elif html.startswith("<![CDATA[", start):
+                    end = html.find("]]>", start)
+                    end = end + 3 if end >= 0 else len(html)
                 else:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            del stack[i]
-                            break
-                        if stack[i][0] not in INLINE:
-                            break
-            continue
+                    end = html.find(">", start)
+                    end = end + 1 if end >= 0 else len(html)
+                at = start = end
+                continue
+            m = tag.match(html, start) if follows == "/" or follows.isalpha() else None
+            if m is None and tag is TAG and (follows == "/" and html[start + 2 : start + 3].isalpha() or follows.isalpha()):
+                tag = PLAIN_TAG
+                m = tag.match(html, start)
+            if m is None:
+                if tag is PLAIN_TAG and html.find(">", start) < 0:
+                    break
+                start += 1
+                continue
+            self.add(html[at:start])
+            at = start = m.end()
+            name = m[2].lower()
+            if m[1]:
+                self.close(name)
+            elif self.begin(name, m[3]) and name in RAW:
+                end = _closing(name).search(html, at)
+                at = start = end.start() if end else len(html)
+        self.add(html[at:])
+
+    def add(self, piece: str) -> None:
+        top = self.stack[-1]
+        if piece and not top.silent:
+            self.parts.append(piece)
+            if top.link:
+                self.linked += len(BLANK.sub(" ", piece).strip())
+
+    def flush(self) -> None:
+        if self.parts:
+            text = BLANK.sub(" ", unescape("".join(self.parts))).strip(" ")
+            self.parts.clear()
+            if text:
+                node = self.stack[-1].block
+                self.blocks.append(Block(node, text, min(self.linked, len(text))))
+                node.text += len(text) - self.blocks[-1].link
+        self.linked = 0
+
+    def pop(self) -> Node:
+        n = self.stack.pop()
+        self.open[n.tag] -= 1
+        return n
+
+    def close(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        if tag not in INLINE:
+            self.flush()
+        else:
+            # an inline element can only be closed within its block
+            i = len(self.stack) - 1
+            while self.stack[i].tag in INLINE and self.stack[i].tag != tag:
+                i -= 1
+            if self.stack[i].tag != tag:
+                return
+        while self.pop().tag != tag:
+            pass
+
+    def begin(self, tag: str, rest: str) -> bool:
+        """Opens an element; whether it has content."""
         if tag == "br":
-            parts.append(" ")
+            self.parts.append(" ")
         if tag not in INLINE:
-            flush()
-            if stack and tag not in VOID:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES.get(tag, ()) or stack[i][0] == "p" or stack[i][0] in HEADING and tag in HEADING:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
-            continue
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m[3])} if m[3] else {}
+            self.flush()
+            if tag not in VOID:
+                i = len(self.stack) - 1
+                while i and self.stack[i].tag in INLINE:
+                    i -= 1
+                ended = self.stack[i].tag
+                if ended in CLOSES.get(tag, ()) or ended == "p" or ended in HEADING and tag in HEADING:
+                    while len(self.stack) > i:
+                        self.pop()
+        if tag in VOID or rest.endswith("/") and tag not in RAW:
+            return False
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(rest)} if rest else {}
         name = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).strip()
-        top = any(x[0] in ("article", "main") for x in stack)
-        noise = tag in SKIP or tag == "header" and not top and not TITLED.search(name)
-        named = bool(name) and tag not in ("article", "main", "body", "html") and bool(NOISE.search((HEADER if top else TITLED).sub(" ", name)))
-        noise = noise or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        prior = 4.0 if tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody" else 2.0 if name and MAIN.search(name) else 1.0
-        count += 1
-        stack.append((tag, f"{tag}.{'.'.join(name.split())}" if name else tag, count, noise, prior, tag in SKIP or bool(stack) and stack[-1][5], named, named and bool(TALK.search(name))))
-        if tag in RAW:
-            stop = low.find(f"</{tag}", at)
-            skip_until = at = len(html) if stop < 0 else stop
-    if at < len(html):
-        add(html[at:])
-    flush()
-    return out
-
-
-def without_noise(found: list[Block]) -> list[Block]:
-    """The blocks that no noisy name rules out; a name is overruled by what the element holds, and all are where nothing is left."""
-    found = [b for b in found if not b.noise]
-    held: dict[int, int] = defaultdict(int)
-    for b in found:
-        for n in {*b.named, *b.tops}:
-            held[n] += len(b.text) - b.link
-    total = sum(len(b.text) - b.link for b in found)
-    spared = set()
-    for b in found:
-        for n, talk in b.named.items():
-            inner = any(t > n and held[t] >= ARTICLE * total for t in b.tops)
-            if inner and b.main > n if talk else inner or held[n] > MOST * total:
-                spared.add(n)
-    return [b for b in found if spared.issuperset(b.named)] or found
+        p = self.stack[-1]
+        n = Node(p, tag, f"{tag}.{'.'.join(name.split())}" if name else tag, len(self.nodes))
+        n.last = n.number
+        hidden = re.search(r"(?<![\w-])hidden(?![\w-])", rest) is not None and "hidden" not in name or attrs.get("aria-hidden") == "true"
+        hidden = hidden or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        n.silent = p.silent or tag in SKIP or hidden
+        n.link, n.top = p.link or tag == "a", p.top or tag in ("article", "main")
+        clean = (HEADER if p.top else TITLED).sub(" ", name)
+        if tag not in ("article", "main", "body", "html"):
+            n.named = tag == "form" or tag == "header" and not p.top and not TITLED.search(name) or bool(name) and bool(NOISE.search(clean))
+            n.talk = n.named and bool(TALK.search(name))
+        n.prior, n.block, n.path = p.prior, p.block, p.path
+        if tag not in INLINE:
+            own = 4.0 if tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody" else 2.0 if name and MAIN.search(name) else 1.0
+            n.prior, n.block, n.path = max(p.prior, own), n, self.paths.setdefault((p.path, n.label), len(self.paths) + 1)
+        self.nodes.append(n)
+        self.stack.append(n)
+        self.open[tag] += 1
+        return True
+
+    def mark(self) -> None:
+        """Tell which elements are boilerplate by a name that nothing overrules."""
+        total, article = self.nodes[0].text, self.nodes[0].inner
+        for n in self.nodes[1:]:
+            holds = n.inner >= max(1, ARTICLE * total)
+            spared = holds and n.main if n.talk else holds or n.text > MOST * total and article < ARTICLE * total
+            n.noisy = n.parent.noisy or n.named and not spared
+
+
+@functools.cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I)
 
 
 def extract(html: str | None, *, width: int = 1, level: float = 0.5) -> list[Block]:
     """The content blocks of a page: ``width`` blocks on either side smooth the ratios, ``level`` scales the threshold."""
-    found = without_noise(blocks(html or ""))
+    page = Page(html or "")
+    page.mark()
+    found = page.blocks
     if not found:
         return []
-    total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0] * 4)
+    total: dict[int, list[float]] = defaultdict(lambda: [0.0] * 4)
     for b in found:
-        t = total[b.path]
+        t = total[b.node.path]
         for i, x in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), b.link)):
             t[i] += x
     ratio = {p: (n, chars / n * (1 - link / chars), 1 + marks / n) for p, (n, chars, marks, link) in total.items()}
     kernel = [math.exp(-(d * d) / (2 * max(width, 1) ** 2)) for d in range(-width, width + 1)]
+    quiet = [b for b in found if not b.node.noisy] or found
+    place = {id(b): i for i, b in enumerate(quiet)}
     score = []
-    for i, b in enumerate(found):
-        near = [(kernel[d + width], ratio[found[i + d].path]) for d in range(-width, width + 1) if 0 <= i + d < len(found)]
-        smooth = sum(k * r[1] for k, r in near) / sum(k for k, _ in near)
-        own = ratio[b.path]
-        score.append(math.log1p(math.sqrt(smooth * own[1])) * math.log2(1 + own[2]) * b.prior)
-    fused: dict[tuple[str, ...], float] = defaultdict(float)
+    for b in found:
+        own = ratio[b.node.path]
+        smooth = own[1]
+        if (i := place.get(id(b))) is not None:  # boilerplate is no neighbour
+            near = [(kernel[d + width], ratio[quiet[i + d].node.path]) for d in range(-width, width + 1) if 0 <= i + d < len(quiet)]
+            smooth = sum(k * r[1] for k, r in near) / sum(k for k, _ in near)
+        score.append(math.log1p(math.sqrt(smooth * own[1])) * math.log2(1 + own[2]) * b.node.prior * (NOISY if b.node.noisy else 1))
+    fused: dict[int, float] = defaultdict(float)
     for b, s in zip(found, score, strict=True):
-        fused[b.path] = max(fused[b.path], s)
-    mean = sum(fused.values()) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
+        fused[b.node.path] = max(fused[b.node.path], s)
+    of = [fused[p] for p in {b.node.path for b in quiet}]
+    mean = sum(of) / len(of)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in of) / len(of))
     best = max(fused.values())
-    paths = {p for p, s in fused.items() if s >= min(best, max(level * spread, best / 2))}
-    root = None
-    for b in found:
-        if b.path in paths:
-            own = b.nodes[:-1]  # containers only, not the paragraph itself
-            root = own if root is None else tuple(m for m, n in zip(root, own) if m == n)
-    inside = [b for b in found if b.nodes[: len(root)] == root]
-    return [b for b in inside if b.path in paths or b.tag in HEADING or b.prior >= 2 or b.link * 2 <= len(b.text)]
+    cut = min(best, max(level * spread, best / 2))
+    chosen = [fused[b.node.path] >= cut and (not b.node.noisy or s >= cut) for b, s in zip(found, score, strict=True)]
+    # the innermost container, not a paragraph itself, that holds all chosen blocks: that of the first and the last element
+    ends = [b.node for b, on in zip(found, chosen, strict=True) if on]
+    low, high = min(ends, key=lambda n: n.number), max(ends, key=lambda n: n.number)
+    root = low.parent or low
+    while root.parent is not None and not (root.number <= high.number <= root.last and root.tag not in INLINE and root is not high):
+        root = root.parent
+    keep = lambda b, on: on or not b.node.noisy and (b.node.tag in HEADING or b.node.prior >= 2 or b.link * 2 <= len(b.text))
+    return [b for b, on in zip(found, chosen, strict=True) if root.number <= b.node.number <= root.last and keep(b, on)]
 
 
 def main_text(pages: DataFrame, *, html: str = "html", into: str = "main") -> DataFrame:
-    """``pages`` with a struct column ``into``: text (blocks joined by an empty line), blocks and their tag paths.
+    """``pages`` with a struct column ``into``: text (blocks joined by an empty line), blocks and the labels of their elements.
 
     Null, empty and text-free pages give an empty text and no blocks. Whole pages are read, however long. All columns of
     ``pages`` stay; one that is called ``into`` is replaced.
@@ -226,7 +304,7 @@ def main_text(pages: DataFrame, *, html: str = "html", into: str = "main") -> Da
         rows = []
         for h in htmls:
             got = extract(h)
-            rows.append(("\n\n".join(b.text for b in got), [b.text for b in got], ["/".join(b.path) for b in got]))
-        return pd.DataFrame(rows, columns=["text", "blocks", "paths"])
+            rows.append(("\n\n".join(b.text for b in got), [b.text for b in got], [b.node.label for b in got]))
+        return pd.DataFrame(rows, columns=["text", "blocks", "labels"])
 
     return pages.withColumn(into, run(F.col(html)))

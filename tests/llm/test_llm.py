@@ -2,6 +2,7 @@
 
 import hashlib
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -123,6 +124,45 @@ def test_main_text_in_elements_with_noisy_names():
         assert [b.text for b in html.extract(f"<body>{page}</body>")] == ["Title", *prose]
 
 
+PROSE = [f"A part with much to say, number {i}. It goes on, and on. Then it ends." for i in range(4)]
+BODY = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in PROSE)
+MENU = "<ul class=menu><li><a href=a>Home</a><li><a href=b>About us</a></ul>"
+TALK = "<div id=comments>" + "".join(f"<p>I like it, very much. Thanks, friend {i}.</p>" for i in range(3)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<form id=aspnetForm action='x'><div class=main>{BODY}</div><div class=sidebar><p>Some words. Not many.</p></div></form>",
+        f"<form>Your mail, please. <input> Then press it.</form>{MENU}<div>{BODY}</div>",
+        f"<div><div>{MENU}</div><div>{BODY}</div><div class=footer-links><p>Impressum. Contact.</p></div></div>",
+        f"<article><div class='article-header'><h1>Title</h1></div>{BODY.removeprefix('<h1>Title</h1>')}</article>{TALK}",
+        f"<table><tr><td>{MENU}</td><td>{BODY}</td></tr></table>{TALK}",
+        "<section>" + "<div>" * 20_000 + BODY + "</div>" * 20_000 + "</section>",
+        f"<p hidden>Not shown, ever. No.</p><div style='display: none'>Nor that. No.</div><main>{BODY}</main>",
+        f"<!-- {BODY} --><main title='a > b'>{BODY}</main><![CDATA[ x ]]>",
+    ],
+)
+def test_main_text_without_an_article(page):
+    assert [b.text for b in html.extract(f"<body>{page}</body>")] == ["Title", *PROSE]
+
+
+def test_main_text_keeps_offsets_and_takes_linear_time():
+    page = f"<p>İİİİ and so on, as it is. Yes.</p><SCRIPT>var x = 'İ</p>'</Script ><p>{PROSE[0]}</p><style>İ</STYLE><p>{PROSE[1]}</p>"
+    assert [b.text for b in html.extract(page)][1:] == PROSE[:2]
+    began = time.time()
+    for bad in ('<a "' * 50_000, "<a " + "a" * 200_000 + ">x", "<" * 200_000, "<i>" * 20_000 + "<b>" * 20_000 + "</i>" * 20_000, "<p><b>x" * 20_000, "<!--" * 50_000):
+        html.extract(bad)
+    assert time.time() - began < 10
+
+
+def test_main_text_of_edge_rows(spark):
+    d = spark.createDataFrame([(1, None), (2, ""), (3, f"<main>{BODY}</main>"), (3, f"<main>{BODY}</main>"), (4, "x" * 300_000)], "page_id int, html string").withColumn("main", F.lit(1)).withColumn("text", F.lit(2))
+    got = html.main_text(d)
+    assert got.columns == ["page_id", "html", "main", "text"] and html.main_text(d.limit(0)).count() == 0
+    assert sorted((r.page_id, len(r.main.text), r.text) for r in got.collect()) == [(1, 0, 2), (2, 0, 2), *[(3, 7 + sum(len(p) + 2 for p in PROSE) - 2, 2)] * 2, (4, 300_000, 2)]
+
+
 def test_main_text_of_the_pages(spark, sf):
     for r in queries.op2_html_main_text(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = r.html.split("<article>")[1].split("</article>")[0]

@@ -1,9 +1,11 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one regular expression. Each gets a replacement that is a keyed function of its type and text alone, so
-every mention of it, in any document, gets the same one. The replacement keeps the type, the length and punctuation of the format, letter case
-and script, a number's checksum, and for names the gender that the title tells. Replacements are then checked over the whole corpus: two
-entities that would share one, or one that is itself somebody's entity, are drawn again.
+Entities are found by one regular expression, in texts that a cheaper one lets through. Each has a normal form: a number's digits, an
+address in small letters, a person's given and family name apart. The replacement is a keyed function of type and normal form,
+written back in each mention's own format, so a person under two titles or a number in two spellings has one surrogate, in any document.
+Later mentions of a titled person without the title are found in the same text. The replacement keeps the type, the length and punctuation of
+the format, letter case and script, a number's checksum, and for given names the gender that the name or title tells. Replacements are then
+checked over the whole corpus: two normal forms that would share one, or one that is itself somebody's, are drawn again.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-# Forms of address by the gender they tell, and given names to choose from, by script and gender.
+# Forms of address by the gender they tell, and given names to know and to choose from, by script and gender.
 TITLES = {
-    "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Lord", "Signor", "Господин"],
+    "m": ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Sir", "Lord", "Signor", "Господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "Lady", "Signora", "Госпожа"],
     "n": ["Dr", "Prof", "Mx", "Доктор"],
 }
 GIVEN = {
-    ("latin", "m"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oscar Paul".split(),
-    ("latin", "f"): "Anna Berta Clara Diana Elena Fiona Greta Hanna Irene Julia Karla Laura Maria Nora Olga Paula".split(),
+    ("latin", "m"): "Adam Anton Arthur Boris Bruno Carl Carlos David Diego Edward Emil Enrique Felix Frank Georg George Henry Hugo Ivan James Jean John Jonas José Juan Karl Leon Louis Luis Marco "
+    "Martin Michael Miguel Nils Oscar Paul Pedro Peter Philip Pierre Rafael Richard Robert Stefan Thomas Victor Walter William".split(),
+    ("latin", "f"): "Adele Agnes Alice Anna Beatriz Berta Carmen Catherine Charlotte Clara Diana Elena Elizabeth Emma Eva Fiona Frances Greta Hanna Helen Ingrid Irene Isabel Jane Julia Karla Laura "
+    "Linda Lucia Margaret Maria Marie Martha Mary Monica Nadia Nora Olga Paula Pilar Rosa Sara Sophie Susan Teresa Ursula Vera".split(),
     ("latin", "n"): "Alex Robin Kim Sasha Jules Noel Charlie Dominique".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Олег".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Ольга Нина".split(),
@@ -34,11 +38,13 @@ SYLLABLES = {
     "cyrillic": "ба бе би бо да де ди до га ге ги го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро".split(),
 }
 
-_TITLE = "(?:" + "|".join(t for v in TITLES.values() for t in v) + ")"
+_TITLE = "(?:" + "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t))) + ")"
+#: A title's first letter, looked at before all titles are tried.
+_FIRST = "(?=[" + "".join(sorted({t[0] for v in TITLES.values() for t in v})) + "])"
 _NAME = r"\p{Lu}[\p{L}'-]*\p{Ll}"
 #: Type and pattern, in order of precedence where two begin at the same place.
 PATTERNS = [
-    ("email", r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("ipv4", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
@@ -47,11 +53,15 @@ PATTERNS = [
     ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
     ("phone", r"(?<![0-9+])\+[0-9]{8,15}(?![0-9])"),
     ("number", r"(?<![0-9.])[0-9]{9,19}(?![0-9]|\.[0-9])"),
-    ("name", rf"(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?(?![\p{{L}}])"),
+    ("name", rf"{_FIRST}(?<![\p{{L}}]){_TITLE}\.? {_NAME}(?: {_NAME})?(?![\p{{L}}])"),
 ]
 ANY = "|".join(p for _, p in PATTERNS)
-#: Draws after the first, before a counter makes a replacement unique.
-DRAWS = 6
+#: Whatever ``ANY`` finds has one of these: a digit, an at sign, a title before a capital, or 32 letters of a hexadecimal number.
+LIKELY = rf"[0-9@]|{_FIRST}(?<![\p{{L}}]){_TITLE}\.? \p{{Lu}}|[a-f]{{32}}|[A-F]{{32}}"
+#: The digits of a phone number that are replaced; those of the country before them stay.
+NATIONAL = 10
+#: Draws before a replacement must be taken whatever it equals. Only where a format has hardly more values than the corpus has entities does it come to that.
+DRAWS = 24
 
 
 def _bound(value: Column, use) -> Column:
@@ -60,7 +70,53 @@ def _bound(value: Column, use) -> Column:
 
 
 def entity_type(e: Column) -> Column:
-    return reduce(lambda rest, p: F.when(e.rlike(rf"^(?:{p[1]})\z"), F.lit(p[0])).otherwise(rest), reversed(PATTERNS), F.lit("number"))
+    """The type of a mention; what no pattern matches whole is a name that was found without its title."""
+    return reduce(lambda rest, p: F.when(e.rlike(rf"^(?:{p[1]})\z"), F.lit(p[0])).otherwise(rest), reversed(PATTERNS), F.lit("name"))
+
+
+def _digits(e: Column) -> Column:
+    return F.regexp_replace(e, "[^0-9]", "")
+
+
+def normal_form(kind: Column, e: Column) -> Column:
+    """What all mentions of one entity other than a person share."""
+    return (
+        F.when(kind == "phone", F.right(_digits(e), F.lit(NATIONAL))).when(kind.isin("card", "ssn", "number"), _digits(e))
+        .when(kind == "iban", F.regexp_replace(e, " ", "")).when(kind.isin("email", "secret"), F.lower(e)).otherwise(e)
+    )
+
+
+def untitled(e: Column) -> Column:
+    """The names of a mention of a person: given and family name, or one of them."""
+    return F.split(F.regexp_replace(e, rf"^{_TITLE}\.? ", ""), " ")
+
+
+def _titled(e: Column, gender: str) -> Column:
+    return e.rlike(rf"^(?:{'|'.join(TITLES[gender])})\.? ")
+
+
+def known_gender(given: Column) -> Column:
+    """The gender of a given name in the lists."""
+    names = lambda g: F.array(*[F.lit(n) for s in SYLLABLES for n in GIVEN[s, g]])
+    return F.when(F.array_contains(names("m"), given), "m").when(F.array_contains(names("f"), given), "f")
+
+
+def people(es: Column) -> Column:
+    """Of the mentions of one text: (given, gender) of each titled person of two names, as far as the name or title tells."""
+    titled = F.filter(es, lambda e: e.rlike(rf"^{_TITLE}\.? ") & (F.size(untitled(e)) > 1))
+    told = lambda e: F.coalesce(known_gender(untitled(e)[0]), F.when(_titled(e, "m"), "m").when(_titled(e, "f"), "f"))
+    return F.filter(F.transform(titled, lambda e: F.struct(untitled(e)[0].alias("given"), told(e).alias("gender"))), lambda p: p["gender"].isNotNull())
+
+
+def gender_of(given: Column, known: Column) -> Column:
+    """Of a given name, by what the text's titled mentions tell of it."""
+    return F.coalesce(known_gender(given), F.get(F.filter(known, lambda p: p["given"] == given), F.lit(0))["gender"], F.lit("n"))
+
+
+def forms(kind: Column, e: Column) -> Column:
+    """The normal forms that a mention is made of: one, or of a person the family name (given names are not kept distinct)."""
+    family = F.struct(F.lit("family").alias("kind"), F.element_at(untitled(e), -1).alias("form"))
+    return F.when(kind == "name", family).otherwise(F.struct(kind.alias("kind"), normal_form(kind, e).alias("form")))
 
 
 def _stream(key: Column, n: int) -> Column:
@@ -101,12 +157,10 @@ def luhn(digits: Column) -> Column:
 
 
 def _card(e: Column, hexa: Column) -> Column:
-    """The first digit and the spacing stay; the last digit is right if it was, and else whatever it is."""
-    bare = F.regexp_replace(e, "[^0-9]", "")
-    right = luhn(F.substring(bare, 1, 15)) == F.substring(bare, 16, 1)
-    made = F.concat(F.substring(e, 1, 1), _like(F.substr(e, F.lit(2), F.length(e) - 2), hexa))
-    fixed = F.concat(made, luhn(F.regexp_replace(made, "[^0-9]", "")))
-    return F.when(right, fixed).otherwise(F.concat(made, _like(F.substr(e, F.length(e), F.lit(1)), F.substr(hexa, F.lit(129), F.lit(64)))))
+    """The first digit stays; the last digit is right if it was, and else whatever it is."""
+    right = luhn(F.substring(e, 1, 15)) == F.substring(e, 16, 1)
+    made = F.concat(F.substring(e, 1, 1), _like(F.substring(e, 2, 14), hexa))
+    return F.concat(made, F.when(right, luhn(made)).otherwise(_like(F.substring(e, 16, 1), F.substr(hexa, F.lit(129), F.lit(64)))))
 
 
 def _ipv4(hexa: Column) -> Column:
@@ -121,106 +175,137 @@ def _email(e: Column, hexa: Column) -> Column:
 
 
 def _phone(e: Column, hexa: Column) -> Column:
-    """The country code stays, and an exchange 555, which no subscriber has."""
-    head = F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]{2}", 0)
-    rest = F.substr(e, F.length(head) + 1)
-    return F.concat(head, F.when(rest.contains(" 555-"), F.regexp_replace(_like(rest, hexa), r" [0-9]{3}-", " 555-")).otherwise(_like(rest, hexa)))
+    """An exchange 555, which no subscriber has, stays."""
+    made = _like(e, hexa)
+    return F.when(e.rlike("^[0-9]{3}555[0-9]{4}$"), F.concat(F.substring(made, 1, 3), F.lit("555"), F.substring(made, 7, 4))).otherwise(made)
 
 
-def _name(e: Column, hexa: Column) -> Column:
-    title = F.regexp_extract(e, rf"^{_TITLE}\.? ", 0)
-    parts = F.split(F.substr(e, F.length(title) + 1), " ")
-    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), F.pmod(_byte(hexa, F.lit(i)), F.lit(len(values))) + 1)
-    gender = lambda g: F.regexp_extract(title, rf"^(?:{'|'.join(TITLES[g])})\.? $", 0) != ""
+def _pick(values: list[str], hexa: Column, i: int) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.pmod(_byte(hexa, F.lit(i)), F.lit(len(values))) + 1)
 
-    def of(script: str) -> Column:
-        given = F.when(gender("m"), pick(GIVEN[script, "m"], 0)).when(gender("f"), pick(GIVEN[script, "f"], 0)).otherwise(pick(GIVEN[script, "n"], 0))
-        family = F.initcap(F.concat(*[pick(SYLLABLES[script], i) for i in range(1, 5)]))
-        return F.when(F.size(parts) > 1, F.concat_ws(" ", given, family)).otherwise(family)
 
-    return F.concat(title, F.when(e.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
+def _family(e: Column, hexa: Column) -> Column:
+    of = lambda script: F.initcap(F.concat(*[_pick(SYLLABLES[script], hexa, i) for i in range(4)]))
+    return F.when(e.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
-def draw(kind: Column, e: Column, key: str, attempt: Column) -> Column:
-    """The replacement of an entity at the given attempt."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, e, attempt.cast("string"))
+def draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
+    """The replacement of a normal form at the given attempt."""
+    seed = F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"))
     return _bound(
         _stream(seed, 4),
-        lambda h: F.when(kind == "email", _email(e, h)).when(kind == "ipv4", _ipv4(h)).when(kind == "card", _card(e, h))
-        .when(kind == "phone", _phone(e, h)).when(kind == "name", _name(e, h))
-        .when(kind == "secret", F.when(e.rlike("[A-F]"), F.upper(F.substr(h, F.lit(1), F.length(e)))).otherwise(F.substr(h, F.lit(1), F.length(e))))
-        .when(kind == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), _like(F.substr(e, F.lit(3)), h)))
-        .otherwise(_like(e, h)),
+        lambda h: F.when(kind == "email", _email(form, h)).when(kind == "ipv4", _ipv4(h)).when(kind == "card", _card(form, h))
+        .when(kind == "phone", _phone(form, h)).when(kind == "family", _family(form, h))
+        .when(kind == "secret", F.substr(h, F.lit(1), F.length(form)))
+        .when(kind == "iban", F.concat(F.substring(form, 1, 2), _like(F.substr(form, F.lit(3)), h)))
+        .otherwise(_like(form, h)),
     )
 
 
+def draw_given(given: Column, gender: Column, key: str) -> Column:
+    """A given name of the same script and gender, and another than the one replaced."""
+
+    def of(names: list[str], h: Column) -> Column:
+        n = _pick(names, h, 0)
+        return F.when(n == given, F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(h, F.lit(0)) + 1, F.lit(len(names))) + 1)).otherwise(n)
+
+    by = lambda script, h: F.when(gender == "m", of(GIVEN[script, "m"], h)).when(gender == "f", of(GIVEN[script, "f"], h)).otherwise(of(GIVEN[script, "n"], h))
+    return _bound(_stream(F.concat_ws("\x1f", F.lit(key), F.lit("given"), given, gender), 1), lambda h: F.when(given.rlike(r"\p{IsCyrillic}"), by("cyrillic", h)).otherwise(by("latin", h)))
+
+
+def _filled(e: Column, drawn: Column) -> Column:
+    """The mention with its last letters and digits, as many as ``drawn`` has, replaced by those of ``drawn``."""
+    bare = lambda c: F.regexp_replace(c, "[^0-9A-Za-z]", "")
+    stay = F.length(bare(e)) - F.length(drawn)
+
+    def one(c: Column, i: Column) -> Column:
+        nth = F.length(bare(F.substr(e, F.lit(1), i + 1))) - stay
+        return F.when(c.rlike("[0-9A-Za-z]") & (nth > 0), F.substr(drawn, nth, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(e, ""), one), "")
+
+
+def render(kind: Column, e: Column, drawn: Column, known: Column, key: str) -> Column:
+    """The surrogate in the format of the mention: title, spacing, punctuation and letter case are the mention's."""
+    title, names = F.regexp_extract(e, rf"^{_TITLE}\.? ", 0), untitled(e)
+    given = F.when(F.size(names) > 1, F.concat(draw_given(names[0], gender_of(names[0], known), key), F.lit(" "))).otherwise("")
+    cased = F.array_join(F.zip_with(F.split(drawn, ""), F.split(e, ""), lambda d, c: F.when(c.rlike(r"\p{Lu}"), F.upper(d)).otherwise(d)), "")
+    return F.when(kind == "name", F.concat(title, given, drawn)).when(kind.isin("email", "secret"), cased).when(kind == "ipv4", drawn).otherwise(_filled(e, drawn))
+
+
 def collisions(entities: DataFrame, key: str) -> DataFrame:
-    """(entity, surrogate) of the entities whose first draw is taken, with one that is not.
+    """(kind, form, surrogate) of the normal forms whose first draw is taken, with one that is not.
 
-    A replacement is taken if it equals any entity of the corpus or the replacement of a smaller entity.
+    A replacement is taken if it equals any normal form of its kind in the corpus or the replacement of a smaller one.
     """
-    first = entities.select("entity", draw(F.col("kind"), F.col("entity"), key, F.lit(0)).alias("surrogate"), "kind")
-    real = entities.select(F.col("entity").alias("surrogate"))
+    first = entities.select("kind", "form", draw(F.col("kind"), F.col("form"), key, F.lit(0)).alias("surrogate"))
+    real = entities.select("kind", F.col("form").alias("surrogate"), F.lit(True).alias("isreal"))
 
     def split(drawn: DataFrame, taken: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        nth = F.row_number().over(Window.partitionBy("surrogate").orderBy("entity"))
-        drawn = drawn.withColumn("nth", nth).join(real.withColumn("isreal", F.lit(True)), "surrogate", "left")
-        if taken is not None:
-            drawn = drawn.join(taken.select("surrogate").withColumn("istaken", F.lit(True)), "surrogate", "left")
-        else:
-            drawn = drawn.withColumn("istaken", F.lit(None).cast("boolean"))
+        nth = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("form"))
+        drawn = drawn.withColumn("nth", nth).join(real, ["kind", "surrogate"], "left")
+        held = taken.select("kind", "surrogate", F.lit(True).alias("istaken")) if taken is not None else None
+        drawn = drawn.join(held, ["kind", "surrogate"], "left") if held is not None else drawn.withColumn("istaken", F.lit(None).cast("boolean"))
         good = (F.col("nth") == 1) & F.col("isreal").isNull() & F.col("istaken").isNull()
-        drawn = written(drawn.withColumn("good", good), "draws")
-        return drawn.filter("good").select("entity", "surrogate", "kind"), drawn.filter("not good").select("entity", "surrogate", "kind")
+        drawn = written(drawn.select("kind", "form", "surrogate", good.alias("good")), "draws")
+        return drawn.filter("good").drop("good"), drawn.filter("not good").drop("good")
 
     taken, again = split(first, None)
-    settled = None
+    settled = entities.select("kind", "form", F.col("form").alias("surrogate")).limit(0)
     for attempt in range(1, DRAWS + 1):
         if again.isEmpty():
             break
-        fine, again = split(again.select("entity", draw(F.col("kind"), F.col("entity"), key, F.lit(attempt)).alias("surrogate"), "kind"), taken)
-        taken = taken.unionAll(fine)
-        settled = fine if settled is None else settled.unionAll(fine)
-    else:
-        if not again.isEmpty():
-            nth = F.row_number().over(Window.partitionBy("surrogate").orderBy("entity"))
-            last = again.withColumn("surrogate", F.concat("surrogate", F.lit("-"), nth.cast("string")))
-            settled = last if settled is None else settled.unionAll(last)
-    empty = entities.select("entity", F.col("entity").alias("surrogate")).limit(0)
-    return settled.select("entity", "surrogate") if settled is not None else empty
+        fine, again = split(again.select("kind", "form", draw(F.col("kind"), F.col("form"), key, F.lit(attempt)).alias("surrogate")), taken)
+        taken, settled = taken.unionAll(fine), settled.unionAll(fine)
+    return settled.unionAll(again)
 
 
-#: So many redrawn entities are broadcast to the texts; beyond it they are joined by row.
-BROADCAST_ROWS = 50_000
+#: So many bytes of redrawn entities are broadcast to the texts; beyond it they are joined by row.
+BROADCAST_BYTES = 16 << 20
 
 
 def replace_private(docs: DataFrame, key: str, *, text: str = "text", into: str = "private") -> DataFrame:
     """``docs`` with a struct column ``into``: text (with surrogates), entities, kinds and surrogates, in order of mention.
 
     Null texts give a null text and no entities; texts without entities stay as they are. The same entity has the same
-    surrogate wherever it is mentioned, two entities never share one, and none is an entity of the corpus; where a format has fewer
-    values than the corpus has entities of it, a counter behind a hyphen keeps them apart. All columns of ``docs`` stay but
-    one called ``into``.
+    surrogate wherever and in whatever format it is mentioned, two entities do not share one, and none is an entity of the corpus; only where
+    a format has hardly more values than the corpus has entities of it may the last of ``DRAWS`` draws be taken twice.
+    Two persons with one family name share its surrogate. A name is found behind a title, and then wherever else it is in the same text, whole or
+    the family name alone. All columns of ``docs`` stay but one called ``into``.
     """
-    numbered = docs.withColumn("__row", F.sha2(F.col(text), 256))  # rows with equal texts get equal replacements
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), 0)
-    spotted = numbered.select("__row", found.alias("es")).filter(F.size("es") > 0)
-    mentions = written(spotted.select("__row", F.explode("es").alias("entity")).distinct().withColumn("kind", entity_type(F.col("entity"))), "mentions")
-    fixes = written(collisions(mentions.select("entity", "kind").distinct(), key), "fixes")
-    redrawn = fixes.count()
-    each = numbered.withColumn("__es", F.coalesce(found, F.array().cast("array<string>")))
-    fixed = F.lit(None).cast("map<string,string>")
-    if redrawn:
-        maps = mentions.join(fixes, "entity").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__fix"))
-        each = each.join(F.broadcast(maps) if maps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else maps, "__row", "left")
+    none = F.array().cast("array<string>")
+    each = docs.withColumn("__first", F.when(F.col(text).rlike(LIKELY), F.regexp_extract_all(F.col(text), F.lit(ANY), 0)))
+    # names without their titles: longest first, so that a family name does not cut a whole one short
+    titled = F.filter("__first", lambda e: e.rlike(rf"^{_TITLE}\.? {_NAME}"))
+    bare = F.flatten(F.transform(titled, lambda e: F.array(F.array_join(untitled(e), " "), F.element_at(untitled(e), -1))))
+    bare = F.array_sort(F.array_distinct(bare), lambda a, b: F.length(b) - F.length(a))
+    more = F.concat(F.lit(ANY + r"|(?<![\p{L}])(?:"), F.array_join(bare, "|"), F.lit(r")(?![\p{L}])"))
+    each = each.withColumn("__any", F.when(F.size(titled) > 0, more).when(F.size("__first") > 0, F.lit(ANY)))
+    each = each.withColumn("__es", F.when(F.size(titled) > 0, F.regexp_extract_all(F.col(text), F.col("__any"), F.lit(0))).otherwise(F.coalesce("__first", none)))
+    each = each.withColumn("__ks", F.transform("__es", entity_type)).withColumn("__fs", F.zip_with("__ks", "__es", forms))
+
+    # a row of each text with entities: equal texts have equal ones
+    row = F.sha2(F.col(text), 256)
+    mentions = each.filter(F.size("__es") > 0).select(row.alias("__row"), F.explode(F.array_distinct("__fs")).alias("f")).select("__row", "f.kind", "f.form").distinct()
+    mentions = written(mentions, "mentions")
+    fixes = written(collisions(mentions.select("kind", "form").distinct(), key), "fixes")
+    fixed = F.lit(None).cast("map<struct<kind:string,form:string>,string>")
+    if not fixes.isEmpty():
+        maps = mentions.join(fixes, ["kind", "form"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "form"), "surrogate"))).alias("__fix"))
+        maps = written(maps, "maps")
+        size = maps.agg(F.sum(F.lit(100) + F.aggregate(F.map_entries("__fix"), F.lit(0), lambda a, x: a + 40 + F.length(x["key"]["form"]) + F.length(x["value"])))).first()[0]
+        each = each.withColumn("__row", F.when(F.size("__es") > 0, row))
+        each = each.join(F.broadcast(maps) if size <= BROADCAST_BYTES else maps, "__row", "left").drop("__row")
         fixed = F.col("__fix")
-    each = each.withColumn("__ks", F.transform("__es", entity_type))
-    made = F.zip_with("__es", "__ks", lambda e, k: F.coalesce(F.element_at(fixed, e), draw(k, e, key, F.lit(0))))
+    else:
+        each = each.withColumn("__fix", F.lit(None))
+    drawn = F.transform("__fs", lambda f: F.coalesce(F.element_at(fixed, f), draw(f["kind"], f["form"], key, F.lit(0))))
+    each = each.withColumn("__ds", drawn).withColumn("__people", people(F.col("__es")))
+    made = F.transform(F.arrays_zip("__ks", "__es", "__ds"), lambda m: render(m["__ks"], m["__es"], m["__ds"], F.col("__people"), key))
     each = each.withColumn("__ss", made)
-    pieces = F.split(F.col(text), ANY, -1)
+    pieces = F.split(F.col(text), F.col("__any"), -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("__ss"), lambda p, s: F.array(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))), "")
     out = F.struct(
         F.when(F.size("__es") == 0, F.col(text)).otherwise(joined).alias("text"), F.col("__es").alias("entities"), F.col("__ks").alias("kinds"), F.col("__ss").alias("surrogates")
     )
-    each = each.withColumn(into, out)
-    return each.drop("__row", "__es", "__ks", "__ss", *(["__fix"] if redrawn else []))
+    return each.withColumn(into, out).drop("__first", "__any", "__es", "__ks", "__fs", "__ds", "__people", "__ss", "__fix")

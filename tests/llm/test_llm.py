@@ -313,6 +313,41 @@ def test_surrogates(spark, odd):
     assert surrogates.replace_private(odd, "k").filter("size(private.entities) > 0").count() == 0
 
 
+def test_surrogates_of_one_entity_in_several_formats(spark):
+    t = (
+        "Mrs. Anna Jones met Mrs. Jones, Dr. Anna Jones and Anna Jones. Jones left; Jonesville stayed. Dr. Kirke and Mr. Erik Kirke too. "
+        "+1 (988) 555-2485, +1 988 555 2485, +19885552485; ANNA@x.com anna@x.com; 4111 1111 1111 1111 or 4111111111111111. DE89 3704 0044 0532 0130 00 DE89370400440532013000"
+    )
+    d = spark.createDataFrame([(1, t), (2, "Mr Jones")], "doc_id int, text string")
+    got = {r.doc_id: r.private for r in surrogates.replace_private(d, "k").collect()}
+    p, new = dict(zip(got[1].entities, got[1].surrogates, strict=True)), got[1].text
+    family, given = p["Jones"], p["Anna Jones"].split()[0]
+    assert p["Mrs. Anna Jones"] == f"Mrs. {given} {family}" and p["Mrs. Jones"] == f"Mrs. {family}" and p["Dr. Anna Jones"] == f"Dr. {given} {family}" and p["Anna Jones"] == f"{given} {family}"
+    assert given in surrogates.GIVEN["latin", "f"] and given != "Anna" and got[2].surrogates == [f"Mr {family}"] and "Jonesville stayed" in new
+    assert p["Dr. Kirke"].split()[-1] == p["Mr. Erik Kirke"].split()[-1] != family and p["Mr. Erik Kirke"].split()[1] in surrogates.GIVEN["latin", "m"]
+    digits = lambda e: "".join(c for c in p[e] if c.isalnum())
+    assert digits("+1 (988) 555-2485") == digits("+1 988 555 2485") == digits("+19885552485") and digits("4111 1111 1111 1111") == digits("4111111111111111")
+    assert digits("DE89 3704 0044 0532 0130 00") == digits("DE89370400440532013000") and p["ANNA@x.com"].lower() == p["anna@x.com"] and p["ANNA@x.com"].split("@")[0].isupper()
+    assert all(len(s) == len(e) and [c.isalnum() for c in s] == [c.isalnum() for c in e] for e, s in p.items() if any(c.isdigit() for c in e))
+    assert not any(e in new for e in p if e != "Jones") and " Jones" not in new.replace("Jonesville", "")
+
+
+def test_surrogates_against_python(spark, docs):
+    """The texts between the entities stay, entities are those that the pattern finds, and one entity has one surrogate."""
+    import regex
+
+    d = docs.unionAll(spark.createDataFrame([(9000 + i, f"Call {200 + i} 555 {1000 + i}, or mail me{i}@x{i % 7}.org." + " No." * (i % 3)) for i in range(60)], docs.schema))
+    pattern, seen = regex.compile(surrogates.ANY.replace("IsCyrillic", "Cyrillic")), {}
+    for r in surrogates.replace_private(d, "k").collect():
+        found = [m.group() for m in pattern.finditer(r.text or "")]
+        assert r.private.entities == found
+        parts = pattern.split(r.text) if r.text is not None else []
+        assert r.private.text == ("".join(x + y for x, y in zip(parts, [*r.private.surrogates, ""], strict=True)) if parts else r.text)
+        for e, s in zip(found, r.private.surrogates, strict=True):
+            assert seen.setdefault(e, s) == s != e
+    assert len(set(seen.values())) == len(seen) >= 120 and not set(seen) & set(seen.values())
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     d = spark.createDataFrame([(i, f"{i % 250}.1.1.{i % 7 + 1} and 10{i % 10}-0{i % 9}-000{i % 8}") for i in range(200)], "doc_id int, text string")
     e = surrogates.replace_private(d, "k").select(F.explode(F.arrays_zip("private.entities", "private.surrogates")).alias("z")).select("z.*").distinct()

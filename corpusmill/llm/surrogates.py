@@ -46,6 +46,8 @@ _NAME = r"\p{Lu}[\p{L}'-]*\p{Ll}"
 PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    # the value given to a password or key, if it has a digit
+    ("secret", r"(?<=[=: \"'])(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|api-key) {0,2}[=:] {0,2}[\"']{0,1})(?=[A-Za-z_-]{0,64}[0-9])[0-9A-Za-z_-]{8,128}+(?![0-9A-Za-z_-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("ipv4", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -70,8 +72,9 @@ def _bound(value: Column, use) -> Column:
 
 
 def entity_type(e: Column) -> Column:
-    """The type of a mention; what no pattern matches whole is a name that was found without its title."""
-    return reduce(lambda rest, p: F.when(e.rlike(rf"^(?:{p[1]})\z"), F.lit(p[0])).otherwise(rest), reversed(PATTERNS), F.lit("name"))
+    """The type of a mention. What no pattern matches whole was found by what is before it: a password, or a name without its title."""
+    other = F.when(e.rlike("[0-9]"), F.lit("secret")).otherwise(F.lit("name"))
+    return reduce(lambda rest, p: F.when(e.rlike(rf"^(?:{p[1]})\z"), F.lit(p[0])).otherwise(rest), reversed(PATTERNS), other)
 
 
 def _digits(e: Column) -> Column:
@@ -196,7 +199,7 @@ def draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
         _stream(seed, 4),
         lambda h: F.when(kind == "email", _email(form, h)).when(kind == "ipv4", _ipv4(h)).when(kind == "card", _card(form, h))
         .when(kind == "phone", _phone(form, h)).when(kind == "family", _family(form, h))
-        .when(kind == "secret", F.substr(h, F.lit(1), F.length(form)))
+        .when((kind == "secret") & form.rlike("^[0-9a-f]+$"), F.substr(h, F.lit(1), F.length(form)))
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), _like(F.substr(form, F.lit(3)), h)))
         .otherwise(_like(form, h)),
     )

@@ -332,6 +332,13 @@ def test_surrogates_of_one_entity_in_several_formats(spark):
     assert not any(e in new for e in p if e != "Jones") and " Jones" not in new.replace("Jonesville", "")
 
 
+def test_surrogates_of_passwords(spark):
+    d = spark.createDataFrame([(1, 'Use password=e3b3ed3cc8548923d6 or API_KEY: "Zx-9_kLmNop" but not password=nothing or a token ring.')], "doc_id int, text string")
+    p = surrogates.replace_private(d, "k").first().private
+    assert p.entities == ["e3b3ed3cc8548923d6", "Zx-9_kLmNop"] and p.kinds == ["secret"] * 2 and p.text.endswith(" but not password=nothing or a token ring.")
+    assert len(p.surrogates[0]) == 18 and p.surrogates[1][2:5:2] == "-_" and p.surrogates[1][0].isupper()
+
+
 def test_surrogates_against_python(spark, docs):
     """The texts between the entities stay, entities are those that the pattern finds, and one entity has one surrogate."""
     import regex

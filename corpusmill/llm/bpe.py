@@ -136,6 +136,22 @@ class Splitter:
         return np.flatnonzero(begin[:n])
 
 
+def _distinct(data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces, and the number of each piece's. Up to seven bytes and their number are one integer; longer ones go by themselves."""
+    is_short = size <= 7
+    short, long = np.flatnonzero(is_short), np.flatnonzero(~is_short)
+    key, at, padded = size[short].astype(np.uint64) << np.uint64(56), start[short], np.frombuffer(data + bytes(7), np.uint8)
+    for k in range(7):
+        key |= np.where(size[short] > k, padded[at + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    pieces = [data[a : a + n] for a, n in zip(at[first].tolist(), size[short][first].tolist(), strict=True)]
+    longs = [data[a : a + n] for a, n in zip(start[long].tolist(), size[long].tolist(), strict=True)]
+    named = {p: len(pieces) + i for i, p in enumerate(dict.fromkeys(longs))}
+    back = np.empty(len(start), np.int64)
+    back[short], back[long] = number, np.fromiter(map(named.__getitem__, longs), np.int64, len(longs))
+    return pieces + list(named), back
+
+
 class Codec:
     """Encodes and decodes texts. A worker keeps the ids of the pre-tokens it has met, by their bytes."""
 
@@ -213,11 +229,8 @@ class Codec:
         data, start, counts = self.spans(texts)
         if not len(start):
             return [np.zeros(0, "<u4")] * len(texts)
-        at = [*start.tolist(), len(data)]
-        pieces = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-        number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
-        back = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        parts = self.encode_distinct(list(number))
+        distinct, back = _distinct(data, start, np.diff(start, append=len(data)))
+        parts = self.encode_distinct(distinct)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begin, count, ids = (np.cumsum(sizes) - sizes)[back], sizes[back], np.frombuffer(b"".join(parts), "<u4")
         last = np.cumsum(count)

@@ -30,7 +30,7 @@ from .components import components
 GROUPS, FANOUT = 32, 16
 #: Bits of the map that spares most documents outside the clusters a shuffle of their texts: 4 MB.
 MAP_BITS = 1 << 25
-#: A task verifies clusters of at most this many shingles together.
+#: A task verifies clusters of at most this many shingles together; a hub meets its documents in parts of a sixteenth of that.
 TASK_SHINGLES = 2_000_000
 
 _SPACE = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
@@ -246,14 +246,15 @@ def similar_groups(
     by_key = written(by_key.join(hubs, "key"), "candidates")
     pairs = written(by_key.filter("rep <> hub").select("hub", F.col("rep").alias("node")).distinct(), "hubs")
     sets = functools.partial(exact_sets, words=words)
-    bins = lambda total: max(spark.sparkContext.defaultParallelism, -(-2 * total // task_shingles))
+    bins = lambda total, most: max(spark.sparkContext.defaultParallelism, -(-2 * total // most))
+    hub_shingles = max(1, task_shingles // 16)
 
     # each hub against its documents, in as many tasks as they fill
     sizes = pairs.join(reps, pairs["node"] == reps["rep"]).select("hub", "node", "n")
-    whole = sizes.groupBy("hub").agg(F.sum("n").alias("all_n")).withColumn("chunks", F.ceil(F.col("all_n") / task_shingles).cast("int"))
+    whole = sizes.groupBy("hub").agg(F.sum("n").alias("all_n")).withColumn("chunks", F.ceil(F.col("all_n") / hub_shingles).cast("int"))
     near = sizes.join(whole, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
     near = near.unionAll(whole.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks"))
-    n_bins = bins(whole.agg(F.sum("all_n")).first()[0] or 0)
+    n_bins = bins(whole.agg(F.sum("all_n")).first()[0] or 0, hub_shingles)
     near = near.select("hub", "node", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("hub"), F.lit(n_bins))).otherwise(F.xxhash64("hub", "chunk")).alias("bin"))
     texts = likely(d, near.select("node"), "node")
 
@@ -280,7 +281,7 @@ def similar_groups(
     member = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()).join(reps, F.col("node") == F.col("rep")).select("node", "root", "n")
     member = written(member.join(open_.select(F.col("rep").alias("node"), "comp").distinct(), "node"), "members")
 
-    n_bins = bins(member.agg(F.sum("n")).first()[0] or 0)
+    n_bins = bins(member.agg(F.sum("n")).first()[0] or 0, task_shingles)
     whole = member.groupBy("root").agg(F.sum("n").alias("all_n")).withColumn("chunks", F.ceil(F.col("all_n") / task_shingles).cast("int"))
     placed = member.join(whole, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, written
 
 WINDOW = 13
 #: One automaton holds at most this many bytes of patterns; a larger benchmark is scanned in several passes.
@@ -107,7 +107,7 @@ def contamination(
     hits nothing. All columns of ``docs`` stay; one that is called ``into`` is replaced.
     The benchmark reaches the driver only in shards whose patterns are proven to be within ``pattern_bytes``
     (twelve bytes of pattern for each byte of item text allow for the overlap of windows); each further shard is one
-    more pass over the texts, and the passes' results are merged row by row without a shuffle.
+    more pass over the texts, with one automaton in memory at a time, and only rows with hits are gathered from the passes.
     """
     small_batches(docs.sparkSession)
     items = benchmark.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
@@ -115,12 +115,16 @@ def contamination(
     shards = max(1, -(-total * window // pattern_bytes))
     if shards == 1:
         return docs.withColumn(into, _scanner(_patterns(items, item_id, item_text, window))(F.col(text)))
-    part, out, names = F.pmod(F.xxhash64(F.col(item_id).cast("string")), F.lit(shards)), docs, []
+    numbered, passes = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), []
+    part = F.pmod(F.xxhash64(F.col(item_id).cast("string")), F.lit(shards))
     for k in range(shards):
-        names.append(f"__{into}_{k}")
-        out = out.withColumn(names[-1], _scanner(_patterns(items.filter(part == k), item_id, item_text, window))(F.col(text)))
-    merged = lambda f: F.array_sort(reduce(F.array_union, [F.col(n)[f] for n in names]))
-    return out.withColumn(into, F.struct(F.col(names[0])["n_words"].alias("n_words"), merged("hits").alias("hits"), merged("items").alias("items"))).drop(*names)
+        scan = _scanner(_patterns(items.filter(part == k), item_id, item_text, window))
+        passes.append(written(numbered.select("__row", scan(F.col(text)).alias("s")).filter(F.size("s.hits") > 0).select("__row", "s.hits", "s.items"), "pass"))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = reduce(DataFrame.unionAll, passes).groupBy("__row").agg(together("hits").alias("__hits"), together("items").alias("__items"))
+    n_words = _scanner([])(F.col(text))["n_words"]
+    got = F.struct(n_words.alias("n_words"), F.coalesce("__hits", F.array().cast("array<long>")).alias("hits"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"))
+    return numbered.join(found, "__row", "left").withColumn(into, got).drop("__row", "__hits", "__items")
 
 
 def digests(scan: str = "scan") -> list:

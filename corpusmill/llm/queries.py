@@ -130,7 +130,7 @@ WITH line AS (
 n AS (SELECT source, k, count(DISTINCT doc_id) AS n FROM line WHERE k <> '' GROUP BY source, k),
 total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 bad AS (SELECT n.source, n.k FROM n JOIN total ON n.source IS NOT DISTINCT FROM total.source
-        WHERE n.n >= {linededup.MIN_PAGES} AND n.n > {linededup.MAX_RATIO} * pages),
+        WHERE n.n >= {linededup.MIN_PAGES} AND CAST(n.n AS DOUBLE) / pages >= CAST(CASE WHEN len(regexp_split_to_array(n.k, '[ \t]+')) >= {linededup.LONG_WORDS} THEN {linededup.LONG_RATIO} ELSE {linededup.MAX_RATIO} END AS DOUBLE)),
 kept AS (
   SELECT doc_id, count(*) FILTER (WHERE bad.k IS NOT NULL) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE bad.k IS NULL), '') AS kept

@@ -383,6 +383,17 @@ def test_line_dedup_of_a_hot_and_a_small_host(spark):
     assert [got[i] for i in (0, 1, 100, 2000, 2001, 2002)] == ["own 0\nrare", "own 1\nrare", "own 100", "own 0", "own 1", "own 2"]
 
 
+def test_line_dedup_in_parts_and_of_edge_rows(spark, odd):
+    rows = [(i, ["hot", "a", None][min(i % 30, 2) if i % 3 == 0 else 0], f"own {i}\nmenu\n" + ("foot" if i % 5 else "")) for i in range(300)] * 2
+    d = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    want = sorted(map(str, linededup.drop_boilerplate(d).collect()))
+    assert sorted(map(str, linededup.drop_boilerplate(d, broadcast_bytes=0).collect())) == want and "n_dropped=1" in want[0]
+    for most in (0, linededup.BROADCAST_BYTES):
+        got = linededup.drop_boilerplate(odd, broadcast_bytes=most)
+        assert got.columns == [*odd.columns, "n_dropped", "kept_text"] and {(r.doc_id, r.n_dropped) for r in got.collect()} == {(1000, 0), (1001, 0), (1002, 0), (1003, 1), (None, 0), (1004, 0)}
+        assert linededup.drop_boilerplate(odd.limit(0), broadcast_bytes=most).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op10_toxicity_mil(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic", "doc_id").toPandas()

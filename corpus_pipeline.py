@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, decontaminate, jaccard, linededup, toxicity
-from corpusmill.llm.common import table, written
+from corpusmill.llm.common import join_skewed, table, written
 from corpusmill.llm.queries import RANKS, held_out
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +28,14 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8 or more; the smallest id of a group stays."""
-    groups = jaccard.similar_groups(docs, words=5, num=80)
-    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "similar")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Shingles of five words, similarity 0.8 or more; of each group the row with the smallest id stays, whatever rows repeat an id or have none."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard.similar_groups(numbered, doc_id="__row", words=5, num=80).select("__row", "component_id")
+    members = written(groups.join(numbered.select("__row", "doc_id"), "__row"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    firsts = members.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = join_skewed(members, written(firsts.select("component_id", F.col("first.__row").alias("stays"), "n"), "firsts"), ["component_id"], "n").filter("__row <> stays")
+    return numbered.join(written(gone.select("__row"), "similar"), "__row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

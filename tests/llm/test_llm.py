@@ -463,3 +463,64 @@ def test_pipeline(spark, sf):
         assert kept.columns == corpus_pipeline.COLUMNS and 0 < kept.count() <= docs.count(), name
     out = corpus_pipeline.run(spark, sf)
     assert out.count() <= docs.count() and out.filter("n_tokens is null").count() == 0
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A small folder of tables with nulls, repeated ids and rows, near copies, boilerplate, benchmark passages and toxic texts."""
+    at = str(tmp_path_factory.mktemp("tables"))
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(400)}"
+    text = lambda n: " ".join(word() for _ in range(n)) + "."
+    item = text(30)
+    rows = [(i, text(60) + "\nmenu of the site", "en", f"s{i % 3}", 0) for i in range(90)]
+    rows += [(100 + i, rows[i][1].replace("w1", "v1", 1 + i % 2), "en", "s0", 0) for i in range(30)]
+    rows += [(7, text(50), "en", "s1", 0), (7, rows[9][1], None, None, None), (None, rows[9][1], "en", "s1", 0), (None, text(40), "en", None, 0), (8, rows[8][1], "en", "s2", 0)]
+    rows += [(200, None, "en", "s0", 0), (201, "", None, "s0", None), (202, text(20) + " " + item + " " + text(20), "en", "s1", 0), (203, text(40) + " you are an idiot. " + text(30), "en", "s2", 0)]
+    rows += [(300 + i, text(20) + (" you are an idiot. " if i % 2 else " well and good. ") + text(20), "en", "s1", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(300 + i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def test_pipeline_stages_against_brute_force(spark, tables):
+    import corpus_pipeline
+
+    stages, key = dict(corpus_pipeline.STAGES), lambda r: tuple(str(x) for x in r)
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    rows = docs.collect()
+
+    kept = stages["toxicity"](spark, docs, tables).collect()
+    toxic = lambda r: r.text is not None and "idiot" in r.text
+    assert sorted(map(key, kept)) == sorted(key(r) for r in rows if not toxic(r))
+
+    pages, on = Counter(r.source for r in rows), Counter()
+    for r in rows:
+        on.update({(r.source, x.strip(" \t\r")) for x in (r.text or "").split("\n")})
+    bad = lambda r, x: x.strip(" \t\r") != "" and on[r.source, x.strip(" \t\r")] >= 2 and on[r.source, x.strip(" \t\r")] / pages[r.source] >= (0.001 if len(x.split()) >= 50 else 0.01)
+    left = lambda r: None if r.text is None else "\n".join(x for x in r.text.split("\n") if not bad(r, x))
+    want = [(r.doc_id, left(r), r.lang, r.source, r.n_chars if r.text is None else len(left(r))) for r in rows]
+    assert sorted(map(key, stages["line dedup"](spark, docs, tables).collect())) == sorted(map(key, want)) and any("menu" not in (w[1] or "menu") for w in want)
+
+    _, root = brute_groups([r.text for r in rows], 5, 80, 100)
+    order = lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0)
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(i)
+    got = stages["jaccard join"](spark, docs, tables).collect()
+    assert len(got) == len(groups) < len(rows)
+    texts = Counter(key(r)[:2] for r in got)
+    for g in groups.values():  # one of each group, and of those one with the smallest id
+        first = min(map(order, g))
+        assert any(texts[key(rows[i])[:2]] for i in g if order(i) == first)
+
+    kept = stages["decontamination"](spark, docs, tables).collect()
+    assert sorted(map(key, kept)) == sorted(key(r) for r in rows if r.doc_id != 202)
+
+    tokens = bpe.read_ranks(public_tokenizers.path(queries.RANKS))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    got = sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in stages["bpe"](spark, docs, tables).collect())
+    assert got == sorted((str(r.doc_id), enc.encode_ordinary(r.text or "")) for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tables).count() == 0, name

@@ -167,9 +167,9 @@ def _runs(on: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-#: Of a sorted block: a segment, its number of copies, and first and last + 1 of its runs of repeated windows; with w1 and w2 not
-#: null, one window whose class may go on in another block.
-SORTED = "key long, s1 long, s2 long, n long, runs array<struct<lo:long,hi:long>>, w1 long, w2 long"
+#: Of a sorted block: a segment, its number of copies, first and last + 1 of its runs of repeated windows, and of a bucket with more
+#: blocks the windows that stand for their classes, with a digest each.
+SORTED = "key long, s1 long, s2 long, n long, runs array<struct<lo:long,hi:long>>, open array<struct<lo:long,w1:long,w2:long>>"
 
 
 def _sort_block(group: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -182,21 +182,21 @@ def _sort_block(group: pd.DataFrame, width: int) -> pd.DataFrame:
     windows = begin[seg] + inside
     cls = BlockSorter(text, width).classes(windows)
     repeated = (np.bincount(cls)[cls] > 1) | (group["n"].to_numpy() > 1)[seg]
-    names = ["key", "s1", "s2", "n"]
     runs = _runs(np.insert(repeated, np.cumsum(count)[:-1], False))
     which = np.searchsorted(np.cumsum(count + 1), runs[:, 0], side="right")
     base = (np.cumsum(count + 1) - count - 1)[which]
-    own = [{"lo": lo, "hi": hi} for lo, hi in (runs - base[:, None]).tolist()]
-    some, at = np.unique(which, return_index=True)
-    at = [*at.tolist(), len(own)]
-    out = group[names].iloc[some].assign(runs=[own[a:b] for a, b in zip(at, at[1:], strict=False)], w1=None, w2=None)
-    if not group["split"].any():
-        return out
-    rep = np.unique(cls, return_index=True)[1]
-    rep = rep[group["split"].to_numpy()[seg[rep]]]
-    w = digests_of(text, windows[rep], windows[rep] + width)
-    more = group[names].iloc[seg[rep]].assign(runs=[[{"lo": i, "hi": i + 1}] for i in inside[rep].tolist()], w1=w[:, 0], w2=w[:, 1])
-    return pd.concat([out.astype({"w1": "Int64", "w2": "Int64"}), more.astype({"w1": "Int64", "w2": "Int64"})], ignore_index=True)
+    own: list[list[dict]] = [[] for _ in range(len(group))]
+    for i, (lo, hi) in zip(which.tolist(), (runs - base[:, None]).tolist(), strict=True):
+        own[i].append({"lo": lo, "hi": hi})
+    stands: list[list[dict]] = [[] for _ in range(len(group))]
+    if group["split"].any():
+        rep = np.unique(cls, return_index=True)[1]
+        rep = rep[group["split"].to_numpy()[seg[rep]]]
+        w = digests_of(text, windows[rep], windows[rep] + width)
+        for i, lo, w1, w2 in zip(seg[rep].tolist(), inside[rep].tolist(), *w.T.tolist(), strict=True):
+            stands[i].append({"lo": lo, "w1": w1, "w2": w2})
+    out = group[["key", "s1", "s2", "n"]].assign(runs=own, open=stands)
+    return out[(out["runs"].map(len) > 0) | (out["open"].map(len) > 0)]
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, into: str = "dedup") -> DataFrame:
@@ -253,9 +253,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, b
     )
     sorted_ = written(loaded.groupBy("bin").applyInPandas(lambda g: _sort_block(g, width), SORTED), "sorted")
 
-    across = sorted_.filter("w1 is not null")
+    across = sorted_.filter(F.size("open") > 0).select(*segment, "n", F.explode("open").alias("o")).select(*segment, "n", "o.*")
     classes = across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1").select("w1", "w2")
-    runs = sorted_.filter("w1 is null").select(*segment, "n", "runs").unionAll(across.join(classes, ["w1", "w2"]).select(*segment, "n", "runs"))
+    one = F.array(F.struct(F.col("lo"), (F.col("lo") + 1).alias("hi"))).alias("runs")
+    runs = sorted_.filter(F.size("runs") > 0).select(*segment, "n", "runs").unionAll(across.join(classes, ["w1", "w2"]).select(*segment, "n", one))
     runs = written(runs.groupBy(*segment).agg(F.max("n").alias("n"), F.flatten(F.collect_list("runs")).alias("runs")), "runs")
     moved = F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("lo"), (F.col("first") + r["hi"]).alias("hi")))
     spans = join_skewed(found, runs, segment, "n").select("row", moved.alias("spans"))

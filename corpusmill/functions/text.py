@@ -13,7 +13,7 @@ SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def trim_start(c: Column) -> Column:

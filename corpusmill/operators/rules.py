@@ -7,8 +7,11 @@ stops at line feeds only, and case folded for ASCII letters.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,32 +33,15 @@ class Pattern:
         body = java(self.body) if self.regex else re.escape(self.body)
         return ("(?di)" if self.nocase else "(?d)") + body
 
-    def may_match(self, text: Column, low: Column) -> Column | None:
-        """A cheap test that every match passes: the text has the pattern's longest plain part. Null if it has none."""
-        part = self.body if not self.regex else literal_part(self.body)
-        if len(part) < 2:
-            return None
-        return low.contains(part.lower()) if self.nocase else text.contains(part)
-
-    def at(self, text: Column, low: Column) -> Column:
-        """Position of the first match from 1, or null."""
-        if not self.regex and not self.nocase:
-            return F.nullif(F.locate(self.body, text), F.lit(0))
-        where, may = F.nullif(F.regexp_instr(text, F.lit(self.source())).cast("int"), F.lit(0)), self.may_match(text, low)
-        return where if may is None else F.when(may, where)
-
-    def found(self, text: Column, low: Column) -> Column:
-        return self.at(text, low).isNotNull()
-
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.source()))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A finding for a document in which ``when`` holds of the patterns; by default, one of them matches.
+    """A finding for a document in which ``when`` holds; by default, one of the patterns matches.
 
-    ``prose_only`` rules look outside fenced code blocks only, and their findings need review.
+    ``when`` gets whether each pattern was found, the patterns by name, and the text. ``prose_only`` rules look outside fenced code blocks only, and their findings need review.
     """
 
     id: str
@@ -64,48 +50,139 @@ class Rule:
     patterns: tuple[Pattern, ...]
     message: str = ""
     prose_only: bool = False
-    when: object = field(default=None)
+    when: Callable[[dict[str, Column], dict[str, Pattern], Column], Column] | None = None
 
-    def position(self, text: Column, low: Column) -> Column:
-        """Of the earliest match, or of the first pattern in order that matches if the rule is for prose; null without a match.
 
-        ``low`` is the text in lower case.
-        """
-        spots = [p.at(text, low) for p in self.patterns]
-        first = spots[0] if len(spots) == 1 else F.coalesce(*spots) if self.prose_only else F.least(*spots)
-        if self.when is None:
-            return first
-        return F.when(self.when({p.name: p.found(text, low) for p in self.patterns}, {p.name: p for p in self.patterns}, text), F.coalesce(first, F.lit(1)))
+#: Shorter plain parts are in every text; of an alternation with more branches no part is looked for.
+_LEAST, _BRANCHES, _SETS = 2, 16, 4
 
 
-def literal_part(body: str) -> str:
-    """The longest run of characters that every match of a regular expression holds as they stand; empty if none is sure."""
-    runs, run, i, depth = [], "", 0, 0
-    while i < len(body):
-        c = body[i]
-        if depth == 0 and c == "|":
-            return ""
-        if c == "[":
-            i = body.index("]", i + 2)
-            runs, run = [*runs, run], ""
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-            runs, run = [*runs, run], ""
-        elif depth == 0 and c in "?*{":
-            runs, run = [*runs, run[:-1]], ""
-            i = body.index("}", i) if c == "{" else i
-        elif depth == 0 and c == "\\" and not body[i + 1].isalnum():
-            run += body[i + 1]
-            i += 1
-        elif c == "\\":
-            runs, run = [*runs, run], ""
-            i += 1
-        elif c in "+.^$":
-            runs, run = [*runs, run], ""
-        elif depth == 0:
-            run += c
-        i += 1
-    return max([*runs, run], key=len)
+def needed(body: str) -> list[set[str]]:
+    """Sets of strings such that every match of a regular expression holds one of each as it stands: the few with the longest strings."""
+    sets = [s for s in _Parts(body).alternatives() if min(map(len, s)) >= _LEAST and len(s) <= _BRANCHES]
+    return sorted(sets, key=lambda s: (-min(map(len, s)), len(s), sorted(s)))[:_SETS]
+
+
+class Prefilter:
+    """Tells in one pass over a text which patterns may match: those of whose sets of plain parts it has one each.
+
+    A pattern without plain parts whose every character is beyond ASCII may match if the text has such a character.
+    """
+
+    def __init__(self, patterns: list[Pattern]):
+        self.full, self.wide, parts = [], [], {}
+        for i, p in enumerate(patterns):
+            sets = needed(p.body) if p.regex else [{p.body}]
+            self.full.append((1 << len(sets)) - 1)
+            if not sets and re.fullmatch(r"(\[?\\x\{[0-9A-F]{2,6}\}.*)", p.body) and not re.search(r"x\{[0-7]?[0-9A-F]\}", p.body):
+                self.wide.append(i)
+            for k, s in enumerate(sets):
+                for part in s:
+                    parts.setdefault(part.lower(), []).append((i, 1 << k))
+        self.always = [i for i, full in enumerate(self.full) if not full and i not in self.wide]
+        self.automaton = ahocorasick.Automaton()
+        for part, uses in parts.items():
+            self.automaton.add_word(part, (part, uses))
+        if parts:
+            self.automaton.make_automaton()
+
+    def may_match(self, text: str) -> list[int]:
+        have: dict[int, int] = {}
+        if len(self.automaton):
+            for _, uses in dict(x for _, x in self.automaton.iter(text.lower())).items():
+                for i, bit in uses:
+                    have[i] = have.get(i, 0) | bit
+        found = [i for i, bits in have.items() if bits == self.full[i]]
+        return sorted(found + self.always + ([] if text.isascii() else self.wide))
+
+
+_PREFILTERS: dict[int, Prefilter] = {}
+
+
+def candidates(text: Column, patterns: list[Pattern]) -> Column:
+    """Numbers of the patterns that may match, in order. A worker builds the automaton once for each set of patterns."""
+    key = hash(tuple(patterns))
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        if key not in _PREFILTERS:
+            _PREFILTERS.clear()
+            _PREFILTERS[key] = Prefilter(patterns)
+        return texts.map(lambda t: _PREFILTERS[key].may_match(t or ""))
+
+    return run(F.make_valid_utf8(text))  # Arrow takes no other text
+
+
+class _Parts:
+    """Walks a regular expression once and keeps what is plain in it."""
+
+    def __init__(self, body: str):
+        self.body, self.i = body, 0
+
+    def quantifier(self) -> tuple[bool, bool]:
+        """Whether the item before may be left out, and whether it may be there more than once."""
+        m = re.compile(r"[?*+]|\{\d*,?\d*\}").match(self.body, self.i)
+        if not m:
+            return False, False
+        self.i = m.end() + (self.body[m.end() : m.end() + 1] == "?")
+        return m[0][0] in "?*" or m[0].startswith(("{0", "{,")), True
+
+    def alternatives(self) -> list[set[str]]:
+        """The sets of a group: those of its only branch, or one string of each branch together."""
+        branches = [self.sequence()]
+        while self.body[self.i : self.i + 1] == "|":
+            self.i += 1
+            branches.append(self.sequence())
+        if len(branches) == 1:
+            return branches[0]
+        best = [max(b, key=lambda s: min(map(len, s)), default=None) for b in branches]
+        return [] if None in best else [set().union(*best)]
+
+    def sequence(self) -> list[set[str]]:
+        """The sets of a branch, up to its end."""
+        sets, run = [], ""
+
+        def end() -> None:
+            nonlocal run
+            if run:
+                sets.append({run})
+            run = ""
+
+        while self.i < len(self.body) and self.body[self.i] not in "|)":
+            c = self.body[self.i]
+            self.i += 1
+            if c == "(":
+                if self.body.startswith("?:", self.i):
+                    self.i += 2
+                inner = self.alternatives()
+                self.i += 1
+                optional, _ = self.quantifier()
+                end()
+                sets += [] if optional else inner
+                continue
+            plain = ""
+            if c == "[":
+                self.i = self.body.index("]", self.i + 1) + 1
+            elif c == "\\":
+                nxt = self.body[self.i]
+                self.i += 1
+                if nxt == "x" and self.body[self.i : self.i + 1] == "{":
+                    self.i = self.body.index("}", self.i) + 1
+                elif nxt == "b":
+                    continue  # stands for no character
+                elif not nxt.isalnum():
+                    plain = nxt
+            elif c not in ".^$":
+                plain = c
+            optional, many = self.quantifier()
+            if not plain or optional:
+                end()
+            else:
+                run += plain
+                if many:
+                    end()
+        end()
+        return sets
 
 
 def java(body: str) -> str:

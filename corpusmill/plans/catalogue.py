@@ -28,17 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Dealt over the cluster's cores, where the input has fewer partitions and each row needs much work."""
-    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def _scanned(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return scan.scan(spread(overlay.documents(spark, sf_dir)), **kw)
+    return scan.scan(overlay.documents(spark, sf_dir), **kw)
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scanned(spark, sf_dir).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    # explode_outer: before an inner one the optimiser repeats the whole scan to filter out empty arrays
+    return _scanned(spark, sf_dir).select("doc_id", "lang", F.explode_outer("findings").alias("f")).filter("f.rule_id is not null").select("doc_id", "lang", "f.*")
 
 
 _SCORES = f"""SELECT d.doc_id, CAST(count(rule_id) AS INTEGER) AS n_findings, CAST(greatest(0, 100 - coalesce(sum({rule_sql.points()}), 0)) AS INTEGER) AS score,
@@ -72,8 +68,7 @@ def findings_by_severity(spark, sf_dir):
 
 @query(f"WITH {rule_sql.findings()} SELECT lang, category, count(*) AS n FROM f JOIN d USING (doc_id) GROUP BY ALL")
 def findings_by_category(spark, sf_dir):
-    d = _scanned(spark, sf_dir).select("lang", F.explode("findings").alias("f"))
-    return d.groupBy("lang", F.col("f.category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return _findings(spark, sf_dir).groupBy("lang", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {rule_sql.findings()} SELECT toxic, quality, count(DISTINCT l.doc_id) AS n_docs, count(rule_id) AS n_findings FROM labels AS l JOIN d USING (doc_id) LEFT JOIN f USING (doc_id) GROUP BY ALL")
@@ -121,7 +116,7 @@ def base64_payloads(spark, sf_dir):
 
 @query()
 def conversation_scan(spark, sf_dir):
-    d = scan.scan(spread(table(spark, sf_dir, "conversations")))
+    d = scan.scan(table(spark, sf_dir, "conversations"))
     return d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("findings")).alias("n_findings"), F.min("score").alias("min_score"))
 
 
@@ -154,12 +149,12 @@ def lint_repeated_prefix(spark, sf_dir):
 
 @query()
 def lint_issues_rollup(spark, sf_dir):
-    return lint.rollup(lint.lint(spread(overlay.documents(spark, sf_dir))))
+    return lint.rollup(lint.lint(overlay.documents(spark, sf_dir)))
 
 
 @query()
 def lint_verdicts(spark, sf_dir):
-    return lint.verdict(spread(overlay.documents(spark, sf_dir))).select("doc_id", F.size("issues").alias("n_issues"), "score", "ok")
+    return lint.verdict(overlay.documents(spark, sf_dir)).select("doc_id", F.size("issues").alias("n_issues"), "score", "ok")
 
 
 @query(r"SELECT doc_id, CAST(max(strlen(w)) AS INTEGER) AS longest FROM documents, unnest(regexp_split_to_array(text, '\s+')) AS t(w) GROUP BY doc_id")
@@ -320,5 +315,5 @@ def detect_languages(spark, sf_dir):
 
 @query()
 def normalise_documents(spark, sf_dir):
-    d = spread(overlay.documents(spark, sf_dir)).select("doc_id", "text", F.lit("pkg").alias("name"), F.lit("1.0").alias("version"), F.lit("python").alias("ecosystem"), F.lit("MIT").alias("license"))
+    d = overlay.documents(spark, sf_dir).select("doc_id", "text", F.lit("pkg").alias("name"), F.lit("1.0").alias("version"), F.lit("python").alias("ecosystem"), F.lit("MIT").alias("license"))
     return rewrite.normalise(d).select("doc_id", F.length("normal").alias("n_chars"), F.sha2("normal", 256).alias("sha256"))

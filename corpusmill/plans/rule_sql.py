@@ -1,11 +1,29 @@
-"""The first-party rules as DuckDB SQL, to hold the scan's results against another engine."""
+"""The rules as DuckDB SQL, to hold the scan's results against another engine. Conditions of the third-party rules are written anew here."""
 
 from __future__ import annotations
 
 from ..operators import scan
 from ..operators.rules import DEDUCTION, FIRST_PARTY, Pattern, Rule
+from ..operators.third_party import THIRD_PARTY
 from . import overlay
 
+#: When a rule of the pack fires; names in braces are its patterns. Mac programs begin with bytes that no text has, so their rule has no rows.
+CONDITIONS = {
+    "autonomy_abuse_generic": "{unasked} OR {overruled} OR {endless} OR {rewrites} OR {elevated} OR {blind} OR (({decides} OR {unbounded}) AND NOT {trial} AND NOT {manual})",
+    "capability_inflation_generic": "{files} OR {data} OR {codes} OR {hidden} OR {vouched} OR ({broad} AND {first}) OR ({broad} AND {promises}) OR ({first} AND {promises})",
+    "code_execution_generic": "NOT {own_fn} AND NOT {json} AND ({decoded} OR {unpickled} OR {shell} OR {evaluated} OR {imported} OR {fetched} OR {formatted} OR (({system} OR {network}) AND NOT {block} AND NOT {audit}))",
+    "command_injection_generic": "NOT ({cleanup} OR {audit}) AND ({power} OR {netcat} OR {scanner} OR {drop_site} OR {posted_file} OR {bash_tcp} OR {bash_out} OR {nc_shell} OR {tcp_address} OR {socat} OR {python_socket} OR {rm} OR {dd} OR {chmod})",
+    "prompt_injection_generic": "NOT {type_comment} AND NOT {plain_ignore} AND ({tool_call} OR {shadow} OR {hide} OR {role} OR {elevated} OR (({all_prior} OR {your_own} OR {not_obey} OR {overrides}) AND NOT ({negated} OR {audit} OR {test})))",
+    "script_injection_generic": "{protocol} OR {data_uri} OR {vbs} OR ({clear} AND {cursor}) OR ((({tag} AND NOT {app}) OR {handler} OR {decoded} OR {written} OR {overflow}) AND NOT ({xml} OR {react} OR {block} OR {example} OR {inline} OR {vue} OR {svelte}))",
+    "sql_injection_generic": "({drops} AND NOT {builder}) OR ({objects} AND NOT {builder} AND NOT {schema}) OR (NOT ({docs} OR {schema} OR {builder} OR {phrases}) AND ({always_true} OR {union} OR ({timed} AND NOT {sleeps}) OR {errors} OR {cast} OR {user}))",
+    "system_manipulation_generic": "{wipes} OR {permission} OR {writes} OR {env} OR {path} OR ({elevated} AND NOT ({audit} OR {testing})) OR ({kills} AND NOT {testing}) OR ({removes} AND NOT ({cleanup} OR {mkdir} OR {audit}))",
+    "tool_chaining_abuse_generic": "NOT ({audit} OR {auth} OR {test}) AND ({discord} OR {telegram} OR {pastebin} OR {bins} OR {ssh} OR {aws} OR {env_file} OR {exfiltrates} OR {attacker} OR {env_var})",
+    "embedded_pe_executable": "starts_with(text, 'MZ') AND {pe}",
+    "embedded_shebang_in_binary": " OR ".join(f"strlen(split_part(text, '{s}', 1)) BETWEEN 65 AND strlen(text) - 1" for s in ("#!/bin/bash", "#!/bin/sh", "#!/usr/bin/env python", "#!/usr/bin/python", "#!/usr/bin/perl", "#!/usr/bin/ruby", "#!/usr/bin/env node")),
+    "prompt_injection_unicode_steganography": "{tag} OR {long_tag} OR {turned} OR {separator} OR len(regexp_extract_all(text, '[\\x{{200B}}-\\x{{200D}}]')) > 200"
+    " OR (({eval} OR {function} OR {char_code}) AND (len(regexp_extract_all(text, '[\\x{{200B}}-\\x{{200D}}]')) > 50 OR len(regexp_extract_all(text, '[\\x{{E0100}}-\\x{{E01FF}}]')) > 5))",
+}
+
 
 def regex(p: Pattern) -> str:
     return ("(?i:" if p.nocase else "(?:") + p.body + ")"
@@ -27,9 +45,9 @@ def rule_row(r: Rule) -> str:
     spots = [before(p, text) for p in r.patterns]
     heads = f"coalesce({', '.join(spots)})" if r.prose_only else f"list_min(list_filter([{', '.join(f'length({s})' for s in spots)}], lambda x: x IS NOT NULL))"
     lead = heads if r.prose_only else f"left(text, {heads})"
-    line = f"length({lead}) - length(replace({lead}, chr(10), '')) + 1"
+    line = f"coalesce(length({lead}) - length(replace({lead}, chr(10), '')) + 1, 1)"
     route = "needs-review" if r.prose_only else "definitive"
-    cond = " OR ".join(found(p, text) for p in r.patterns)
+    cond = CONDITIONS[r.id].format(**{p.name: found(p, text) for p in r.patterns}) if r.when else " OR ".join(found(p, text) for p in r.patterns)
     return f"SELECT doc_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, '{r.category}' AS category, CAST({line} AS INTEGER) AS line, '{route}' AS routing FROM d WHERE {cond}"
 
 
@@ -42,6 +60,16 @@ def _lead(pattern: str) -> str:
     return f"regexp_extract(text, {overlay.literal(chr(92) + 'A((?s:.*?))' + pattern)}, 1)"
 
 
+_PLAIN = "regexp_replace(plain, '[^!-~ \\t\\n\\f\\r]', '', 'g')"
+_SIGNS = lambda words: " OR ".join(f"contains(lower(plain), {overlay.literal(w)})" for w in words)
+#: Base64 blocks that hold instructions or code: of equal line the first.
+_ENCODED = f"""block AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{{40,}}={{0,2}}')) AS m FROM d),
+plain AS (SELECT doc_id, split_part(text, m, 1) AS lead, TRY(decode(from_base64(CASE WHEN length(m) % 4 = 0 THEN m END))) AS plain FROM block),
+encoded AS (SELECT DISTINCT doc_id, 'SD-111' AS rule_id, 'critical' AS severity, 'prompt-injection' AS category, CAST(length(lead) - length(replace(lead, chr(10), '')) + 1 AS INTEGER) AS line, 'definitive' AS routing
+  FROM plain WHERE plain IS NOT NULL AND length({_PLAIN}) / greatest(length(plain), 1) > 0.7
+  AND ((strlen(plain) >= 10 AND ({_SIGNS(scan.INSTRUCTIONS)})) OR (strlen(plain) >= 15 AND ({_SIGNS([w for w in scan.CODE if w == w.lower()])}) AND ({_SIGNS(scan.DANGER)}))))"""
+
+
 def findings() -> str:
     """Common table expressions d and f: documents and their findings. Hidden, encoded and sent content is looked for once a document."""
     glyph = f"[{scan.HOMOGLYPHS}]"
@@ -58,8 +86,9 @@ def findings() -> str:
         _coded("SD-110", "'critical'", "prompt-injection", f"strlen({comment}) >= 10 AND ({signs})", "split_part(text, '<!--', 1)"),
         _coded("SD-112", "'critical'", "data-exfiltration", f"regexp_matches(text, {overlay.literal(exfil)}) AND regexp_matches(right({_lead(exfil)}, 100) || substr(text, length({_lead(exfil)}) + 1, 200), {overlay.literal(sensitive)})", _lead(exfil)),
         *map(rule_row, FIRST_PARTY),
+        *(rule_row(r) for r in THIRD_PARTY if r.id != "embedded_macho_binary"),
     ]
-    return f"{overlay.sql()},\nf AS ({' UNION ALL '.join(rows)})"
+    return f"{overlay.sql()},\n{_ENCODED},\nf AS ({' UNION ALL '.join(rows)} UNION ALL SELECT * FROM encoded)"
 
 
 def points() -> str:

@@ -28,7 +28,15 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8 or more; of each group the row with the smallest id stays, whatever rows repeat an id or have none."""
+    """Shingles of five words, similarity 0.8 or more; of each group the row with the smallest id stays.
+
+    Where rows repeat an id or have none they are numbered first, which takes a copy of the documents, and of equal ids one row counts as the smaller.
+    """
+    rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if rows == ids:
+        groups = jaccard.similar_groups(docs, words=5, num=80)
+        gone = written(groups.filter("doc_id <> component_id").select("doc_id"), "similar")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     groups = jaccard.similar_groups(numbered, doc_id="__row", words=5, num=80).select("__row", "component_id")
     members = written(groups.join(numbered.select("__row", "doc_id"), "__row"), "members")

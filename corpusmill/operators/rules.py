@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import ahocorasick
 import pandas as pd
@@ -41,7 +41,7 @@ class Pattern:
 class Rule:
     """A finding for a document in which ``when`` holds; by default, one of the patterns matches.
 
-    ``when`` gets whether each pattern was found, the patterns by name, and the text. ``prose_only`` rules look outside fenced code blocks only, and their findings need review.
+    ``when`` gets whether each pattern was found, the patterns by name, and the text; patterns named in ``excuses`` can't make it hold alone. ``prose_only`` rules look outside fenced code blocks only, and their findings need review.
     """
 
     id: str
@@ -51,6 +51,7 @@ class Rule:
     message: str = ""
     prose_only: bool = False
     when: Callable[[dict[str, Column], dict[str, Pattern], Column], Column] | None = None
+    excuses: frozenset[str] = frozenset()
 
 
 #: Shorter plain parts are in every text; of an alternation with more branches no part is looked for.
@@ -64,14 +65,18 @@ def needed(body: str) -> list[set[str]]:
 
 
 class Prefilter:
-    """Tells in one pass over a text which patterns may match: those of whose sets of plain parts it has one each.
+    """Tells in one pass over a text which of the rules' patterns may match: those of whose sets of plain parts it has one each.
 
-    A pattern without plain parts whose every character is beyond ASCII may match if the text has such a character.
+    A pattern without plain parts whose every character is beyond ASCII may match if the text has such a character. Where only excuses of
+    a rule may match, none of its patterns counts.
     """
 
-    def __init__(self, patterns: list[Pattern]):
+    def __init__(self, rules: list[Rule]):
         self.full, self.wide, parts = [], [], {}
-        for i, p in enumerate(patterns):
+        patterns = [(r, p) for r in rules for p in r.patterns]
+        self.rule_of = [r for r, _ in enumerate(rules) for _ in rules[r].patterns]
+        self.excuse = [p.name in r.excuses for r, p in patterns]
+        for i, (_, p) in enumerate(patterns):
             sets = needed(p.body) if p.regex else [{p.body}]
             self.full.append((1 << len(sets)) - 1)
             if not sets and re.fullmatch(r"(\[?\\x\{[0-9A-F]{2,6}\}.*)", p.body) and not re.search(r"x\{[0-7]?[0-9A-F]\}", p.body):
@@ -92,22 +97,24 @@ class Prefilter:
             for _, uses in dict(x for _, x in self.automaton.iter(text.lower())).items():
                 for i, bit in uses:
                     have[i] = have.get(i, 0) | bit
-        found = [i for i, bits in have.items() if bits == self.full[i]]
-        return sorted(found + self.always + ([] if text.isascii() else self.wide))
+        found = [i for i, bits in have.items() if bits == self.full[i]] + self.always + ([] if text.isascii() else self.wide)
+        rules = {self.rule_of[i] for i in found if not self.excuse[i]}
+        return sorted(i for i in found if self.rule_of[i] in rules)
 
 
 _PREFILTERS: dict[int, Prefilter] = {}
 
 
-def candidates(text: Column, patterns: list[Pattern]) -> Column:
-    """Numbers of the patterns that may match, in order. A worker builds the automaton once for each set of patterns."""
-    key = hash(tuple(patterns))
+def candidates(text: Column, rules: list[Rule]) -> Column:
+    """Numbers of the patterns, of all rules in order, that may match. A worker builds the automaton once for each list of rules."""
+    plain = [replace(r, when=None) for r in rules]  # what a worker needs of them
+    key = hash(tuple(plain))
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
         if key not in _PREFILTERS:
             _PREFILTERS.clear()
-            _PREFILTERS[key] = Prefilter(patterns)
+            _PREFILTERS[key] = Prefilter(plain)
         return texts.map(lambda t: _PREFILTERS[key].may_match(t or ""))
 
     return run(F.make_valid_utf8(text))  # Arrow takes no other text

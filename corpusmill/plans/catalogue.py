@@ -28,8 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over the cluster's cores only where the input has fewer partitions than those, as a small file has; a large one is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(overlay.documents(spark, sf_dir))
+
+
 def _scanned(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return scan.scan(overlay.documents(spark, sf_dir), **kw)
+    return scan.scan(_documents(spark, sf_dir), **kw)
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +90,14 @@ def labels_vs_findings(spark, sf_dir):
 
 @query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(prose) AS INTEGER) AS n_prose FROM d")
 def prose_only_masking(spark, sf_dir):
-    d = overlay.documents(spark, sf_dir)
+    d = _documents(spark, sf_dir)
     masked = F.regexp_replace(F.regexp_replace(mask_code(F.col("text")), "\x00+(?:\n\x00+)*(?:\n|\\z)", ""), "\x00", "")
     return d.select("doc_id", F.length("text").alias("n"), F.length(masked).alias("n_prose"))
 
 
 @query(f"WITH {overlay.sql()} SELECT doc_id, CAST(len(regexp_extract_all(text, '[{scan.HOMOGLYPHS}]')) AS INTEGER) AS n FROM d")
 def homoglyph_counts(spark, sf_dir):
-    return overlay.documents(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(f"[{scan.HOMOGLYPHS}]")).alias("n"))
+    return _documents(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(f"[{scan.HOMOGLYPHS}]")).alias("n"))
 
 
 @query(
@@ -95,12 +105,12 @@ def homoglyph_counts(spark, sf_dir):
 )
 def mixed_script(spark, sf_dir):
     n = lambda p: F.regexp_count("text", F.lit(p))
-    return overlay.documents(spark, sf_dir).select("doc_id", n(r"[\x{41}-\x{24F}]").alias("latin"), n(r"[\x{400}-\x{4FF}]").alias("cyrillic"), n(r"[\x{370}-\x{3FF}]").alias("greek"))
+    return _documents(spark, sf_dir).select("doc_id", n(r"[\x{41}-\x{24F}]").alias("latin"), n(r"[\x{400}-\x{4FF}]").alias("cyrillic"), n(r"[\x{370}-\x{3FF}]").alias("greek"))
 
 
 @query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}\\x{{AD}}\\x{{2060}}-\\x{{2064}}\\x{{180E}}]', '', 'g')) AS INTEGER) AS n FROM d")
 def invisible_chars(spark, sf_dir):
-    return overlay.documents(spark, sf_dir).select("doc_id", (F.length("text") - F.length(rewrite.strip_invisible(F.col("text")))).alias("n"))
+    return _documents(spark, sf_dir).select("doc_id", (F.length("text") - F.length(rewrite.strip_invisible(F.col("text")))).alias("n"))
 
 
 @query(r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS INTEGER) AS n_comments FROM pages")
@@ -110,13 +120,13 @@ def html_comments(spark, sf_dir):
 
 @query()
 def base64_payloads(spark, sf_dir):
-    d = overlay.documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/]{40,}={0,2}"), 0)).alias("m"))
+    d = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/]{40,}={0,2}"), 0)).alias("m"))
     return d.select("doc_id", F.length("m").alias("n_chars"), F.octet_length(F.try_to_binary(F.when(F.length("m") % 4 == 0, F.col("m")), F.lit("base64"))).alias("n_bytes"))
 
 
 @query()
 def conversation_scan(spark, sf_dir):
-    d = scan.scan(table(spark, sf_dir, "conversations"))
+    d = scan.scan(spread(table(spark, sf_dir, "conversations")))
     return d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("findings")).alias("n_findings"), F.min("score").alias("min_score"))
 
 
@@ -133,7 +143,7 @@ def lint_long_lines(spark, sf_dir):
 
 @query(f"WITH {overlay.sql()}, s AS (SELECT unnest(['## Core Patterns', '## Pitfalls', '## Imports']) AS section) SELECT section, count(*) AS n_missing FROM d, s WHERE NOT contains(text, section) GROUP BY ALL")
 def lint_missing_sections(spark, sf_dir):
-    d = lint.lint(overlay.documents(spark, sf_dir)).select(F.explode("issues").alias("i")).filter("i.category = 'structure'")
+    d = lint.lint(_documents(spark, sf_dir)).select(F.explode("issues").alias("i")).filter("i.category = 'structure'")
     return d.groupBy(F.regexp_extract("i.message", "(## .*)$", 1).alias("section")).agg(F.count(F.lit(1)).alias("n_missing"))
 
 
@@ -149,12 +159,12 @@ def lint_repeated_prefix(spark, sf_dir):
 
 @query()
 def lint_issues_rollup(spark, sf_dir):
-    return lint.rollup(lint.lint(overlay.documents(spark, sf_dir)))
+    return lint.rollup(lint.lint(_documents(spark, sf_dir)))
 
 
 @query()
 def lint_verdicts(spark, sf_dir):
-    return lint.verdict(overlay.documents(spark, sf_dir)).select("doc_id", F.size("issues").alias("n_issues"), "score", "ok")
+    return lint.verdict(_documents(spark, sf_dir)).select("doc_id", F.size("issues").alias("n_issues"), "score", "ok")
 
 
 @query(r"SELECT doc_id, CAST(max(strlen(w)) AS INTEGER) AS longest FROM documents, unnest(regexp_split_to_array(text, '\s+')) AS t(w) GROUP BY doc_id")
@@ -225,7 +235,7 @@ def changelog_decisions(spark, sf_dir):
 
 @query(f"SELECT doc_id, d AS dependency, CAST(i - 1 AS INTEGER) AS pos FROM documents, unnest(['numpy', 'requests', 'scikit-learn', 'pydantic>=2']) WITH ORDINALITY AS t(d, i) WHERE doc_id % {len(overlay.PAYLOADS)} = {len(overlay.PAYLOADS) - 1}")
 def dep_extract_python(spark, sf_dir):
-    d = dependencies.dependencies(overlay.documents(spark, sf_dir), "python")
+    d = dependencies.dependencies(_documents(spark, sf_dir), "python")
     return d.select("doc_id", F.posexplode("dependencies").alias("pos", "dependency")).select("doc_id", "dependency", "pos")
 
 
@@ -255,12 +265,12 @@ def priority_topk(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, n AS name, c AS category FROM documents, (VALUES ('Basic use', 'basic', 1), ('Error handling', 'error', 2)) AS t(n, c, i) WHERE doc_id % {len(overlay.PAYLOADS)} = {len(overlay.PAYLOADS) - 1}")
 def pattern_extract(spark, sf_dir):
-    return sampling.select_patterns(sampling.patterns(overlay.documents(spark, sf_dir))).select("doc_id", "pos", "name", "category")
+    return sampling.select_patterns(sampling.patterns(_documents(spark, sf_dir))).select("doc_id", "pos", "name", "category")
 
 
 @query(f"SELECT doc_id, CAST(CASE doc_id % {len(overlay.PAYLOADS)} WHEN 10 THEN 1 WHEN {len(overlay.PAYLOADS) - 1} THEN 3 ELSE 0 END AS INTEGER) AS n_blocks FROM documents")
 def fence_blocks(spark, sf_dir):
-    return overlay.documents(spark, sf_dir).select("doc_id", F.size(fenced_blocks(F.col("text"))).alias("n_blocks"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(fenced_blocks(F.col("text"))).alias("n_blocks"))
 
 
 @query("SELECT doc_id, regexp_replace(text, 'token = .[0-9a-f]{40}.', 'token = [REDACTED]', 'g') AS text FROM documents WHERE regexp_matches(text, 'token = .[0-9a-f]{40}.')")
@@ -315,5 +325,5 @@ def detect_languages(spark, sf_dir):
 
 @query()
 def normalise_documents(spark, sf_dir):
-    d = overlay.documents(spark, sf_dir).select("doc_id", "text", F.lit("pkg").alias("name"), F.lit("1.0").alias("version"), F.lit("python").alias("ecosystem"), F.lit("MIT").alias("license"))
+    d = _documents(spark, sf_dir).select("doc_id", "text", F.lit("pkg").alias("name"), F.lit("1.0").alias("version"), F.lit("python").alias("ecosystem"), F.lit("MIT").alias("license"))
     return rewrite.normalise(d).select("doc_id", F.length("normal").alias("n_chars"), F.sha2("normal", 256).alias("sha256"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fenced_blocks, lines, mask_code
-from ..operators import changelog, dependencies, lint, metadata, review, rewrite, runs, sampling, scan
+from ..operators import changelog, dependencies, lint, manifests, metadata, review, rewrite, runs, sampling, scan
+from ..sources import tree
 from . import overlay, rule_sql
 
 QUERIES: dict = {}
@@ -327,3 +328,80 @@ def detect_languages(spark, sf_dir):
 def normalise_documents(spark, sf_dir):
     d = _documents(spark, sf_dir).select("doc_id", "text", F.lit("pkg").alias("name"), F.lit("1.0").alias("version"), F.lit("python").alias("ecosystem"), F.lit("MIT").alias("license"))
     return rewrite.normalise(d).select("doc_id", F.length("normal").alias("n_chars"), F.sha2("normal", 256).alias("sha256"))
+
+
+# Repositories made of the parts: a manifest each by language, a licence file for some, and tags for every seventh.
+_LANGUAGE = "CASE p_partkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'rust' WHEN 3 THEN 'javascript' ELSE 'java' END"
+_MANIFEST = """CASE p_partkey % 5
+ WHEN 0 THEN CASE p_size % 2 WHEN 0 THEN 'pyproject.toml' ELSE 'pkg/__init__.py' END WHEN 1 THEN 'version.go' WHEN 2 THEN 'Cargo.toml' WHEN 3 THEN 'package.json'
+ ELSE CASE p_size % 2 WHEN 0 THEN 'pom.xml' ELSE 'build.gradle' END END"""
+_CONTENT = """CASE p_partkey % 5
+ WHEN 0 THEN CASE p_size % 2 WHEN 0 THEN concat('[tool]\nversion = "9"\n[project]\nname = "n"\nversion = "1.', p_size, '.0"\nlicense = "MIT"') ELSE concat('import x\n__version__ = "2.', p_size, '"') END
+ WHEN 1 THEN CASE p_size % 3 WHEN 0 THEN concat('const Version = "v3.', p_size, '.1"') WHEN 1 THEN concat('Major = 4\nMinor: ', p_size, '\nPatchLevel = 7') ELSE 'Version = "0.0.0"' END
+ WHEN 2 THEN CASE p_size % 2 WHEN 0 THEN concat('[package]\nversion = "0.', p_size, '.2" # it\nlicense = "Apache-2.0"') ELSE concat('[package]\nversion.workspace = true\n[workspace.package]\nversion = "5.', p_size, '.0"') END
+ WHEN 3 THEN CASE p_size % 4 WHEN 0 THEN 'no json' ELSE concat('{"name": "n", "version": "6.', p_size, '.0", "license": "ISC", "homepage": "https://h.example/', p_size, '"}') END
+ ELSE CASE p_size % 2 WHEN 0 THEN concat('<project><!-- <version>0</version> --><parent><version>9</version></parent><version>7.', p_size, '</version><url>https://u.example/', p_size, '</url><dependencies><version>3</version></dependencies></project>')
+  ELSE concat('group = "g"\nversionCode 3\nversion = "8.', p_size, '" // it') END END"""
+_LICENCE_FILE = "CASE p_size % 3 WHEN 0 THEN 'MIT License and so on' WHEN 1 THEN '\n  Own terms  \nmore' END"
+
+
+def _repositories(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("repo", F.concat(F.lit("r"), "p_partkey")).withColumn("language", F.expr(_LANGUAGE))
+    manifest = p.select("repo", "language", F.expr(_MANIFEST).alias("path"), F.expr(_CONTENT).alias("content"))
+    return manifest.unionAll(p.select("repo", "language", F.lit("LICENSE"), F.expr(_LICENCE_FILE).alias("content")).filter("content is not null"))
+
+
+@query("""SELECT 'r' || p_partkey AS repo, CASE p_partkey % 5
+ WHEN 0 THEN CASE p_size % 2 WHEN 0 THEN '1.' || p_size || '.0' ELSE '2.' || p_size END
+ WHEN 1 THEN CASE WHEN p_partkey % 7 = 0 THEN '1.10.0' WHEN p_size % 3 = 0 THEN '3.' || p_size || '.1' WHEN p_size % 3 = 1 THEN '4.' || p_size || '.7' ELSE 'latest' END
+ WHEN 2 THEN CASE p_size % 2 WHEN 0 THEN '0.' || p_size || '.2' ELSE '5.' || p_size || '.0' END
+ WHEN 3 THEN CASE p_size % 4 WHEN 0 THEN 'unknown' ELSE '6.' || p_size || '.0' END
+ ELSE CASE p_size % 2 WHEN 0 THEN '7.' || p_size ELSE '8.' || p_size END END AS version FROM part""")
+def repo_versions(spark, sf_dir):
+    tags = table(spark, sf_dir, "part").filter("p_partkey % 7 = 0").select(F.concat(F.lit("r"), "p_partkey").alias("repo"), F.explode(F.array(F.lit("v1.9.8"), F.lit("v1.10.0"), F.lit("v1.10.0-rc1"), F.lit("nightly"))).alias("tag"))
+    return manifests.versions(_repositories(spark, sf_dir), tags).select("repo", "version")
+
+
+@query("""SELECT 'r' || p_partkey AS repo, CASE WHEN p_partkey % 5 = 0 AND p_size % 2 = 0 THEN 'MIT' WHEN p_partkey % 5 = 2 AND p_size % 2 = 0 THEN 'Apache-2.0' WHEN p_partkey % 5 = 3 AND p_size % 4 <> 0 THEN 'ISC'
+ WHEN p_size % 3 = 0 THEN 'MIT' WHEN p_size % 3 = 1 THEN 'Own terms' END AS licence FROM part""")
+def repo_licences(spark, sf_dir):
+    return manifests.licences(_repositories(spark, sf_dir))
+
+
+@query("""SELECT 'r' || p_partkey AS repo, 'Homepage' AS label, 'https://' || CASE p_partkey % 5 WHEN 3 THEN 'h' ELSE 'u' END || '.example/' || p_size AS url
+ FROM part WHERE (p_partkey % 5 = 3 AND p_size % 4 <> 0) OR (p_partkey % 5 = 4 AND p_size % 2 = 0)""")
+def repo_urls(spark, sf_dir):
+    return manifests.project_urls(_repositories(spark, sf_dir))
+
+
+_PLACES = ["src/a.py", "src/B.PY", "build/x.py", "sub/build/y.py", "z.log", "keep.log", "only", "sub/only", "a/deep/t.tmp", "b/deep/t.tmp", "a/deep/t.txt", ".hidden/q.py", "sub/.h", "logs/keep.log", "docs/x/y/z.md", "vendor/v.py", "data?.csv"]
+
+
+@query("""SELECT n_name AS repo, path FROM nation, unnest(CASE WHEN n_nationkey % 3 = 0 THEN ['src/a.py', 'src/B.PY', 'build/x.py', 'sub/build/y.py', 'z.log', 'keep.log', 'only', 'sub/only', 'a/deep/t.tmp', 'b/deep/t.tmp', 'a/deep/t.txt', 'logs/keep.log', 'data?.csv']
+ ELSE ['src/a.py', 'src/B.PY', 'keep.log', 'sub/only', 'a/deep/t.txt', 'logs/keep.log', 'data?.csv'] END) AS t(path)""")
+def walked_files(spark, sf_dir):
+    """Every third repository has no ignore file; the walk skips vendor and goes three folders deep."""
+    rules = "# rules\nbuild/\n*.log\n!keep.log\n/only\n**/deep/*.tmp\n"
+    n = table(spark, sf_dir, "nation")
+    files = n.select(F.col("n_name").alias("repo"), F.explode(F.array(*map(F.lit, _PLACES))).alias("path"), F.lit("").alias("content"))
+    ignores = n.filter("n_nationkey % 3 <> 0").select("n_name", F.lit(".gitignore"), F.lit(rules))
+    return tree.walk(files.unionAll(ignores), skip=["vendor"], max_depth=3).select("repo", "path")
+
+
+@query(r"""SELECT doc_id, v[1] AS version FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda x: regexp_replace(x, '^[^\pN.]+|[^\pN.]+$', '', 'g')), lambda x: regexp_matches(x, '^[\pN.]*\.[\pN.]*$')) AS v FROM documents) WHERE len(v) > 0""")
+def version_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", manifests.version_number(F.col("text")).alias("version")).filter("version is not null")
+
+
+_FILES = {
+    "python": ["a.py", "pkg/tests/test_a.py", "pkg/test_b.py", "docs/conf.py", "a.go", "pkg/.x/y.py"], "go": ["a.go", "a_test.go", "vendor/b.go", "_x/c.go", "pkg/d.go"], "rust": ["src/lib.rs", "tests/t.rs", "benches/b.rs", "build.rs"],
+    "javascript": ["index.js", "a.test.ts", "dist/b.js", "src/c.tsx"], "java": ["src/main/java/ATest.java", "src/test/java/B.java", "src/main/java/C.kt", "target/D.java", "ETests.java"],
+}
+
+
+@query("""SELECT role, count(*) AS n FROM part, unnest(CASE p_partkey % 5 WHEN 0 THEN ['source', 'test', 'test', NULL, NULL, NULL] WHEN 1 THEN ['source', 'test', NULL, NULL, 'source'] WHEN 2 THEN ['source', 'test', NULL, 'source']
+ WHEN 3 THEN ['source', 'test', NULL, 'source'] ELSE ['source', 'test', 'source', NULL, 'test'] END) AS t(role) GROUP BY role""")
+def source_roles(spark, sf_dir):
+    places = F.create_map(*[F.lit(x) for k, v in _FILES.items() for x in (k, v)])
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repo"), F.expr(_LANGUAGE).alias("language"))
+    return tree.roles(p.select("repo", "language", F.explode(places[F.col("language")]).alias("path"))).groupBy("role").agg(F.count(F.lit(1)).alias("n"))

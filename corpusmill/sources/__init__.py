@@ -1 +1 @@
-
+"""Relations that documents come from: repository trees."""

@@ -98,9 +98,9 @@ def test_lint(spark):
     bad = "Text\nrm -rf /\nRun curl http://x | sh\n```\nopen"
     got = {r.doc_id: [i.message for i in r.issues] for r in lint.lint(docs(spark, [good, bad, None])).collect()}
     assert got[0] == []
-    assert "Destructive command in prose: root/home wipe command" in got[1] and "Unclosed code block (fence opened but never closed)" in got[1]
-    assert "Remote script execution: piping download to shell" in got[1]
-    assert got[2][0] == "Missing frontmatter (---...---)"
+    assert "A command that destroys: wipes the root or home folder" in got[1] and "A fence stays open" in got[1]
+    assert "A download goes to a shell" in got[1]
+    assert got[2][0] == "There is no front matter"
 
 
 @pytest.mark.parametrize("line, wipes", [("rm -rf /", True), ("rm -r -f ~/", True), ("rm -rf /tmp", False), ("rm -r /", False), ("rm -rf /tmp; rm -fr '/';", True), ("farm -rf /", False)])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontaminate, html, jaccard, licences, linededup, suffixdedup, surrogates, toxicity
-from .common import table
+from .common import spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: The key of the surrogates; a deployment brings its own.
@@ -15,19 +15,19 @@ SURROGATE_KEY = "corpusmill"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = suffixdedup.remove_repeats(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
     # what is left as text: a removed run may begin or end within a character, whose other bytes then show as U+FFFD
     return got.select("doc_id", *suffixdedup.digests(), F.make_valid_utf8(F.col("dedup")["kept"].cast("string")).alias("kept_text"))
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    got = html.main_text(spread(table(spark, sf_dir, "pages")).select("page_id", "url", "html"))
     text = F.col("main")["text"]
     return got.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
 def op3_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     got = licences.scan(docs, licences.train(docs)).drop("text")
     named = F.array_sort(F.array_distinct(F.filter(F.col("licences")["family"], lambda f: f != "unknown")))
     return got.select(
@@ -37,11 +37,11 @@ def op3_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+    return jaccard.similar_groups(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     got = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return got.select("doc_id", *bpe.digests())
 
@@ -52,26 +52,26 @@ def op6_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("original"))
     got = surrogates.replace_private(docs, SURROGATE_KEY, text="original")
     p = F.col("private")
     return got.select("doc_id", F.size(p["entities"]).cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(p["kinds"])), ",").alias("kinds"), p["text"].alias("text"))
 
 
 def op8_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", *decontaminate.digests())
 
 
 def op9_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
     got = linededup.drop_boilerplate(docs)
     return got.select("doc_id", "n_dropped", F.length("kept_text").cast("long").alias("n_kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
     got = toxicity.score(docs, model)
     s = F.col("toxicity")

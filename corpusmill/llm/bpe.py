@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import SpanHasher, mix, packs, small_batches
 
 #: A worker keeps two generations of at most about this many pre-tokens; those used again move to the younger one.
-CACHE = 300_000
+CACHE = 150_000
 #: So many displacements are tried at once.
 _TRIES = 256
 #: Fixed value: the public pattern of this vocabulary, for which ``Splitter`` works on arrays. Others use the regex itself.

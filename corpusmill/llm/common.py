@@ -88,15 +88,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
+#: Powers for buffers up to this size are kept by a worker; longer ones are worked out each time.
+_KEPT = 1 << 22
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, _INV, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    have = _POWERS.get("up"), _POWERS.get("down")
+    if have[0] is None or len(have[0]) < n:
+        have = tuple(np.cumprod(np.append(np.uint64(1), np.full(max(n, 1 << 16), b, np.uint64)), dtype=np.uint64) for b in (_BASE, _INV))
+        if n <= _KEPT:
+            _POWERS["up"], _POWERS["down"] = have
+    return have[0][:n], have[1][:n]
 
 
 class SpanHasher:
@@ -132,10 +134,11 @@ def _fold(x: np.ndarray) -> np.ndarray:
 def _prime_powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(str(base))
     if have is None or len(have) < n:
-        have = np.ones(1, np.uint64)
+        have = np.ones(1, np.uint32)
         while len(have) < max(n, 1 << 16):
-            have = np.concatenate((have, _fold(have * np.uint64(pow(base, len(have), int(_P))))))
-        _POWERS[str(base)] = have
+            have = np.concatenate((have, _fold(have * np.uint64(pow(base, len(have), int(_P)))).astype(np.uint32)))
+        if n <= _KEPT:
+            _POWERS[str(base)] = have
     return have[:n]
 
 
@@ -158,7 +161,7 @@ class PairHasher:
         return mix((a << np.uint64(32) | b) ^ mix((end - start).astype(np.uint64)))
 
 
-def packs(sizes: list[int], most: int = 1 << 20):
+def packs(sizes: list[int], most: int = 1 << 19):
     """Slices of consecutive items whose sizes add up to ``most`` at the most, or that hold one larger item."""
     start = total = 0
     for i, n in enumerate(sizes):

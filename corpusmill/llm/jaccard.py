@@ -31,7 +31,7 @@ GROUPS, FANOUT = 32, 16
 #: Bits of the map that spares most documents outside the clusters a shuffle of their texts: 4 MB.
 MAP_BITS = 1 << 25
 #: A task verifies clusters of at most this many shingles together; a hub meets its documents in parts of a sixteenth of that.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 1_000_000
 
 _SPACE = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))

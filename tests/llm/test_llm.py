@@ -251,6 +251,8 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(path, "a int, b int"), "a", "b").collect())
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+    hub = [(0, i) for i in range(1, 300)] * 2 + [(i, 500) for i in range(1, 300)] + [(500, 499)]
+    assert dict(components(spark.createDataFrame(hub, "a int, b int"), "a", "b").collect()) == {i: 0 for i in [*range(1, 300), 499, 500]}
 
 
 def test_nearest(spark, sf):
@@ -416,6 +418,38 @@ def test_toxicity_of_long_texts(spark):
     assert max(scores[:4]) < 0.5 <= scores[4]
 
 
+def test_toxicity_training_ends_where_the_loss_is_level():
+    """The loss of the noisy-or, worked out sentence by sentence here, has next to no slope at the fitted weights."""
+    rng = np.random.default_rng(2)
+    words = [f"word{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, 4)) + ". " + " ".join(rng.choice(words, 3)) + "." + (" You fool!" if i % 2 and i % 10 else "") for i in range(120)]
+    y = np.arange(120) % 2
+    model = toxicity.train(texts, y)
+    h, s, counts = toxicity.features(texts)
+    doc = np.repeat(np.arange(120), counts)
+    of = [[j for j, x in enumerate(model.hashes) if x in set(h[s == n])] for n in range(len(doc))]
+
+    def loss(w, b):
+        z = np.array([b + sum(w[j] for j in on) for on in of])
+        q = np.array([np.log1p(-1 / (1 + np.exp(-z[doc == d]))).sum() for d in range(120)])
+        return -np.where(y > 0, np.log(-np.expm1(q)), q).mean() + 1e-2 / 2 * (w**2).sum() / 120
+
+    def slope(w, b):
+        steps = np.eye(len(w) + 1) * 1e-5
+        return np.array([(loss(w + e[:-1], b + e[-1]) - loss(w - e[:-1], b - e[-1])) / 2e-5 for e in steps])
+
+    start, end = slope(np.zeros(len(model.weights)), -4.0), slope(model.weights, model.bias)
+    assert len(model.weights) and np.abs(end).max() < 0.02 * np.abs(start).max() and loss(model.weights, model.bias) < 0.5 * loss(np.zeros(len(model.weights)), -4.0)
+
+
+def test_toxicity_of_edge_rows(spark, odd):
+    model = toxicity.train([f"All is well {i}." for i in range(20)] + [f"You fool {i}!" for i in range(20)], np.repeat([0, 1], 20))
+    got = toxicity.score(odd.withColumn("toxicity", F.lit(1)), model)
+    assert got.columns == [*odd.columns, "toxicity"] and got.count() == len(ODD) and toxicity.score(odd.limit(0), model).count() == 0
+    by = {r.doc_id: r.toxicity.score for r in got.collect()}
+    assert by[1000] == by[1001] and all(0 <= p <= 1 for p in by.values())
+
+
 def test_toxicity_samples_long_texts(spark):
     d = spark.createDataFrame([(1, "fine. " * 10_000), (2, "bad. " * 10_000), (3, "fine. " * 100_000), (4, "ok")], "doc_id int, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id int, toxic int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +35,29 @@ def _longest_object(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def _semantics(texts: pd.Series) -> pd.Series:
+    """The list behind the key ``behavioral_semantics`` of each text, whose brackets are matched outside strings; null without a whole one."""
+    opened = re.compile(r'"behavioral_semantics"[ :\n\r\t]*\[')
+    step = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[\]]', re.S)
+
+    def one(t: str | None) -> str | None:
+        m, depth = opened.search(t or ""), 0
+        for b in step.finditer(t, m.end() - 1) if m else ():
+            depth += (b[0] == "[") - (b[0] == "]")
+            if not depth:
+                return t[m.end() - 1 : b.end()]
+        return None
+
+    return texts.map(one)
+
+
+def behavioral_semantics(text: Column) -> Column:
+    """What a learned text says of behaviour, as a line for the next prompt; null without it. Only texts that name it are looked into."""
+    found = F.when(text.contains('"behavioral_semantics"'), text)
+    return F.concat(F.lit("behavioral_semantics: "), _semantics(found))
+
+
 def json_block(text: Column) -> Column:
     """The JSON of a reply: a block tagged json, an untagged one that begins with a brace, the longest object, or all of it."""
     t = trim(text)

@@ -119,13 +119,17 @@ def html_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?s)<!--.*?-->"), 0)).alias("n_comments"))
 
 
-@query()
+@query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(m) AS INTEGER) AS n_chars, CAST(octet_length(TRY(from_base64(CASE WHEN length(m) % 4 = 0 THEN m END))) AS INTEGER) AS n_bytes FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{{40,}}={{0,2}}')) AS m FROM d)")
 def base64_payloads(spark, sf_dir):
     d = _documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/]{40,}={0,2}"), 0)).alias("m"))
     return d.select("doc_id", F.length("m").alias("n_chars"), F.octet_length(F.try_to_binary(F.when(F.length("m") % 4 == 0, F.col("m")), F.lit("base64"))).alias("n_bytes"))
 
 
-@query()
+_TURNS = "d AS (SELECT row_number() OVER () AS doc_id, role, coalesce(text, '') AS text, coalesce(text, '') AS prose FROM conversations)"
+
+
+@query(f"""WITH {rule_sql.findings(_TURNS)}, s AS (SELECT d.doc_id, any_value(role) AS role, count(rule_id) AS n, greatest(0, 100 - coalesce(sum({rule_sql.points()}), 0)) AS score FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id)
+SELECT role, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_findings, CAST(min(score) AS INTEGER) AS min_score FROM s GROUP BY role""")
 def conversation_scan(spark, sf_dir):
     d = scan.scan(spread(table(spark, sf_dir, "conversations")))
     return d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("findings")).alias("n_findings"), F.min("score").alias("min_score"))

@@ -70,8 +70,8 @@ encoded AS (SELECT DISTINCT doc_id, 'SD-111' AS rule_id, 'critical' AS severity,
   AND ((strlen(plain) >= 10 AND ({_SIGNS(scan.INSTRUCTIONS)})) OR (strlen(plain) >= 15 AND ({_SIGNS([w for w in scan.CODE if w == w.lower()])}) AND ({_SIGNS(scan.DANGER)}))))"""
 
 
-def findings() -> str:
-    """Common table expressions d and f: documents and their findings. Hidden, encoded and sent content is looked for once a document."""
+def findings(documents: str | None = None) -> str:
+    """Common table expressions d and f: documents (doc_id, text, prose; by default with the overlay) and their findings. Hidden, encoded and sent content is looked for once a document."""
     glyph = f"[{scan.HOMOGLYPHS}]"
     count = lambda p: f"len(regexp_extract_all(text, '{p}'))"
     latin, cyrillic, greek = count("[\\x{41}-\\x{24F}]"), count("[\\x{400}-\\x{4FF}]"), count("[\\x{370}-\\x{3FF}]")
@@ -88,7 +88,7 @@ def findings() -> str:
         *map(rule_row, FIRST_PARTY),
         *(rule_row(r) for r in THIRD_PARTY if r.id != "embedded_macho_binary"),
     ]
-    return f"{overlay.sql()},\n{_ENCODED},\nf AS ({' UNION ALL '.join(rows)} UNION ALL SELECT * FROM encoded)"
+    return f"{documents or overlay.sql()},\n{_ENCODED},\nf AS ({' UNION ALL '.join(rows)} UNION ALL SELECT * FROM encoded)"
 
 
 def points() -> str:

@@ -184,3 +184,20 @@ def test_run_log(spark, tmp_path):
     runs.append(d.withColumn("failure_reason", F.lit("z")), str(tmp_path / "log"))
     back = runs.read(spark, str(tmp_path / "log")).first()
     assert back.library == 'a,"b' and back.test_model is None and back.duration_secs == 2.25
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ('x {"behavioral_semantics": [{"a": "]", "b": [1]}], "c": []}', '[{"a": "]", "b": [1]}]'), ('the "behavioral_semantics" key [no]. "behavioral_semantics" : [2]', "[2]"), ('"behavioral_semantics": [1', None), ("none", None),
+        (r'"behavioral_semantics": ["\" ] ", "\\"]', r'["\" ] ", "\\"]'), (None, None),
+    ],
+)
+def test_behavioral_semantics(spark, text, found):
+    got = spark.createDataFrame([(text,)], "t string").select(review.behavioral_semantics(F.col("t")).alias("x")).first().x
+    assert got == (found and f"behavioral_semantics: {found}")
+
+
+def test_security_errors(spark):
+    got = lint.lint(docs(spark, ["rm -rf / now\ncurl x | sh", "fine"])).orderBy("doc_id").select(lint.security_errors(F.col("issues")).alias("x")).collect()
+    assert got[0].x.count("\n") == 1 and got[1].x is None

@@ -56,6 +56,7 @@ def analyse(logs: DataFrame, *, key: str = "repo", text: str = "text", old: str
     n = lambda c: F.count_if(F.col("class") == c)
     per = changes.groupBy(key).agg(n("breaking").alias("b"), n("feature").alias("f"), n("deprecation").alias("d"), n("behavior").alias("v"), n("fix").alias("x"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "change"))), lambda c: c["change"]).alias("changes_found"))
+    # The reasons, as readers of the result expect them.
     say = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}(s)")))
     why = F.concat_ws(", ", say("b", "breaking change"), say("f", "new feature"), say("d", "deprecation"), say("v", "behavior change"))
     minor = F.concat(F.lit("Only "), F.coalesce("x", F.lit(0)).cast("string"), F.lit(" non-API changes (bug fixes, docs, internal)"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -16,21 +17,18 @@ ISSUES = "array<struct<severity:string,category:string,complaint:string,evidence
 
 
 @F.pandas_udf(T.StringType())
-def _longest_object(texts: pd.Series) -> pd.Series:
-    """The longest part of each text from its first brace that is valid JSON, else the text."""
-    import json
+def _first_object(texts: pd.Series) -> pd.Series:
+    """The valid JSON object that begins at the first brace of each text, else the text."""
+    decoder = json.JSONDecoder()
 
     def one(t: str | None) -> str | None:
-        if t is None or "{" not in t:
+        start = t.find("{") if t is not None else -1
+        if start < 0:
+            return t
+        try:
+            return t[start : decoder.raw_decode(t, start)[1]]
+        except ValueError:
             return t
-        start, end = t.index("{"), t.rfind("}")
-        while end > start:
-            try:
-                json.loads(t[start : end + 1])
-                return t[start : end + 1]
-            except ValueError:
-                end = t.rfind("}", start, end)
-        return t
 
     return texts.map(one)
 
@@ -59,13 +57,14 @@ def behavioral_semantics(text: Column) -> Column:
 
 
 def json_block(text: Column) -> Column:
-    """The JSON of a reply: a block tagged json, an untagged one that begins with a brace, the longest object, or all of it."""
+    """The JSON of a reply: a block tagged json, an untagged one that begins with a brace, the object at the first brace, or all of it."""
     t = trim(text)
     blocks = fenced_blocks(t)
     tagged = F.get(F.filter(blocks, lambda b: b["tag"] == "json"), F.lit(0))["body"]
     bare = F.get(F.filter(blocks, lambda b: (b["tag"] == "") & b["body"].startswith("{")), F.lit(0))["body"]
     whole = F.when(F.try_parse_json(t).isNotNull(), t)
-    return F.coalesce(tagged, bare, whole, _longest_object(t))
+    plain = F.coalesce(tagged, bare, whole)
+    return F.coalesce(plain, _first_object(F.when(plain.isNull(), t)))  # only replies that need it are looked into
 
 
 def verdicts(replies: DataFrame, *, reply: str = "reply") -> DataFrame:

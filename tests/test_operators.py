@@ -87,6 +87,17 @@ def test_third_party_rules(spark):
     assert {f.severity for r in got for f in r.findings if f.rule_id.endswith("_generic")} == {"medium"}
 
 
+def test_rules_of_a_folder(spark, tmp_path):
+    (tmp_path / "b.json").write_text('[{"id": "X-2", "severity": "low", "patterns": [{"name": "a", "body": "a.c", "regex": false}]}]')
+    (tmp_path / "a.json").write_text('[{"id": "X-1", "prose_only": true, "patterns": [{"name": "a", "body": "fo+", "nocase": true}]}]')
+    own = rules.load(tmp_path)
+    got = scan.scan(docs(spark, ["FOO a.c abc", "```\nfoo\n```"]), rules=own).orderBy("doc_id").collect()
+    assert [[(f.rule_id, f.severity) for f in r.findings] for r in got] == [[("X-1", "medium"), ("X-2", "low")], []]
+    (tmp_path / "c.json").write_text('[{"id": "X-3", "severity": "bad", "patterns": [{"name": "a", "body": "x"}]}]')
+    with pytest.raises(ValueError):
+        rules.load(tmp_path)
+
+
 def test_mac_programs(spark):
     d = spark.createDataFrame([(0, bytearray.fromhex("cafebabe00")), (1, bytearray(b"plain"))], "doc_id int, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
     got = scan.scan(d).orderBy("doc_id").collect()

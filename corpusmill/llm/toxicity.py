@@ -130,9 +130,14 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 300, rate: float
         d = np.repeat(np.arange(part.start, part.start + len(counts)), counts)
         hs.append(h), ss.append((s + n).astype(np.int32)), ds.append(d[s].astype(np.int32)), doc_of.append(d)
         n += len(d)
+    # this runs in the driver: what is not needed any more is let go at once
     h, s, d, doc = (np.concatenate(x) for x in (hs, ss, ds, doc_of))
+    del hs, ss, ds, doc_of
     distinct, f = np.unique(h, return_inverse=True)
-    pair = np.unique(f.astype(np.int64) * len(y) + d)
+    del h
+    f = f.astype(np.int32)
+    pair = np.unique(f * np.int64(len(y)) + d)
+    del d
     bad = np.bincount(pair // len(y), y[pair % len(y)], minlength=len(distinct))
     good = np.bincount(pair // len(y), minlength=len(distinct)) - bad
     lift = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((good + 0.5) / (len(y) - y.sum() + 1))
@@ -144,6 +149,7 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 300, rate: float
     k = max(1, len(use))
     pair = np.unique(s[on].astype(np.int64) * k + slot[f[on]])
     row, col = pair // k, pair % k
+    del f, s, on, pair
     w, b = np.zeros(k), -4.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html, jaccard, licences, linededup, suffixdedup, surrogates, toxicity
+from . import ann, bpe, clustering, decontaminate, html, jaccard, licences, linededup, neardup, search, suffixdedup, surrogates, toxicity
 from .common import spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -81,15 +81,50 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pstable_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.links(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bisected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_screened_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centres = clustering.clusters(table(spark, sf_dir, "embeddings"))
+    return clustering.described(placed, centres).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def held_out(doc_id: str):
     """The contract's fold that no label is learned from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_main_text, op3_licence_classifier, op4_jaccard_rtree, op5_byte_bpe, op6_adaptive_scan_ann, op7_pii_surrogates, op8_benchmark_contamination, op9_site_line_dedup, op10_toxicity_mil)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_html_main_text, op3_licence_classifier, op4_jaccard_rtree, op5_byte_bpe, op6_adaptive_scan_ann, op7_pii_surrogates, op8_benchmark_contamination,
+    op9_site_line_dedup, op10_toxicity_mil, op11_pstable_near_dedup, op12_bisected_search, op13_screened_clusters,
+)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """A table of vectors by component, and one of centroids for each round."""
+    steps = [f"""WITH x AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda y: CAST(floor(1024 * y) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c FROM x WHERE vec_id IS NOT NULL ORDER BY cluster LIMIT {k})"""]
+    near = "SELECT n, vec_id, v, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (SELECT n, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x, c{i}) GROUP BY n, vec_id, v"
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED ({near.format(i=i)}),
+m{i} AS (SELECT cluster, pos, sum(y) AS s, count(*) AS m FROM (SELECT cluster, unnest(v) AS y, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY ALL),
+n{i} AS (SELECT cluster, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY pos) AS c FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(n{i}.c, o.c) AS c FROM c{i} AS o LEFT JOIN n{i} USING (cluster))""")
+    return ",\n".join(steps) + f""",
+last AS MATERIALIZED ({near.format(i=rounds)})
+SELECT vec_id, l.cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY l.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last AS l JOIN c{rounds} AS c USING (cluster)"""
+
 
 SQL = {
     "op4_jaccard_rtree": f"""
@@ -137,4 +172,24 @@ kept AS (
   FROM line LEFT JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.k = bad.k GROUP BY doc_id)
 SELECT d.doc_id, n_dropped, CASE WHEN text IS NOT NULL THEN CAST(length(kept) AS BIGINT) END AS n_kept_chars, CASE WHEN text IS NOT NULL THEN sha256(kept) END AS kept_sha256
 FROM documents AS d JOIN kept USING (doc_id)""",
+    "op11_pstable_near_dedup": """
+WITH RECURSIVE raw AS (SELECT row_number() OVER () AS n, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+x AS (SELECT * FROM raw WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(v, lambda y: y <> 0)) > 0),
+link AS (SELECT a.n AS a, b.n AS b, a.vec_id AS va, b.vec_id AS vb FROM x AS a JOIN x AS b ON a.n <> b.n AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95),
+reach(a, b, vb) AS (SELECT a, b, vb FROM link UNION SELECT r.a, e.b, e.vb FROM reach AS r JOIN link AS e ON r.b = e.a),
+root AS (SELECT a AS n, min(vb) AS r FROM reach GROUP BY a),
+degree AS (SELECT a AS n, count(*) AS links FROM link GROUP BY a)
+SELECT vec_id, coalesce(links, 0) AS n_links, least(vec_id, coalesce(r, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(r, vec_id)), true) AS kept
+FROM raw LEFT JOIN degree USING (n) LEFT JOIN root USING (n)""",
+    "op12_bisected_search": f"""
+WITH t AS (SELECT row_number() OVER () AS p, doc_id, {_TERMS} AS w FROM documents), d AS (SELECT p, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM t WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+item AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark), ask AS (SELECT DISTINCT q, item_id, u.t AS term FROM item, unnest(w) AS u(t)),
+tf AS (SELECT p, u.t AS term, count(*) AS tf FROM d, unnest(w) AS u(t) WHERE u.t IN (SELECT term FROM ask) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+m AS (SELECT p, doc_id, 100 - 50 + (50 * n * docs) // words AS m FROM d, s),
+score AS (SELECT q, item_id, p, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM ask JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (p) GROUP BY ALL),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 50""",
+    "op13_screened_clusters": _lloyd(8, 10),
 }

@@ -194,23 +194,28 @@ def _searched(d: DataFrame, asked: list, k: int, block: int, cluster: int, out:
     arrays = [T.StructField(n, T.ArrayType(t)) for n, t in (("ids", kind), ("doc", T.IntegerType()), ("term", T.IntegerType()), ("impact", T.LongType()))]
     indexed = written(dealt.mapInPandas(index, T.StructType([T.StructField("cluster", T.LongType()), *arrays])), "index")
 
+    def bound_of(term: np.ndarray, impact: np.ndarray) -> np.ndarray:
+        """The most that any document of a cluster scores, for each query."""
+        most, bound = np.zeros(len(weights), np.int64), np.zeros(len(asked), np.int64)
+        np.maximum.at(most, term, impact)
+        np.add.at(bound, pairs_q, (weights * most)[pairs_t])
+        return bound
+
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The most that any document of a cluster scores for a query, where that is above 0."""
         for b in batches:
             for number, term, impact in zip(b.column(0).to_pylist(), _lists(b.column(1)), _lists(b.column(2)), strict=True):
-                most = np.zeros(len(weights), np.int64)
-                np.maximum.at(most, term, impact)
-                bound = np.zeros(len(asked), np.int64)
-                np.add.at(bound, pairs_q, (weights * most)[pairs_t])
+                bound = bound_of(term, impact)
                 some = np.flatnonzero(bound)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), number), pa.int64()), pa.array(bound[some], pa.int64())], ["query", "cluster", "bound"])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The best documents of a cluster for each query that visits it."""
+    def score(batches: Iterator[pd.DataFrame], start: np.ndarray, end: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The best documents of each cluster for the queries that visit it: those to which its (bound, number) lies behind ``start`` and not behind ``end``."""
         for b in batches:
             rows = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
             for r in b.itertuples(index=False):
-                for query in r.queries:
+                bound = bound_of(r.term, r.impact)
+                behind = lambda x: (bound < x[0]) | (bound == x[0]) & (r.cluster > x[1])  # noqa: E731, B023
+                for query in np.flatnonzero((bound > 0) & behind(start) & ~behind(end)):
                     mine = np.isin(r.term, of_query[query])
                     got = np.zeros(len(r.ids), np.int64)
                     np.add.at(got, np.asarray(r.doc)[mine], weights[r.term[mine]] * r.impact[mine])
@@ -223,22 +228,29 @@ def _searched(d: DataFrame, asked: list, k: int, block: int, cluster: int, out:
             yield pd.DataFrame({"query": np.concatenate(rows[0]), "id": pd.Series(rows[1], dtype=object), "score": np.concatenate(rows[2])})
 
     hit = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("id", kind), T.StructField("score", T.LongType())])
-    open_ = written(indexed.select("cluster", "term", "impact").mapInArrow(bounds, "query int, cluster long, bound long"), "bounds")
-    best, width = None, FIRST
+    bounds_ = written(indexed.select("cluster", "term", "impact").mapInArrow(bounds, "query int, cluster long, bound long"), "bounds")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
     by_bound = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "cluster"))
-    while not open_.isEmpty():
-        visit = written(open_.withColumn("nth", by_bound).filter(F.col("nth") <= width), "visits")
-        queries = visit.groupBy("cluster").agg(F.collect_list("query").alias("queries"))  # the queries of a pass at most
-        hits = indexed.join(queries, "cluster").select("ids", "doc", "term", "impact", "queries").mapInPandas(score, hit)
+    last = F.max_by(F.struct("bound", "cluster"), "nth")
+    best, width = None, FIRST
+    # of each query the last cluster visited, and the score that a cluster has to reach; all queries of a pass fit the driver as they fit a task
+    start, least = np.array([[np.iinfo(np.int64).max] * len(asked), [0] * len(asked)]), np.ones(len(asked), np.int64)
+    while True:
+        state = spark.createDataFrame([(q, int(b), int(c), int(s)) for q, (b, c, s) in enumerate(zip(*start, least, strict=True))], "query int, b long, c long, least long")
+        later = (F.col("bound") < F.col("b")) | (F.col("bound") == F.col("b")) & (F.col("cluster") > F.col("c"))
+        left = bounds_.join(F.broadcast(state), "query").filter(later & (F.col("bound") >= F.col("least")))
+        visits = left.withColumn("nth", by_bound).filter(F.col("nth") <= width).groupBy("query").agg(last.alias("to")).collect()
+        if not visits:
+            break
+        end = start.copy()
+        for r in visits:
+            end[:, r["query"]] = r["to"]
+        hits = indexed.mapInPandas(lambda b, start=start, end=end: score(b, start, end), hit)
         hits = hits if best is None else hits.unionAll(best.select("query", "id", "score"))
         best = written(hits.withColumn("rank", place).filter(F.col("rank") <= k), "best")
-        full = best.filter(F.col("rank") == k).select("query", F.col("score").alias("least"))  # a row a query
-        last = visit.groupBy("query").agg(F.max("nth").alias("seen"), F.min_by(F.struct(F.col("bound").alias("b"), F.col("cluster").alias("c")), F.struct((-F.col("nth")).alias("n"))).alias("to"))
-        left = open_.join(F.broadcast(last), "query").join(F.broadcast(full), "query", "left")
-        later = (F.col("bound") < F.col("to.b")) | (F.col("bound") == F.col("to.b")) & (F.col("cluster") > F.col("to.c"))
-        open_ = written(left.filter(later & (F.col("bound") >= F.coalesce("least", F.lit(1)))).select("query", "cluster", "bound"), "bounds")
-        width *= WIDER
+        for r in best.filter(F.col("rank") == k).collect():  # a row a query
+            least[r["query"]] = r["score"]
+        start, width = end, width * WIDER
     if best is None:
         return spark.createDataFrame([], out)
     return best.join(F.broadcast(names), "query").select(F.col("item").alias(out[0].name), F.col("rank").cast("int").alias("rank"), F.col("id").alias(out[2].name), "score")

@@ -24,16 +24,28 @@ DEDUCTION = {"critical": 30, "high": 15, "medium": 5, "low": 2, "info": 0}
 
 @dataclass(frozen=True)
 class Pattern:
-    """``body`` is a literal, or with ``regex`` a regular expression; ``nocase`` ignores the case of ASCII letters."""
+    """``body`` is a literal, or with ``regex`` a regular expression; ``nocase`` ignores the case of ASCII letters.
+
+    With ``raw`` it is matched against the text's bytes, as one character each.
+    """
 
     name: str
     body: str
     regex: bool = True
     nocase: bool = False
+    raw: bool = False
+
+    def flags(self) -> str:
+        return "(?di)" if self.nocase else "(?d)"
+
+    def body_source(self) -> str:
+        return java(self.body) if self.regex else re.escape(self.body)
 
     def source(self) -> str:
-        body = java(self.body) if self.regex else re.escape(self.body)
-        return ("(?di)" if self.nocase else "(?d)") + body
+        return self.flags() + self.body_source()
+
+    def view(self, text: Column) -> Column:
+        return bytes_of(text) if self.raw else text
 
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.source()))
@@ -58,14 +70,38 @@ class Rule:
 
 #: Shorter plain parts are in every text; of an alternation with more branches no part is looked for.
 _LEAST, _BRANCHES, _SETS = 2, 16, 4
+#: Stands for bytes that are no UTF-8, in a text made valid.
+_BROKEN = "\ufffd"
+
+
+def bytes_of(text: Column) -> Column:
+    """One character for each byte of a text, valid or not."""
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
+def char_at(text: Column, at: Column) -> Column:
+    """The position, from 1, of the character that has the byte at a position from 1."""
+    return F.length(F.substr(text.cast("binary"), F.lit(1), at - 1).cast("string")) + 1
 
 
 def needed(body: str) -> list[set[str]]:
-    """Sets of strings such that every match of a regular expression holds one of each as it stands: the few with the longest strings."""
-    sets = [s for s in _Parts(body).alternatives() if min(map(len, s)) >= _LEAST and len(s) <= _BRANCHES]
+    """Sets of strings such that every match of a regular expression holds one of each as it stands: the few with the longest strings.
+
+    An expression with anything that the walk doesn't know has none, so it is always tried.
+    """
+    try:
+        found = _Parts(body).whole()
+    except _Unknown:
+        return []
+    sets = [s for s in found if min(map(len, s)) >= _LEAST and len(s) <= _BRANCHES]
     return sorted(sets, key=lambda s: (-min(map(len, s)), len(s), sorted(s)))[:_SETS]
 
 
+def beyond_ascii(body: str) -> bool:
+    """Whether an expression is one character, or a class of characters, all of them beyond ASCII."""
+    return re.fullmatch(r"\\x\{[0-9A-F]+\}|\[(?:\\x\{[0-9A-F]+\}-?)+\]", body) is not None and all(int(h, 16) >= 0x80 for h in re.findall(r"\{([0-9A-F]+)\}", body))
+
+
 class Prefilter:
     """Tells in one pass over a text which of the rules' patterns may match: those of whose sets of plain parts it has one each.
 
@@ -80,12 +116,14 @@ class Prefilter:
         self.excuse = [p.name in r.excuses for r, p in patterns]
         for i, (_, p) in enumerate(patterns):
             sets = needed(p.body) if p.regex else [{p.body}]
+            if p.raw and re.search(r"^(?:\\x[0-9A-F]{2})*\\x(?:C[01]|F[5-9A-F])(?:\\x[0-9A-F]{2})*$", p.body):
+                sets = [{_BROKEN}]  # valid UTF-8 has no such byte
             self.full.append((1 << len(sets)) - 1)
-            if not sets and re.fullmatch(r"(\[?\\x\{[0-9A-F]{2,6}\}.*)", p.body) and not re.search(r"x\{[0-7]?[0-9A-F]\}", p.body):
+            if not sets and p.regex and not p.raw and beyond_ascii(p.body):
                 self.wide.append(i)
             for k, s in enumerate(sets):
                 for part in s:
-                    parts.setdefault(part.lower(), []).append((i, 1 << k))
+                    parts.setdefault(part.casefold(), []).append((i, 1 << k))
         self.always = [i for i, full in enumerate(self.full) if not full and i not in self.wide]
         self.automaton = ahocorasick.Automaton()
         for part, uses in parts.items():
@@ -96,7 +134,7 @@ class Prefilter:
     def may_match(self, text: str) -> list[int]:
         have: dict[int, int] = {}
         if len(self.automaton):
-            for _, uses in dict(x for _, x in self.automaton.iter(text.lower())).items():
+            for _, uses in dict(x for _, x in self.automaton.iter(text.casefold())).items():
                 for i, bit in uses:
                     have[i] = have.get(i, 0) | bit
         found = [i for i, bits in have.items() if bits == self.full[i]] + self.always + ([] if text.isascii() else self.wide)
@@ -122,25 +160,45 @@ def candidates(text: Column, rules: list[Rule]) -> Column:
     return run(F.make_valid_utf8(text))  # Arrow takes no other text
 
 
+class _Unknown(Exception):
+    """Something in an expression that the walk doesn't know."""
+
+
 class _Parts:
-    """Walks a regular expression once and keeps what is plain in it."""
+    """Walks a regular expression once and keeps what is plain in it.
+
+    It knows literals, dots, anchors, classes, groups, alternatives, quantifiers and the escapes of classes and punctuation. At
+    anything else, such as flags, look-around, references, quotations, properties, or classes within classes, it gives up.
+    """
 
     def __init__(self, body: str):
         self.body, self.i = body, 0
 
+    def whole(self) -> list[set[str]]:
+        sets = self.alternatives()
+        if self.i < len(self.body):
+            raise _Unknown
+        return sets
+
+    def match(self, pattern: str) -> re.Match | None:
+        m = re.compile(pattern, re.S).match(self.body, self.i)
+        if m:
+            self.i = m.end()
+        return m
+
     def quantifier(self) -> tuple[bool, bool]:
         """Whether the item before may be left out, and whether it may be there more than once."""
-        m = re.compile(r"[?*+]|\{\d*,?\d*\}").match(self.body, self.i)
+        m = self.match(r"(?:[?*+]|\{\d+(?:,\d*)?\})[?+]?")
         if not m:
             return False, False
-        self.i = m.end() + (self.body[m.end() : m.end() + 1] == "?")
-        return m[0][0] in "?*" or m[0].startswith(("{0", "{,")), True
+        if self.match(r"[?*+{]"):
+            raise _Unknown
+        return m[0][0] in "?*" or re.match(r"\{0+[,}]", m[0]) is not None, True
 
     def alternatives(self) -> list[set[str]]:
         """The sets of a group: those of its only branch, or one string of each branch together."""
         branches = [self.sequence()]
-        while self.body[self.i : self.i + 1] == "|":
-            self.i += 1
+        while self.match(r"\|"):
             branches.append(self.sequence())
         if len(branches) == 1:
             return branches[0]
@@ -158,31 +216,23 @@ class _Parts:
             run = ""
 
         while self.i < len(self.body) and self.body[self.i] not in "|)":
-            c = self.body[self.i]
-            self.i += 1
-            if c == "(":
-                if self.body.startswith("?:", self.i):
-                    self.i += 2
+            plain = ""
+            if self.match(r"\((?:\?s?:)?(?!\?)"):
                 inner = self.alternatives()
-                self.i += 1
+                if not self.match(r"\)"):
+                    raise _Unknown
                 optional, _ = self.quantifier()
                 end()
                 sets += [] if optional else inner
                 continue
-            plain = ""
-            if c == "[":
-                self.i = self.body.index("]", self.i + 1) + 1
-            elif c == "\\":
-                nxt = self.body[self.i]
-                self.i += 1
-                if nxt == "x" and self.body[self.i : self.i + 1] == "{":
-                    self.i = self.body.index("}", self.i) + 1
-                elif nxt == "b":
-                    continue  # stands for no character
-                elif not nxt.isalnum():
-                    plain = nxt
-            elif c not in ".^$":
-                plain = c
+            if self.match(r"\\b"):
+                continue  # stands for no character
+            if self.match(r"\[\^?(?:[^][\\&]|\\(?:x\{[0-9A-Fa-f]+\}|x[0-9A-Fa-f]{2}|[wWsSdDtnrf]|[^0-9A-Za-z]))+\]|\\(?:x\{[0-9A-Fa-f]+\}|x[0-9A-Fa-f]{2}|[wWsSdDtnrf])|[.^$]"):
+                pass  # stands for more than itself, or is not looked for
+            elif m := self.match(r"\\([^0-9A-Za-z])|([^][(){}*+?\\|.^$])"):
+                plain = m[1] or m[2]
+            else:
+                raise _Unknown
             optional, many = self.quantifier()
             if not plain or optional:
                 end()
@@ -312,7 +362,7 @@ FIRST_PARTY = UNICODE + INJECTION + DANGEROUS
 def check(rules: list[Rule]) -> list[Rule]:
     """The rules, if each is well formed; a scan must not run with a rule left out."""
     for r in rules:
-        if r.severity not in SEVERITIES or not r.patterns or len({p.name for p in r.patterns}) != len(r.patterns):
+        if r.severity not in SEVERITIES or not (r.patterns or r.when) or len({p.name for p in r.patterns}) != len(r.patterns):
             raise ValueError(f"rule {r.id} is malformed")
     return rules
 

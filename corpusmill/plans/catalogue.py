@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fenced_blocks, lines, mask_code
-from ..operators import changelog, dependencies, lint, manifests, metadata, review, rewrite, runs, sampling, scan
+from ..operators import changelog, dependencies, lint, manifests, metadata, review, rewrite, rule_text, runs, sampling, scan, third_party
 from ..sources import tree
 from . import overlay, rule_sql
 
@@ -89,6 +89,51 @@ def labels_vs_findings(spark, sf_dir):
     return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic", "quality").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n").cast("long").alias("n_findings"))
 
 
+#: Rules as a user writes them, over the documents as they are.
+OWN_RULES = r"""
+rule often { meta: id = "OWN-1" severity = "low"
+    strings: $the = "the" nocase fullword
+    condition: #the > 12 }
+rule begins { meta: id = "OWN-2" severity = "high" category = "obfuscation"
+    strings: $capital = /[A-Z]/  $year = /[12][0-9]{3}/
+    condition: $capital at 0 and @year > 100 }
+rule near_the_top { meta: id = "OWN-3"
+    strings: $ing = "ing"
+    condition: $ing in (40..90) and filesize < 4KB }
+rule pair { meta: id = "OWN-4" severity = "critical"
+    strings: $a = "token"  $b = { 6B 65 79 }  $c = /pass(word|phrase)s?/i
+    condition: 2 of them or (#b + #c) * 2 >= 6 }
+rule quiet { meta: id = "OWN-5" severity = "info"
+    strings: $digit = /[0-9]/  $at = "@"
+    condition: none of them and not filesize > 200 }
+rule deep { meta: id = "OWN-6"
+    strings: $dash = " - "  $colon = ": "
+    condition: for all of them : ( @ > 10 and # < 40 ) }
+"""
+_BEFORE = lambda p: f"regexp_extract(text, '\\A((?s:.*?)){p}', 1)"
+_TIMES = lambda p: f"len(regexp_extract_all(text, '{p}'))"
+_PAIR = f"({_TIMES('token')} > 0)::INT + ({_TIMES('key')} > 0)::INT + ({_TIMES('(?i:pass(?:word|phrase)s?)')} > 0)::INT >= 2"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, 'OWN-1' AS rule_id, 'low' AS severity FROM d WHERE len(list_filter(regexp_split_to_array(text, '[^0-9A-Za-z]+'), lambda w: lower(w) = 'the')) > 12
+UNION ALL SELECT doc_id, 'OWN-2', 'high' FROM d WHERE regexp_matches(text, '\A[A-Z]') AND regexp_matches(text, '[12][0-9]{{3}}') AND strlen({_BEFORE('[12][0-9]{3}')}) > 100
+UNION ALL SELECT doc_id, 'OWN-3', 'medium' FROM d WHERE strlen(text) < 4096 AND len(list_filter(range(2, len(string_split(text, 'ing')) + 1), lambda i: strlen(array_to_string(string_split(text, 'ing')[1:i - 1], 'ing')) BETWEEN 40 AND 90)) > 0
+UNION ALL SELECT doc_id, 'OWN-4', 'critical' FROM d WHERE {_PAIR} OR ({_TIMES('key')} + {_TIMES('(?i:pass(?:word|phrase)s?)')}) * 2 >= 6
+UNION ALL SELECT doc_id, 'OWN-5', 'info' FROM d WHERE NOT regexp_matches(text, '[0-9@]') AND strlen(text) <= 200
+UNION ALL SELECT doc_id, 'OWN-6', 'medium' FROM d WHERE contains(text, ' - ') AND contains(text, ': ') AND strlen({_BEFORE(' - ')}) > 10 AND strlen({_BEFORE(': ')}) > 10 AND {_TIMES(' - ')} < 40 AND {_TIMES(': ')} < 40""")
+def own_rules(spark, sf_dir):
+    found = scan.scan(spread(table(spark, sf_dir, "documents")), rules=rule_text.parse(OWN_RULES)).select("doc_id", F.explode_outer("findings").alias("f"))
+    return found.filter(F.col("f.rule_id").startswith("OWN-")).select("doc_id", "f.rule_id", "f.severity")
+
+
+@query(f"WITH {rule_sql.findings()} SELECT rule_id, severity, category, line, count(*) AS n FROM f WHERE contains(rule_id, '_') GROUP BY ALL")
+def pack_from_text(spark, sf_dir):
+    """The pack of rules, written out as text and read back, over the documents."""
+    found = scan.scan(_documents(spark, sf_dir), rules=rule_text.parse(third_party.pack_text())).select(F.explode_outer("findings").alias("f")).select("f.*")
+    return found.filter(F.col("rule_id").contains("_")).groupBy("rule_id", "severity", "category", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(prose) AS INTEGER) AS n_prose FROM d")
 def prose_only_masking(spark, sf_dir):
     d = _documents(spark, sf_dir)

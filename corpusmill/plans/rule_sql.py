@@ -47,7 +47,8 @@ def rule_row(r: Rule) -> str:
     lead = heads if r.prose_only else f"left(text, {heads})"
     line = f"coalesce(length({lead}) - length(replace({lead}, chr(10), '')) + 1, 1)"
     route = "needs-review" if r.prose_only else "definitive"
-    cond = CONDITIONS[r.id].format(**{p.name: found(p, text) for p in r.patterns}) if r.when else " OR ".join(found(p, text) for p in r.patterns)
+    named = {p.name: found(p, text) for p in r.patterns}
+    cond = CONDITIONS[r.id].format(**named) if r.id in CONDITIONS else " OR ".join(named.values())
     return f"SELECT doc_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, '{r.category}' AS category, CAST({line} AS INTEGER) AS line, '{route}' AS routing FROM d WHERE {cond}"
 
 

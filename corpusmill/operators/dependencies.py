@@ -120,3 +120,28 @@ def enrich(found: DataFrame, manifest: DataFrame, *, key: str = "doc_id") -> Dat
 def without_self(deps: DataFrame, package: str, *, name: str = "name") -> DataFrame:
     """Dependencies other than the package itself."""
     return deps.filter(normal(F.regexp_replace(F.col(name), r"\[.*|[><=!~^].*", "")) != normal(F.lit(package)))
+
+
+def module_of(imports: DataFrame, modules: DataFrame, *, dep: str = "dep", module: str = "module") -> DataFrame:
+    """``imports`` with ``module``: of the Go modules in ``modules`` the longest that is the import's path or holds it; null if none does.
+
+    What stands below a major version (``m/v2``, ``m/v2/sub``) is another module than ``m``; ``m/v2client`` is a package of ``m``. A path is held against
+    its own beginnings, a few for each import, so the join is one of equal keys. Null imports have no module; modules may repeat.
+    """
+    steps = F.split(F.col(dep), "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(F.array_join(F.slice(steps, 1, n), "/").alias("head"), F.get(steps, n).alias("below"), n.alias("length")))
+    paths = imports.select(dep).distinct().filter(F.col(dep).isNotNull()).select(F.col(dep).alias("__dep"), F.explode(heads).alias("h"))
+    inside = paths.filter(~F.coalesce(F.col("h.below").rlike(r"\Av[0-9]+\z"), F.lit(False)))
+    known = modules.select(F.col(module).alias("__module")).distinct()
+    best = inside.join(known, F.col("h.head") == F.col("__module")).groupBy("__dep").agg(F.max_by("__module", "h.length").alias(module))
+    return imports.join(best, imports[dep] == best["__dep"], "left").drop("__dep")
+
+
+def needs_replace(imports: DataFrame, modules: DataFrame, *, key: str = "repo", dep: str = "dep", module: str = "module") -> DataFrame:
+    """(key, module, needs_replace) of ``modules`` (key, module): whether any import of the same key is of the module."""
+    pairs = modules.select(key, module).distinct()
+    found = imports.select(key, dep).join(pairs, key)  # a repository has few modules
+    rest = F.substr(F.col(dep), F.length(module) + 2)
+    inside = (F.col(dep) == F.col(module)) | (F.startswith(F.col(dep), F.concat(F.col(module), F.lit("/"))) & ~rest.rlike(r"\Av[0-9]+(?:/|\z)"))
+    hit = found.filter(inside).select(key, module).distinct().withColumn("__hit", F.lit(True))
+    return pairs.join(hit, [key, module], "left").select(key, module, F.coalesce("__hit", F.lit(False)).alias("needs_replace"))

@@ -8,33 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import fenced_blocks, lines, mask_code
 from ..operators import changelog, dependencies, lint, manifests, metadata, review, rewrite, rule_text, runs, sampling, scan, third_party
 from ..sources import tree
-from . import overlay, rule_sql
+from . import overlay, packages, rule_sql  # noqa: F401  the other modules put down theirs
+from .registry import QUERIES, SQL, query, spread, table  # noqa: F401
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "scan_scores"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Dealt over the cluster's cores only where the input has fewer partitions than those, as a small file has; a large one is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(overlay.documents(spark, sf_dir))
 

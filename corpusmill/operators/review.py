@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -128,4 +129,47 @@ def complete(prompts: DataFrame, client, *, stage: str = "stage", prompt: str =
     return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField(into, T.StringType())]))
 
 
-__all__ = ["verdicts", "json_block", "feedback", "outcome", "all_passed", "Replay", "complete"]
+# What the message of an error has that may go away by itself.
+TRANSIENT = ["connection closed", "timed out", "reset by peer", "broken pipe", "429", "503", "502", "500 Internal", "529", "overloaded"]
+
+
+def transient(error: Exception) -> bool:
+    return isinstance(error, TimeoutError) or any(t in str(error) for t in TRANSIENT)
+
+
+def complete_retrying(prompts: DataFrame, client, *, stage: str = "stage", prompt: str = "prompt", retries: int = 3, delay: float = 1.0, done: DataFrame | None = None) -> DataFrame:
+    """``prompts`` with ``reply``, ``attempts`` and ``error`` of a client that may fail.
+
+    An error that may go away is tried again up to ``retries`` times, ``delay`` seconds later; another one, and the last, is the row's ``error``, without
+    a reply, so one bad prompt fails no job. Every prompt has a ``key`` that follows from stage and prompt alone, which a client with ``complete_once(key, stage,
+    prompt)`` gets too: a task that runs again asks with the same keys. Equal prompts are asked once. ``done`` is what an earlier call returned; what has a reply
+    there is not asked again, and keeps it.
+    """
+    key = F.sha2(F.to_json(F.struct(F.col(stage).alias("s"), F.col(prompt).alias("p"))), 256)
+    d = prompts.withColumn("key", key)
+    asked = d.select("key", F.col(stage).alias("__s"), F.col(prompt).alias("__p")).dropDuplicates(["key"])
+    known = None
+    if done is not None:
+        known = done.filter("reply is not null").select("key", "reply", "attempts", "error").dropDuplicates(["key"])
+        asked = asked.join(known, "key", "left_anti")
+
+    def one(key: str, stage: str, prompt: str) -> tuple[str | None, int, str | None]:
+        ask = (lambda: client.complete_once(key, stage, prompt)) if hasattr(client, "complete_once") else (lambda: client.complete(stage, prompt))
+        for attempt in range(1, retries + 2):
+            try:
+                return ask(), attempt, None
+            except Exception as e:
+                if attempt > retries or not transient(e):
+                    return None, attempt, str(e) or type(e).__name__
+                time.sleep(delay)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *one(k, s, p)) for k, s, p in zip(b["key"], b["__s"], b["__p"], strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "reply", "attempts", "error"])
+
+    replies = asked.mapInPandas(run, "key string, reply string, attempts int, error string")
+    return d.join(replies if known is None else replies.unionAll(known), "key")
+
+
+__all__ = ["verdicts", "json_block", "feedback", "outcome", "all_passed", "Replay", "complete", "complete_retrying", "transient"]

@@ -30,12 +30,35 @@ def csv_line(runs: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The log from CSV. Older files with fewer columns give nulls in the rest, and wider ones lose what is to the right."""
-    return spark.read.csv(path, schema=SCHEMA, header=True, enforceSchema=True, mode="PERMISSIVE")
+    return spark.read.csv(path, schema=SCHEMA, header=True, enforceSchema=True, mode="PERMISSIVE", escape='"')
 
 
 def append(runs: DataFrame, path: str) -> None:
     """Add rows to the log; each job's rows appear at once or not at all."""
-    runs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA]).write.mode("append").option("header", True).option("emptyValue", "").csv(path)
+    runs.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA]).write.mode("append").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """The log from CSV files whose headers are old, wider or broken: each file's first line goes, whatever it says, and its rows are read by place.
+
+    A row with too few fields has nulls in the rest; of one with too many the last are cut off, by commas from the right, so the row of a newer writer
+    in an older file keeps all that the log has. Blank lines are no rows.
+    """
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    first = t.filter("start = 0").groupBy("file").agg(F.min("id").alias("id"))
+    rows = t.join(first, ["file", "id"], "left_anti").filter(F.trim("value") != "")
+    n = len(SCHEMA)
+    extra = F.greatest(F.regexp_count(F.regexp_replace("value", '"[^"]*(?:"|$)', ""), F.lit(",")) + 1 - n, F.lit(0))
+    pieces = F.split("value", ",", -1)
+    kept = F.when(extra > 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - extra, F.lit(1))), ",")).otherwise(F.col("value"))
+    fields = T.StructType([T.StructField(f.name, T.StringType()) for f in SCHEMA])
+    got = rows.select(F.from_csv(kept, fields.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+    return got.select(*[F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name) for f in SCHEMA])
+
+
+def migrate(spark: SparkSession, path: str, into: str) -> None:
+    """A log of any headers written anew under the present one. The rows appear at once or not at all, and the old files stay."""
+    append(read_any(spark, path), into)
 
 
 def iso_time(seconds: Column) -> Column:

@@ -25,6 +25,33 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: Elements of a block of a running fold.
+_BLOCK_SIZE = 256
+
+
+def running(items: Column, start: Column, step, out: str) -> Column:
+    """What ``step(state, item)``, which returns a struct of ``s`` (the next state) and ``o`` (what the item gives), gives for each item in order; ``out`` is the type of ``o``.
+
+    An array that grows in a fold is copied at each step, so the items are folded in blocks, and the blocks in turn.
+    """
+    none = F.array().cast(f"array<{out}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return bound(step(acc["s"], x), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], F.array(r["o"])).alias("o")))
+
+    def block(acc: Column, b: Column) -> Column:
+        done = F.aggregate(b, F.struct(acc["s"].alias("s"), none.alias("o")), one)
+        return bound(done, lambda d: F.struct(d["s"].alias("s"), F.concat(acc["o"], F.array(d["o"])).alias("o")))
+
+    def folded(all_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_) / _BLOCK_SIZE).cast("int") - 1, F.lit(0)))
+        cut = F.transform(blocks, lambda b: F.slice(all_, b * _BLOCK_SIZE + 1, F.lit(_BLOCK_SIZE)))
+        zero = F.struct(start.alias("s"), F.array().cast(f"array<array<{out}>>").alias("o"))
+        return F.aggregate(cut, zero, block, lambda acc: F.flatten(acc["o"]))
+
+    return bound(items, folded)  # once, not once a block
+
+
 def lines(text: Column) -> Column:
     """The lines of a text without their ends: no line behind a final line feed, none for an empty text, no carriage return before a feed."""
     parts = F.split(F.regexp_replace(text, r"\r\n", "\n"), "\n", -1)
@@ -51,15 +78,14 @@ def code_flags(ls: Column) -> Column:
     fence = F.transform(ls, lambda x: F.regexp_extract(x, rf"\A{SPACE}*(`{{3,}}+|~{{3,}}+)", 1))
     bare = F.transform(ls, lambda x: x.rlike(rf"\A{SPACE}*(?:`{{3,}}+|~{{3,}}+){SPACE}*\z"))
     marks = F.zip_with(fence, bare, lambda f, b: F.struct(f.alias("f"), b.alias("b")))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("flags"))
 
-    def step(acc: Column, m: Column) -> Column:
-        opens = (acc["open"] == "") & (m["f"] != "")
-        closes = (acc["open"] != "") & m["b"] & m["f"].startswith(acc["open"])
-        state = F.when(opens, m["f"]).when(closes, F.lit("")).otherwise(acc["open"])
-        return F.struct(state.alias("open"), F.concat(acc["flags"], F.array(state != "")).alias("flags"))
+    def step(open_: Column, m: Column) -> Column:
+        opens = (open_ == "") & (m["f"] != "")
+        closes = (open_ != "") & m["b"] & m["f"].startswith(open_)
+        state = F.when(opens, m["f"]).when(closes, F.lit("")).otherwise(open_)
+        return F.struct(state.alias("s"), (state != "").alias("o"))
 
-    folded = F.aggregate(marks, start, step, lambda acc: acc["flags"])
+    folded = running(marks, F.lit(""), step, "boolean")
     return F.when(F.exists(fence, lambda f: f != ""), folded).otherwise(F.transform(ls, lambda _: F.lit(False)))
 
 
@@ -119,18 +145,22 @@ def frontmatter(text: Column) -> Column:
     """
     head = F.regexp_extract(text, r"(?dms)\A---[^\n]*\n(.*?)(?:^---|\z)", 1)
 
-    def step(acc: Column, line: Column) -> Column:
+    def step(block: Column, line: Column) -> Column:
         key = trim(F.regexp_extract(line, r"\A([^:]*):", 1))
         value = F.regexp_replace(trim(F.regexp_extract(line, r"(?s)\A[^:]*:(.*)\z", 1)), '^"+|"+$', "")
         deep = line.rlike(r"\A[ \t]")
         named = line.contains(":") & (key != "")
-        block = F.when(named & ~deep, F.when(value == "", key).otherwise(F.lit(""))).otherwise(acc["block"])
-        full = F.when(deep & (acc["block"] != ""), F.concat(acc["block"], F.lit("."), key)).otherwise(key)
-        add = F.when(named & (value != ""), F.array(F.struct(full.alias("k"), value.alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
-        return F.struct(block.alias("block"), F.concat(F.filter(acc["kv"], lambda e: (F.size(add) == 0) | (e["k"] != full)), add).alias("kv"))
+        after = F.when(named & ~deep, F.when(value == "", key).otherwise(F.lit(""))).otherwise(block)
+        full = F.when(deep & (block != ""), F.concat(block, F.lit("."), key)).otherwise(key)
+        return F.struct(after.alias("s"), F.when(named & (value != ""), F.struct(full.alias("k"), value.alias("v"))).alias("o"))
+
+    def last(said: Column) -> Column:
+        """Of equal keys the last entry, in the order of these."""
+        numbered = F.filter(F.transform(said, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))), lambda e: e["k"].isNotNull())
+        only = bound(F.array_sort(numbered), lambda s: F.filter(s, lambda e, j: F.coalesce(F.get(s, j + 1)["k"] != e["k"], F.lit(True))))
+        return F.map_from_entries(F.transform(F.array_sort(F.transform(only, lambda e: F.struct(e["i"].alias("i"), e["k"].alias("k"), e["v"].alias("v")))), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"))))
 
-    start = F.struct(F.lit("").alias("block"), F.array().cast("array<struct<k:string,v:string>>").alias("kv"))
-    folded = F.aggregate(lines(head), start, step, lambda acc: F.map_from_entries(acc["kv"]))
+    folded = last(running(lines(head), F.lit(""), step, "struct<k:string,v:string>"))
     return F.when(text.rlike(r"\A---"), folded).otherwise(F.create_map().cast("map<string,string>"))
 
 

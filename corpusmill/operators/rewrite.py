@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, bound, lines, trim, trim_start
+from ..functions.text import SPACE, bound, lines, running, trim, trim_start
 
 # Openings of remarks about the text, behind its last heading.
 TRAILING = [
@@ -40,6 +40,11 @@ def _to(ls: Column, stop: Column) -> Column:
     return F.slice(ls, F.lit(1), F.greatest(stop, F.lit(0)))
 
 
+def _below_block(text: Column, fix) -> Column:
+    """``fix(lines, number of the line that closes the block, or null)``, each worked out once: functions of a line would else look for it at every line."""
+    return bound(lines(text), lambda ls: bound(_dash(ls, 2), lambda b: fix(ls, b)))
+
+
 def create_frontmatter(name: Column, version: Column, ecosystem: Column, licence: Column, generator: Column) -> Column:
     quoted = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return F.concat(
@@ -102,27 +107,26 @@ def strip_duplicate_frontmatter(text: Column) -> Column:
 def strip_meta_text(text: Column) -> Column:
     """Without remarks between the block and the first heading or fence."""
 
-    def fix(ls: Column) -> Column:
-        b = _dash(ls, 2)
+    def fix(ls: Column, b: Column) -> Column:
         start = F.get(F.filter(F.transform(ls, lambda x, i: F.when((i + 1 > b) & trim(x).rlike(r"\A(?:#|```|~~~)"), i + 1)), lambda i: i.isNotNull()), F.lit(0))
         said = F.exists(F.slice(ls, b + 1, F.greatest(start - b - 1, F.lit(0))), lambda x: trim(x) != "")
         return F.when(start.isNotNull() & said, F.concat(F.array_join(_to(ls, b), "\n"), F.lit("\n\n"), F.array_join(_from(ls, start), "\n"), F.lit("\n"))).otherwise(text)
 
-    return bound(lines(text), fix)
+    return _below_block(text, fix)
 
 
 def strip_leaked_metadata(text: Column) -> Column:
     """Without generator lines in the body's prose. Here every line that begins with a fence opens or closes code."""
 
-    def fix(ls: Column) -> Column:
-        b = _dash(ls, 2)
+    def fix(ls: Column, b: Column) -> Column:
         fence = F.transform(ls, lambda x: x.rlike(_FENCE))
-        inside = F.transform(ls, lambda x, i: F.size(F.filter(F.slice(fence, b + 1, F.greatest(i + 1 - b, F.lit(0))), lambda f: f)) % 2 == 1)
+        counted = F.transform(fence, lambda f, i: f & (i >= b))
+        inside = running(counted, F.lit(False), lambda s, f: F.struct((s != f).alias("s"), (s != f).alias("o")), "boolean")
         both = F.zip_with(ls, inside, lambda x, f: F.struct(x.alias("x"), f.alias("f")))
         kept = F.filter(both, lambda s, i: (i < b) | s["f"] | ~F.lower(trim(s["x"])).startswith("generated-by:"))
-        return F.when(b.isNotNull() & (F.size(kept) < F.size(ls)), _joined(F.transform(kept, lambda s: s["x"]), text)).otherwise(text)
+        return bound(kept, lambda k: F.when(b.isNotNull() & (F.size(k) < F.size(ls)), _joined(F.transform(k, lambda s: s["x"]), text)).otherwise(text))
 
-    return F.when(F.lower(text).contains("generated-by:"), bound(lines(text), fix)).otherwise(text)
+    return F.when(F.lower(text).contains("generated-by:"), _below_block(text, fix)).otherwise(text)
 
 
 def strip_trailing_meta_text(text: Column) -> Column:
@@ -145,8 +149,7 @@ def strip_control_comments(text: Column, marker: str) -> Column:
 def strip_body_fence(text: Column) -> Column:
     """Without a Markdown fence around the whole body. Tagged fences within it nest."""
 
-    def fix(ls: Column) -> Column:
-        b = _dash(ls, 2)
+    def fix(ls: Column, b: Column) -> Column:
         first = F.get(F.filter(F.transform(ls, lambda x, i: F.when((i + 1 > b) & (trim(x) != ""), i + 1)), lambda i: i.isNotNull()), F.lit(0))
         wrapped = trim(F.get(ls, first - 1)).isin("```markdown", "```md", "```text")
         start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("close"))
@@ -165,7 +168,7 @@ def strip_body_fence(text: Column) -> Column:
         out = F.concat(F.array_join(F.concat(_to(ls, b), F.array(F.lit("")), _to(inner, close - 1)), "\n"), F.lit("\n"))
         return F.when(b.isNotNull() & F.coalesce(wrapped, F.lit(False)), out).otherwise(text)
 
-    return bound(lines(text), fix)
+    return _below_block(text, fix)
 
 
 def close_fence(text: Column) -> Column:

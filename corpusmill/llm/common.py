@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 
@@ -118,9 +119,8 @@ class SpanHasher:
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-#: A Mersenne prime, and two bases drawn once for the polynomials modulo it.
+#: A Mersenne prime.
 _P = np.uint64((1 << 31) - 1)
-_BASES = (1_246_809_673, 1_933_542_241)
 _MOST = 1 << 24
 
 
@@ -131,8 +131,16 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _P, x - _P, x)
 
 
+def draw_bases() -> tuple[int, int]:
+    """Two bases for polynomials modulo the prime, which nobody can know before: no texts can be made that collide."""
+    return tuple(secrets.randbelow(int(_P) - (1 << 20) - 2) + (1 << 20) for _ in range(2))
+
+
 def _prime_powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(str(base))
+    if have is None and len(_POWERS) > 8:  # those of earlier runs
+        for k in [k for k in _POWERS if k not in ("up", "down")]:
+            del _POWERS[k]
     if have is None or len(have) < n:
         have = np.ones(1, np.uint32)
         while len(have) < max(n, 1 << 16):
@@ -143,12 +151,12 @@ def _prime_powers(base: int, n: int) -> np.ndarray:
 
 
 class PairHasher:
-    """62 bits of hash for any byte spans of one buffer, from two polynomials modulo a prime: no two strings collide for every base."""
+    """62 bits of hash for any byte spans of one buffer, from two polynomials modulo a prime: two strings collide by chance only, if their bases are drawn for the run."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, bases: tuple[int, int]):
         n, x = len(data), data.astype(np.uint64) + np.uint64(1)
         self._parts = []
-        for base in _BASES:
+        for base in bases:
             sums, last = np.zeros(n + 1, np.uint64), np.uint64(0)
             up = _prime_powers(base, n)
             for at in range(0, n, _MOST):

@@ -1,6 +1,7 @@
 """Groups of documents whose sets of word shingles are similar: an n-gram Jaccard join with a count-vector R-tree.
 
-1. Documents with equal sets form a class; its smallest id stands for it from then on.
+1. Documents with the same words form a class, by a cryptographic digest of them, or of the shingles themselves where a set is so small that it links
+   with equal sets only; the class's smallest id stands for it from then on. Shingles are hashed by polynomials whose bases are drawn for each run.
 2. Shingles are hashed to blocks. Two sets of similar size can differ in k shingles at most, so with more than k blocks one block
    at least holds the same shingles in both (or is empty in both, which then holds for so many blocks that
    only documents with many empty blocks need to name them). Documents with an equal block are candidates. No pair is made here: each
@@ -16,6 +17,8 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PairHasher, mix, packs, small_batches, written
+from .common import PairHasher, draw_bases, mix, packs, small_batches, written
 from .components import components
 
 #: Groups of the count vector, points of a leaf and children of a node.
@@ -37,14 +40,14 @@ _SPACE = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
-def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], words: int, bases: tuple[int, int]) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of ``words`` words; a shorter text is one shingle as a whole."""
     raw = [t.encode("utf-8", "surrogatepass").translate(_LOWER) + b" " for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     gap = np.concatenate(([True], _SPACE[data]))
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
-    h = PairHasher(data).spans(start, end)
+    h = PairHasher(data, bases).spans(start, end)
     first = np.searchsorted(start, np.cumsum([0, *map(len, raw)]))
     factor = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
     total = max(0, len(h) - words + 1)
@@ -102,16 +105,20 @@ def block_keys(s: np.ndarray, scheme: list[tuple[int, int, int, int]]) -> tuple[
     return np.concatenate(out), np.concatenate(thin)
 
 
-def _shingled(batch: pd.DataFrame, words: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _shingled(batch: pd.DataFrame, words: int, bases: tuple[int, int]) -> Iterator[tuple[np.ndarray, list[str], list[np.ndarray]]]:
     texts = [t or "" for t in batch["text"]]
     for part in packs([len(t) for t in texts]):
-        yield batch["id"].to_numpy()[part], shingle_sets(texts[part], words)
+        yield batch["id"].to_numpy()[part], texts[part], shingle_sets(texts[part], words, bases)
 
 
-def _set_hash(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of hash of a set, from two sums that do not depend on each other."""
-    sums = np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x3C6EF372FE94F82B)).sum(dtype=np.uint64)])
-    return tuple(mix(sums).astype(np.int64).tolist()) if len(s) else (0, 0)
+def class_digest(text: str, n: int, words: int, alone: int) -> tuple[int, int]:
+    """128 bits of a cryptographic digest: of a text's words in order, or of its set if that has fewer than ``alone`` shingles, so that texts with equal digests have equal sets."""
+    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if n >= alone:
+        said = b" ".join(w)
+    else:
+        said = b"\n".join(sorted({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}))
+    return struct.unpack("<2q", hashlib.blake2b(said, digest_size=16).digest()) if w else (0, 0)
 
 
 def exact_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -209,24 +216,25 @@ def similar_groups(
 
     Words are runs of characters other than space and U+0009 to U+000D, with A-Z lower-cased. Null, empty and blank texts
     have no shingles and are their own group; so is a text with fewer than ``words`` words unless others have the same words. A null id
-    gives a null component and links nothing. Rows that repeat an id are counted each, and linked by the text of one of them. Candidates and
-    classes go by 62-bit hashes of words and 128-bit hashes of sets; links between classes are verified word by word.
+    gives a null component and links nothing. Rows that repeat an id are counted each, and linked by the text of one of them. Candidates
+    go by hashes of words with bases of this run, classes by a digest of the words themselves; links between classes are verified word by word.
     """
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
+    bases, alone = draw_bases(), max(1, -(-num // (den - num)))  # sets below the first interval link with equal sets only
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, sets in _shingled(batch, words):
-                h = [_set_hash(s) for s in sets]
+            for ids, texts, sets in _shingled(batch, words, bases):
+                h = [class_digest(t, len(s), words, alone) for t, s in zip(texts, sets, strict=True)]
                 yield pd.DataFrame({"id": ids, "n": [len(s) for s in sets], "h": [x for x, _ in h], "g": [x for _, x in h]})
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme = intervals(num, den, 1 << 32)
         for batch in batches:
-            for ids, sets in _shingled(batch, words):
+            for ids, _, sets in _shingled(batch, words, bases):
                 got = [block_keys(s, scheme) for s in sets]
                 keys_, thin = (np.concatenate([g[i] for g in got]) for i in (0, 1))
                 yield pd.DataFrame({"key": keys_.astype(np.int64), "id": np.repeat(ids, [len(g) for g, _ in got]), "thin": thin})

@@ -236,6 +236,18 @@ def test_groups_against_brute_force(spark, words, num, size):
     assert got == [(i, n, r) for i, (n, r) in enumerate(zip(*brute_groups(texts, words, num, 100), strict=True))]
 
 
+def test_groups_of_made_collisions_and_turned_sets(spark):
+    """Words made to collide for bases that were once fixed are two; sets too small for blocks meet whatever the order of their words."""
+    made = ["cbaabaaaacaacaaaabaaabaababbbabcbaaa", "aaaaaaabaabcaaabaabcbaaaacaaaaaaaaaa"]
+    turned = ["a b c d a b c d a", "c d a b c d a b", "b c d a b c d a b c"]
+    texts = [*made, *(" ".join(f"{m}{i}" for i in range(12)) for m in made), *turned, "A  b\tc d a b c d a", " ".join("pqrstuvwxyz" * 2), " ".join("pqrstuvwxyz" * 3)]
+    got = sorted(map(tuple, jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()))
+    assert got == [(i, n, r) for i, (n, r) in enumerate(zip(*brute_groups(texts, 4, 85, 100), strict=True))]
+    assert [r for *_, r in got] == [0, 1, 2, 3, 4, 4, 4, 4, 8, 8]
+    assert jaccard.class_digest("a b", 1, 4, 6) != jaccard.class_digest("a c", 1, 4, 6)
+    assert len({jaccard.draw_bases() for _ in range(20)}) == 20
+
+
 def test_groups_of_edge_rows(odd):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.similar_groups(odd).collect())
     assert got == [(-1, 5, None), (1000, 0, 1000), (1001, 0, 1001), (1002, 1, 1002), (1003, 1, 1003), (1003, 1, 1003), (1004, 1, 1004)]

@@ -45,9 +45,9 @@ _NAME = r"\p{Lu}[\p{L}'-]*\p{Ll}"
 #: Type and pattern, in order of precedence where two begin at the same place.
 PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"),
     # the value given to a password or key, if it has a digit
-    ("secret", r"(?<=[=: \"'])(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|api-key) {0,2}[=:] {0,2}[\"']{0,1})(?=[A-Za-z_-]{0,64}[0-9])[0-9A-Za-z_-]{8,128}+(?![0-9A-Za-z_-])"),
+    ("secret", r"(?<=[=: \"'])(?<=(?i:password|passwd|pwd|secret|token|apikey|api_key|api-key) {0,2}[=:] {0,2}[\"']{0,1})(?=[^\s\"'<>,;()\[\]{}0-9]*+[0-9])[^\s\"'<>,;()\[\]{}]{7,}[0-9A-Za-z_!#$%&*+=@^~|-]"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("ipv4", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -116,10 +116,13 @@ def gender_of(given: Column, known: Column) -> Column:
     return F.coalesce(known_gender(given), F.get(F.filter(known, lambda p: p["given"] == given), F.lit(0))["gender"], F.lit("n"))
 
 
-def forms(kind: Column, e: Column) -> Column:
-    """The normal forms that a mention is made of: one, or of a person the family name (given names are not kept distinct)."""
-    family = F.struct(F.lit("family").alias("kind"), F.element_at(untitled(e), -1).alias("form"))
-    return F.when(kind == "name", family).otherwise(F.struct(kind.alias("kind"), normal_form(kind, e).alias("form")))
+def forms(kind: Column, e: Column, known: Column) -> Column:
+    """The normal forms that a mention is made of: one, or of a person the family name and, if it is there, the given name behind its gender."""
+    names = untitled(e)
+    one = lambda k, f: F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), f.alias("form"))
+    family = one("family", F.element_at(names, -1))
+    given = one("given", F.concat(gender_of(names[0], known), F.lit(":"), names[0]))
+    return F.when((kind == "name") & (F.size(names) > 1), F.array(family, given)).when(kind == "name", F.array(family)).otherwise(F.array(one(kind, normal_form(kind, e))))
 
 
 def _stream(key: Column, n: int) -> Column:
@@ -192,28 +195,44 @@ def _family(e: Column, hexa: Column) -> Column:
     return F.when(e.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
+#: Draws of a given name from the lists; later ones are made of syllables, with an ending that tells the gender.
+LISTED = 3
+ENDINGS = {"m": ("us", "ан"), "f": ("ia", "ия"), "n": ("el", "ей")}
+
+
+def _given(form: Column, hexa: Column, attempt: Column) -> Column:
+    """A given name of the same script and gender, and another than the one replaced."""
+    gender, given = F.substring(form, 1, 1), F.substr(form, F.lit(3))
+
+    def of(names: list[str]) -> Column:
+        n = _pick(names, hexa, 0)
+        return F.when(n == given, F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(hexa, F.lit(0)) + 1, F.lit(len(names))) + 1)).otherwise(n)
+
+    def by(script: str, nth: int) -> Column:
+        end = F.when(gender == "m", ENDINGS["m"][nth]).when(gender == "f", ENDINGS["f"][nth]).otherwise(ENDINGS["n"][nth])
+        made = F.initcap(F.concat(*[_pick(SYLLABLES[script], hexa, i) for i in range(3)], end))
+        listed = F.when(gender == "m", of(GIVEN[script, "m"])).when(gender == "f", of(GIVEN[script, "f"])).otherwise(of(GIVEN[script, "n"]))
+        return F.when(attempt < LISTED, listed).otherwise(made)
+
+    return F.when(given.rlike(r"\p{IsCyrillic}"), by("cyrillic", 1)).otherwise(by("latin", 0))
+
+
 def draw(kind: Column, form: Column, key: str, attempt: Column) -> Column:
     """The replacement of a normal form at the given attempt."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"))
     return _bound(
         _stream(seed, 4),
         lambda h: F.when(kind == "email", _email(form, h)).when(kind == "ipv4", _ipv4(h)).when(kind == "card", _card(form, h))
-        .when(kind == "phone", _phone(form, h)).when(kind == "family", _family(form, h))
-        .when((kind == "secret") & form.rlike("^[0-9a-f]+$"), F.substr(h, F.lit(1), F.length(form)))
+        .when(kind == "phone", _phone(form, h)).when(kind == "family", _family(form, h)).when(kind == "given", _given(form, h, attempt))
+        .when((kind == "secret") & form.rlike("^[0-9a-f]+$"), _bound(_stream_as_long(seed, F.length(form)), lambda x: F.substr(x, F.lit(1), F.length(form))))
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), _like(F.substr(form, F.lit(3)), h)))
         .otherwise(_like(form, h)),
     )
 
 
-def draw_given(given: Column, gender: Column, key: str) -> Column:
-    """A given name of the same script and gender, and another than the one replaced."""
-
-    def of(names: list[str], h: Column) -> Column:
-        n = _pick(names, h, 0)
-        return F.when(n == given, F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(h, F.lit(0)) + 1, F.lit(len(names))) + 1)).otherwise(n)
-
-    by = lambda script, h: F.when(gender == "m", of(GIVEN[script, "m"], h)).when(gender == "f", of(GIVEN[script, "f"], h)).otherwise(of(GIVEN[script, "n"], h))
-    return _bound(_stream(F.concat_ws("\x1f", F.lit(key), F.lit("given"), given, gender), 1), lambda h: F.when(given.rlike(r"\p{IsCyrillic}"), by("cyrillic", h)).otherwise(by("latin", h)))
+def _stream_as_long(seed: Column, n: Column) -> Column:
+    """Keyed hex digits, ``n`` or more."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(n / 64).cast("int")), lambda i: F.sha2(F.concat(seed, F.lit("\x1f"), i.cast("string")), 256)), "")
 
 
 def _filled(e: Column, drawn: Column) -> Column:
@@ -228,10 +247,10 @@ def _filled(e: Column, drawn: Column) -> Column:
     return F.array_join(F.transform(F.split(e, ""), one), "")
 
 
-def render(kind: Column, e: Column, drawn: Column, known: Column, key: str) -> Column:
-    """The surrogate in the format of the mention: title, spacing, punctuation and letter case are the mention's."""
-    title, names = F.regexp_extract(e, rf"^{_TITLE}\.? ", 0), untitled(e)
-    given = F.when(F.size(names) > 1, F.concat(draw_given(names[0], gender_of(names[0], known), key), F.lit(" "))).otherwise("")
+def render(kind: Column, e: Column, parts: Column) -> Column:
+    """The surrogate, from the replacements of the mention's forms, in its format: title, spacing, punctuation and letter case are the mention's."""
+    title, drawn = F.regexp_extract(e, rf"^{_TITLE}\.? ", 0), parts[0]
+    given = F.when(F.size(parts) > 1, F.concat(F.get(parts, F.lit(1)), F.lit(" "))).otherwise("")
     cased = F.array_join(F.zip_with(F.split(drawn, ""), F.split(e, ""), lambda d, c: F.when(c.rlike(r"\p{Lu}"), F.upper(d)).otherwise(d)), "")
     return F.when(kind == "name", F.concat(title, given, drawn)).when(kind.isin("email", "secret"), cased).when(kind == "ipv4", drawn).otherwise(_filled(e, drawn))
 
@@ -273,7 +292,8 @@ def replace_private(docs: DataFrame, key: str, *, text: str = "text", into: str
     Null texts give a null text and no entities; texts without entities stay as they are. The same entity has the same
     surrogate wherever and in whatever format it is mentioned, two entities do not share one, and none is an entity of the corpus; only where
     a format has hardly more values than the corpus has entities of it may the last of ``DRAWS`` draws be taken twice.
-    Two persons with one family name share its surrogate. A name is found behind a title, and then wherever else it is in the same text, whole or
+    Two persons with one family name share its surrogate, and those with one given name, of one gender, share that; so persons of two names are told apart. A
+    given name's replacement may be somebody's given name elsewhere. A name is found behind a title, and then wherever else it is in the same text, whole or
     the family name alone. All columns of ``docs`` stay but one called ``into``.
     """
     none = F.array().cast("array<string>")
@@ -285,11 +305,12 @@ def replace_private(docs: DataFrame, key: str, *, text: str = "text", into: str
     more = F.concat(F.lit(ANY + r"|(?<![\p{L}])(?:"), F.array_join(bare, "|"), F.lit(r")(?![\p{L}])"))
     each = each.withColumn("__any", F.when(F.size(titled) > 0, more).when(F.size("__first") > 0, F.lit(ANY)))
     each = each.withColumn("__es", F.when(F.size(titled) > 0, F.regexp_extract_all(F.col(text), F.col("__any"), F.lit(0))).otherwise(F.coalesce("__first", none)))
-    each = each.withColumn("__ks", F.transform("__es", entity_type)).withColumn("__fs", F.zip_with("__ks", "__es", forms))
+    each = each.withColumn("__ks", F.transform("__es", entity_type)).withColumn("__people", people(F.col("__es")))
+    each = each.withColumn("__fs", F.zip_with("__ks", "__es", lambda k, e: forms(k, e, F.col("__people"))))
 
     # a row of each text with entities: equal texts have equal ones
     row = F.sha2(F.col(text), 256)
-    mentions = each.filter(F.size("__es") > 0).select(row.alias("__row"), F.explode(F.array_distinct("__fs")).alias("f")).select("__row", "f.kind", "f.form").distinct()
+    mentions = each.filter(F.size("__es") > 0).select(row.alias("__row"), F.explode(F.array_distinct(F.flatten("__fs"))).alias("f")).select("__row", "f.kind", "f.form").distinct()
     mentions = written(mentions, "mentions")
     fixes = written(collisions(mentions.select("kind", "form").distinct(), key), "fixes")
     fixed = F.lit(None).cast("map<struct<kind:string,form:string>,string>")
@@ -302,9 +323,9 @@ def replace_private(docs: DataFrame, key: str, *, text: str = "text", into: str
         fixed = F.col("__fix")
     else:
         each = each.withColumn("__fix", F.lit(None))
-    drawn = F.transform("__fs", lambda f: F.coalesce(F.element_at(fixed, f), draw(f["kind"], f["form"], key, F.lit(0))))
-    each = each.withColumn("__ds", drawn).withColumn("__people", people(F.col("__es")))
-    made = F.transform(F.arrays_zip("__ks", "__es", "__ds"), lambda m: render(m["__ks"], m["__es"], m["__ds"], F.col("__people"), key))
+    drawn = F.transform("__fs", lambda fs: F.transform(fs, lambda f: F.coalesce(F.element_at(fixed, f), draw(f["kind"], f["form"], key, F.lit(0)))))
+    each = each.withColumn("__ds", drawn)
+    made = F.transform(F.arrays_zip("__ks", "__es", "__ds"), lambda m: render(m["__ks"], m["__es"], m["__ds"]))
     each = each.withColumn("__ss", made)
     pieces = F.split(F.col(text), F.col("__any"), -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("__ss"), lambda p, s: F.array(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))), "")

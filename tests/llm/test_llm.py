@@ -353,6 +353,25 @@ def test_surrogates_of_passwords(spark):
     assert len(p.surrogates[0]) == 18 and p.surrogates[1][2:5:2] == "-_" and p.surrogates[1][0].isupper()
 
 
+def test_surrogates_of_secrets_of_any_length(spark):
+    long, odd_ = "0123456789abcdef" * 40, "S3cret!pass#9"
+    d = spark.createDataFrame([(1, f"hash {long}. password={odd_}, api_key: sk.live.99aa88bb77. token={'x' * 300}7 end")], "doc_id int, text string")
+    p = surrogates.replace_private(d, "k").first().private
+    assert p.entities == [long, odd_, "sk.live.99aa88bb77", "x" * 300 + "7"] and p.kinds == ["secret"] * 4
+    assert [len(s) for s in p.surrogates] == [len(e) for e in p.entities] and p.surrogates[1][6] == "!" and len(set(p.surrogates[0][i : i + 64] for i in range(0, 640, 64))) == 10
+
+
+def test_surrogates_keep_persons_of_one_family_apart(spark):
+    """More given names than the lists have: each keeps a surrogate of its own, in every text."""
+    names = sorted({*surrogates.GIVEN["latin", "m"], *(f"{a}{b}" for a in ("Al", "Be", "Cor", "Dar") for b in ("win", "rik", "tis", "ley"))})
+    d = spark.createDataFrame([(i, f"Mr {n} Smith met Mr {names[i - 1]} Smith") for i, n in enumerate(names)], "doc_id int, text string")
+    seen = {}
+    for r in surrogates.replace_private(d, "k").collect():
+        for e, s in zip(r.private.entities, r.private.surrogates, strict=True):
+            assert seen.setdefault(e, s) == s and s.split()[1] != e.split()[1]
+    assert len(seen) == len(names) == len(set(seen.values())) and len({s.split()[-1] for s in seen.values()}) == 1
+
+
 def test_surrogates_against_python(spark, docs):
     """The texts between the entities stay, entities are those that the pattern finds, and one entity has one surrogate."""
     import regex

@@ -58,11 +58,17 @@ NOISE = re.compile(
 )
 #: Of these, what readers write: it can be longer than the article and hold articles of its own.
 TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?=$|[\s_-])", re.I)
+#: Of these, what an article can be about: within a longer name, in an article, its element is boilerplate only if it doesn't read like prose.
+TOPIC = re.compile(r"(?<=[_-])(?:share|sharing|search\w*|legal|side|foot|tags|alert|notice\w*|social\w*|related|form|skip\w*|header)(?=$|[\s_-])|(?:share|sharing|search\w*|legal|side|foot|tags|alert|notice\w*|social\w*|related|form|skip\w*|header)(?=[_-])", re.I)
+#: Names that nothing but an article inside overrules, however much of the page their element has.
+STRUCTURE = re.compile(r"(?:^|\s)(?:nav|navigation|menu|breadcrumbs?|sidebar|aside|footer|cookies?|consent|newsletter|copyright|contentinfo|complementary)(?=$|\s)", re.I)
 #: A header that is an article's title, not the site's.
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 TITLED = re.compile(r"(?:article|post|entry|story|content|main)[_-]+header(?=$|[\s_-])", re.I)
 #: A noisy name is overruled if the element holds an article with the second share of the page's text, or the first share where no article has the second.
 MOST, ARTICLE = 0.5, 0.25
+#: Prose has so many characters for each one of a link or of punctuation.
+PROSE = 8
 #: The factor of a noisy name that is not.
 NOISY = 0.1
 MAIN = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post\w*|entry\w*|story\w*|body|text|page)(?=$|[\s_-])", re.I)
@@ -84,11 +90,15 @@ class Node:
     prior: float = 1.0
     named: bool = False  # its own name marks boilerplate
     talk: bool = False  # ... that readers write
+    topic: bool = False  # ... or, in an article, what it is about
+    fixed: bool = False  # ... or a part of every page
     noisy: bool = False  # it or an element around it is named and not overruled
     top: bool = False  # in an article or main element
     block: Node | None = None  # the innermost element around it, or itself, that is not inline
     last: int = 0  # the largest number below it
     text: int = 0  # characters of its text but links
+    links: int = 0  # characters of its links
+    marks: int = 0  # its punctuation
     inner: int = 0  # most such characters of an article or main element below it
     main: bool = False  # a main element with text is below it
 
@@ -112,14 +122,15 @@ class Page:
         root = Node(None, "")
         root.block = root
         self.nodes.append(root)
-        self.stack, self.open, self.paths = [root], defaultdict(int), {}
+        # places in the stack of the open elements of each tag, and of those that are not inline
+        self.stack, self.open, self.walls, self.paths = [root], defaultdict(list), [0], {}
         self.parts: list[str] = []
         self.linked = 0
         self.parse()
         self.flush()
         for n in reversed(self.nodes[1:]):
             p, is_top = n.parent, n.tag in ("article", "main")
-            p.last, p.text = max(p.last, n.last), p.text + n.text
+            p.last, p.text, p.links, p.marks = max(p.last, n.last), p.text + n.text, p.links + n.links, p.marks + n.marks
             p.inner = max(p.inner, n.inner, n.text if is_top else 0)
             p.main = p.main or n.main or n.tag == "main" and n.text > 0
 
@@ -174,11 +185,15 @@ class Page:
                 node = self.stack[-1].block
                 self.blocks.append(Block(node, text, min(self.linked, len(text))))
                 node.text += len(text) - self.blocks[-1].link
+                node.links += self.blocks[-1].link
+                node.marks += len(PUNCTUATION.findall(text))
         self.linked = 0
 
     def pop(self) -> Node:
         n = self.stack.pop()
-        self.open[n.tag] -= 1
+        self.open[n.tag].pop()
+        if n.tag not in INLINE:
+            self.walls.pop()
         return n
 
     def close(self, tag: str) -> None:
@@ -186,13 +201,8 @@ class Page:
             return
         if tag not in INLINE:
             self.flush()
-        else:
-            # an inline element can only be closed within its block
-            i = len(self.stack) - 1
-            while self.stack[i].tag in INLINE and self.stack[i].tag != tag:
-                i -= 1
-            if self.stack[i].tag != tag:
-                return
+        elif self.open[tag][-1] < self.walls[-1]:
+            return  # an inline element can only be closed within its block
         while self.pop().tag != tag:
             pass
 
@@ -203,9 +213,7 @@ class Page:
         if tag not in INLINE:
             self.flush()
             if tag not in VOID:
-                i = len(self.stack) - 1
-                while i and self.stack[i].tag in INLINE:
-                    i -= 1
+                i = self.walls[-1]
                 ended = self.stack[i].tag
                 if ended in CLOSES.get(tag, ()) or ended == "p" or ended in HEADING and tag in HEADING:
                     while len(self.stack) > i:
@@ -225,13 +233,17 @@ class Page:
         if tag not in ("article", "main", "body", "html"):
             n.named = tag == "form" or tag == "header" and not p.top and not TITLED.search(name) or bool(name) and bool(NOISE.search(clean))
             n.talk = n.named and bool(TALK.search(name))
+            n.topic = n.named and p.top and not n.talk and not NOISE.search(TOPIC.sub("x", clean))
+            n.fixed = n.named and bool(STRUCTURE.search(name))
         n.prior, n.block, n.path = p.prior, p.block, p.path
         if tag not in INLINE:
             own = 4.0 if tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody" else 2.0 if name and MAIN.search(name) else 1.0
             n.prior, n.block, n.path = max(p.prior, own), n, self.paths.setdefault((p.path, n.label), len(self.paths) + 1)
         self.nodes.append(n)
+        self.open[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.walls.append(len(self.stack))
         self.stack.append(n)
-        self.open[tag] += 1
         return True
 
     def mark(self) -> None:
@@ -239,7 +251,8 @@ class Page:
         total, article = self.nodes[0].text, self.nodes[0].inner
         for n in self.nodes[1:]:
             holds = n.inner >= max(1, ARTICLE * total)
-            spared = holds and n.main if n.talk else holds or n.text > MOST * total and article < ARTICLE * total
+            prose = n.topic and n.marks > 0 and n.text >= PROSE * (n.links + n.marks)
+            spared = holds and n.main if n.talk else holds or prose or not n.fixed and n.text > MOST * total and article < ARTICLE * total
             n.noisy = n.parent.noisy or n.named and not spared
 
 

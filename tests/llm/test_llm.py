@@ -147,6 +147,26 @@ def test_main_text_without_an_article(page):
     assert [b.text for b in html.extract(f"<body>{page}</body>")] == ["Title", *PROSE]
 
 
+def test_main_text_of_articles_about_noisy_words():
+    """Words of longer names are no boilerplate where they read like prose; the same names around links and buttons are."""
+    said = "The price fell again on Monday, as buyers stayed away from the market."
+    for name in ("share-price", "legal-history", "search-results", "notice_board"):
+        page = f"<article><h1>Title</h1><p>{PROSE[0]}</p><div class='{name}'><p>{said}</p></div><p>{PROSE[1]}</p></article>"
+        assert [b.text for b in html.extract(page)] == ["Title", PROSE[0], said, PROSE[1]]
+        page = f"<article><h1>Title</h1><p>{PROSE[0]}</p><p class='{name}'>{said}</p><p>{PROSE[1]}</p></article>"
+        assert said in [b.text for b in html.extract(page)]
+    for extra in ("<div class='share-buttons'><a href=a>Mail</a> <a href=b>Print</a></div>", "<div class='share-bar'>Share</div>", "<div class='newsletter-box'>Our letter, free. Have it.</div>", f"<div class=related>{said}</div>", f"<div class='related-news'><a href=a>{said}</a></div>"):
+        assert [b.text for b in html.extract(f"<article><h1>Title</h1><p>{PROSE[0]}</p>{extra}<p>{PROSE[1]}</p></article>")] == ["Title", *PROSE[:2]]
+
+
+def test_main_text_without_a_long_footer():
+    page = f"<body><p>Two lines. Here.</p><p>They are short, both.</p><div class=footer><p>{PROSE[0]} {PROSE[1]} {PROSE[2]}</p></div></body>"
+    assert [b.text for b in html.extract(page)] == ["Two lines. Here.", "They are short, both."]
+    began = time.time()
+    html.extract("<u><div>" + "<i>" * 20_000 + "</u>" * 20_000)
+    assert time.time() - began < 2
+
+
 def test_main_text_keeps_offsets_and_takes_linear_time():
     page = f"<p>İİİİ and so on, as it is. Yes.</p><SCRIPT>var x = 'İ</p>'</Script ><p>{PROSE[0]}</p><style>İ</STYLE><p>{PROSE[1]}</p>"
     assert [b.text for b in html.extract(page)][1:] == PROSE[:2]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fenced_blocks, lines, mask_code
 from ..operators import changelog, dependencies, lint, manifests, metadata, review, rewrite, rule_text, runs, sampling, scan, third_party
 from ..sources import tree
-from . import overlay, packages, rule_sql, trees  # noqa: F401  the other modules put down theirs
+from . import overlay, packages, rewrites, rule_sql, trees  # noqa: F401  the other modules put down theirs
 from .registry import QUERIES, SQL, query, spread, table  # noqa: F401
 
 FLAGSHIP = "scan_scores"

@@ -113,6 +113,20 @@ def pack_from_text(spark, sf_dir):
     return found.filter(F.col("rule_id").contains("_")).groupBy("rule_id", "severity", "category", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT p_partkey AS doc_id, rule_id FROM (SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'embedded_pe_executable' WHEN 2 THEN 'embedded_macho_binary' WHEN 4 THEN 'embedded_elf_binary' WHEN 5 THEN 'embedded_macho_binary'
+ WHEN 6 THEN CASE WHEN strlen(repeat(p_name, CAST(p_partkey % 9 AS INTEGER))) > 64 THEN 'embedded_shebang_in_binary' END END AS rule_id FROM part) WHERE rule_id IS NOT NULL""")
+def embedded_programs(spark, sf_dir):
+    """Programs within texts that are made of the parts' names, some of them no UTF-8, at the start and further on."""
+    name, raw = F.col("p_name").cast("binary"), lambda h: F.unhex(F.lit(h))
+    kinds = [
+        F.concat(raw("4D5A"), name, raw("50450000")), F.concat(raw("204D5A"), name, raw("50450000")), F.concat(raw("CAFEBABE"), name), F.concat(raw("20CFFAEDFE"), name), F.concat(name, raw("7F454C46"), name), F.concat(raw("CEFAEDFE"), name),
+        F.concat(F.expr("repeat(p_name, cast(p_partkey % 9 AS INT))").cast("binary"), F.lit("#!/bin/sh").cast("binary")),
+    ]
+    text = F.coalesce(*(F.when(F.col("p_size") % 7 == i, k) for i, k in enumerate(kinds))).cast("string")
+    found = scan.scan(spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("doc_id"), text.alias("text")), rules=third_party.THIRD_PARTY).select("doc_id", F.explode_outer("findings").alias("f"))
+    return found.filter(F.col("f.rule_id").startswith("embedded_")).select("doc_id", "f.rule_id")
+
+
 @query(f"WITH {overlay.sql()} SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CAST(length(prose) AS INTEGER) AS n_prose FROM d")
 def prose_only_masking(spark, sf_dir):
     d = _documents(spark, sf_dir)

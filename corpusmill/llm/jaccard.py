@@ -1,7 +1,7 @@
 """Groups of documents whose sets of word shingles are similar: an n-gram Jaccard join with a count-vector R-tree.
 
-1. Documents with the same words form a class, by a cryptographic digest of them, or of the shingles themselves where a set is so small that it links
-   with equal sets only; the class's smallest id stands for it from then on. Shingles are hashed by polynomials whose bases are drawn for each run.
+1. Documents of the same text but for the case of A-Z form a class, by a cryptographic digest of it, or of the shingles themselves where a set is so small
+   that it links with equal sets only; the class's smallest id stands for it from then on. Shingles are hashed by polynomials whose bases are drawn for each run.
 2. Shingles are hashed to blocks. Two sets of similar size can differ in k shingles at most, so with more than k blocks one block
    at least holds the same shingles in both (or is empty in both, which then holds for so many blocks that
    only documents with many empty blocks need to name them). Documents with an equal block are candidates. No pair is made here: each
@@ -112,13 +112,15 @@ def _shingled(batch: pd.DataFrame, words: int, bases: tuple[int, int]) -> Iterat
 
 
 def class_digest(text: str, n: int, words: int, alone: int) -> tuple[int, int]:
-    """128 bits of a cryptographic digest: of a text's words in order, or of its set if that has fewer than ``alone`` shingles, so that texts with equal digests have equal sets."""
-    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if n >= alone:
-        said = b" ".join(w)
-    else:
+    """128 bits of a cryptographic digest: of the lower-cased text, or of its set if that has fewer than ``alone`` shingles, so that texts with equal digests have equal sets.
+
+    Larger equal sets of different texts share all their blocks, and so meet as candidates.
+    """
+    said = text.encode("utf-8", "surrogatepass").translate(_LOWER)
+    if n < alone:
+        w = said.split()
         said = b"\n".join(sorted({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}))
-    return struct.unpack("<2q", hashlib.blake2b(said, digest_size=16).digest()) if w else (0, 0)
+    return struct.unpack("<2q", hashlib.blake2b(said, digest_size=16).digest())
 
 
 def exact_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -217,7 +219,7 @@ def similar_groups(
     Words are runs of characters other than space and U+0009 to U+000D, with A-Z lower-cased. Null, empty and blank texts
     have no shingles and are their own group; so is a text with fewer than ``words`` words unless others have the same words. A null id
     gives a null component and links nothing. Rows that repeat an id are counted each, and linked by the text of one of them. Candidates
-    go by hashes of words with bases of this run, classes by a digest of the words themselves; links between classes are verified word by word.
+    go by hashes of words with bases of this run, classes by a digest of the texts themselves; links between classes are verified word by word.
     """
     spark = docs.sparkSession
     small_batches(spark)

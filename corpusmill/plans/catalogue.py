@@ -96,7 +96,7 @@ _PAIR = f"({_TIMES('token')} > 0)::INT + ({_TIMES('key')} > 0)::INT + ({_TIMES('
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, 'OWN-1' AS rule_id, 'low' AS severity FROM d WHERE len(list_filter(regexp_split_to_array(text, '[^0-9A-Za-z]+'), lambda w: lower(w) = 'the')) > 12
-UNION ALL SELECT doc_id, 'OWN-2', 'high' FROM d WHERE regexp_matches(text, '\A[A-Z]') AND regexp_matches(text, '[12][0-9]{{3}}') AND strlen({_BEFORE('[12][0-9]{3}')}) > 100
+UNION ALL SELECT doc_id, 'OWN-2', 'high' FROM d WHERE regexp_matches(text, '\\A[A-Z]') AND regexp_matches(text, '[12][0-9]{{3}}') AND strlen({_BEFORE('[12][0-9]{3}')}) > 100
 UNION ALL SELECT doc_id, 'OWN-3', 'medium' FROM d WHERE strlen(text) < 4096 AND len(list_filter(range(2, len(string_split(text, 'ing')) + 1), lambda i: strlen(array_to_string(string_split(text, 'ing')[1:i - 1], 'ing')) BETWEEN 40 AND 90)) > 0
 UNION ALL SELECT doc_id, 'OWN-4', 'critical' FROM d WHERE {_PAIR} OR ({_TIMES('key')} + {_TIMES('(?i:pass(?:word|phrase)s?)')}) * 2 >= 6
 UNION ALL SELECT doc_id, 'OWN-5', 'info' FROM d WHERE NOT regexp_matches(text, '[0-9@]') AND strlen(text) <= 200

@@ -1,16 +1,19 @@
 """Licence scans by a trained paragraph classifier, with DataFrame functions on the whole main path.
 
-Paragraphs are lines, and neighbouring lines together where a notice may be wrapped. Their words and word pairs are hashed to features of a multinomial logistic regression, made sparse by
-an L1 penalty and trained on variants of licence notices against a bounded sample of the corpus's own paragraphs. A paragraph
-is unknown unless its best family beats a threshold calibrated on other paragraphs of that sample, and a family counts only
-if comparison with the family's notices confirms it.
+Paragraphs are lines, and neighbouring lines together where a notice may be wrapped. Which of the notices' words and word pairs they have
+are the features of a multinomial logistic regression, made sparse by an L1 penalty and trained on variants of licence notices against every
+paragraph of the corpus: those with the same features are one row with a weight. A paragraph is unknown unless its best family beats a threshold
+calibrated on all of them, and a family counts only if comparison with the family's notices confirms it.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, NGram
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -35,10 +38,8 @@ NOTICES = {
 #: Ways to open a notice, for the variants that are trained on.
 OPENINGS = ["", "this file is", "this work is", "all code in this repository is", "the text below is"]
 FAMILIES = sorted(NOTICES)
-#: Feature buckets; paragraphs of the sample; share of unknown paragraphs that the threshold lets pass; share of a notice's pairs to find.
-BUCKETS, SAMPLE_ROWS, FALSE_RATE, CONFIRM = 8192, 1500, 1e-3, 0.6
-#: Sampled paragraphs longer than this are not used for training.
-SAMPLE_CHARS = 2000
+#: Share of unknown paragraphs that the threshold lets pass, and the steps it is told in; share of a notice's pairs to find; weight of all unknown paragraphs in training, as a multiple of the variants'.
+FALSE_RATE, STEPS, CONFIRM, UNKNOWN_WEIGHT = 1e-3, 10_000, 0.6, 3.0
 
 #: Each notice has one of these words; only lines near one are joined. Words that a notice may have between its first and last line.
 ANCHORS, SPAN = "license licensed permission redistribution unencumbered dedicated dedication unlicense".split(), 60
@@ -46,22 +47,15 @@ ANCHORS, SPAN = "license licensed permission redistribution unencumbered dedicat
 
 def tokens(paragraph: Column) -> Column:
     """Words of a paragraph: runs of letters, digits and full stops between digits, lower-cased."""
-    bare = F.regexp_replace(F.lower(paragraph), r"(?<![0-9])\.|\.(?![0-9])|[^\p{L}\p{N}.]+", " ")
-    return F.filter(F.split(bare, " +"), lambda w: w != "")
-
-
-def pairs(words: Column) -> Column:
-    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-
-
-def buckets(words: Column) -> Column:
-    """The numbers of the features of a paragraph, each once."""
-    return F.array_distinct(F.transform(F.concat(words, pairs(words)), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
+    low = F.lower(paragraph)
+    bare = F.regexp_replace(low, r"(?<![0-9])\.|\.(?![0-9])|[^\p{L}\p{N}.]+", " ")
+    # without a full stop between digits one pass is enough
+    return F.array_remove(F.when(paragraph.rlike(r"[0-9]\.[0-9]"), F.split(bare, " +")).otherwise(F.split(low, r"[^\p{L}\p{N}]+")), "")
 
 
 def paragraphs(docs: DataFrame, text: str) -> DataFrame:
     """(__row, pos, paragraph) of the lines of ``docs`` that are not blank."""
-    return docs.select("__row", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "paragraph")).filter(F.trim("paragraph") != "")
+    return docs.select("__row", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "paragraph")).filter(F.trim("paragraph") != "")
 
 
 def joined(docs: DataFrame, text: str) -> DataFrame:
@@ -93,86 +87,119 @@ def apart(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), F.slice(hits, 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: meet(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-class Model:
-    """Weights of the buckets in use (unknown first, then each family), biases, threshold, and the hashed word pairs of every notice."""
+def worded(lines: DataFrame) -> DataFrame:
+    """``lines`` with the ``words`` of their ``paragraph``, which an explode keeps from being cut apart once for each use."""
+    return lines.withColumn("words", F.explode(F.array(tokens(F.col("paragraph"))))).drop("paragraph")
 
-    def __init__(self, weights: dict[int, list[float]], bias: list[float], notices: list[tuple[str, list[int]]]):
-        self.bias, self.notices, self.threshold, classes = bias, notices, 0.5, len(bias)
-        known = sorted(weights)
-        number = {b: i + 1 for i, b in enumerate(known)}
-        self.place = F.lit([number.get(b, 0) for b in range(BUCKETS)])
-        self.rows = F.lit([w for b in known for w in weights[b]] or [0.0])
-        self.classes = classes
 
-    def probabilities(self, found: Column) -> Column:
-        """Of unknown and each family, for an array of buckets. Only buckets with weights are summed."""
-        n = self.classes
-        on = F.filter(F.transform(found, lambda b: F.get(self.place, b)), lambda p: p > 0)
-        z = F.aggregate(on, F.lit(self.bias), lambda acc, p: F.zip_with(acc, F.slice(self.rows, (p - 1) * n + 1, n), lambda a, w: a + w))
-        e = F.transform(F.array(z), lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))[0]
-        return F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))[0]
+def featured(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``lines`` with a vector column ``features``: which words and word pairs of the vocabulary their ``words`` have."""
+    paired = NGram(n=2, inputCol="words", outputCol="__pairs").transform(lines)
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__grams", outputCol="features", binary=True)
+    return counted.transform(paired.withColumn("__grams", F.concat("words", "__pairs"))).drop("__pairs", "__grams")
 
-    def best_notice(self, words: Column) -> Column:
-        return best_notice(self.notices, words)
 
+def present(features: str = "features") -> Column:
+    """The numbers of the features that a paragraph has."""
+    return F.unwrap_udt(F.col(features))["indices"]
 
-def best_notice(notices: list[tuple[str, list[int]]], words: Column) -> Column:
+
+def best_notice(notices: list[tuple[str, list[int]]], on: Column) -> Column:
     """The notice that shares most of its word pairs with the paragraph: struct of share, size and family."""
-    have = F.transform(pairs(words), lambda g: F.xxhash64(g))
-    one = lambda k, family, v: F.struct((F.size(F.array_intersect(F.lit(k), v)) / len(k)).alias("share"), F.lit(len(k)).alias("size"), F.lit(family).alias("family"))
-    return F.transform(F.array(have), lambda v: F.array_max(F.array(*[one(k, f, v) for f, k in notices])))[0]
+    each = F.array(*[F.struct(F.lit(k).alias("on"), F.lit(f).alias("family")) for f, k in notices])
+    one = lambda k, v: F.struct((F.size(F.array_intersect(k["on"], v)) / F.size(k["on"])).alias("share"), F.size(k["on"]).alias("size"), k["family"].alias("family"))
+    return F.transform(F.array(on), lambda v: F.array_max(F.transform(each, lambda k: one(k, v))))[0]
+
+
+def wordings() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(family, wording) of the notices as they are, and of their variants."""
+    notices = [(f, n) for f in FAMILIES for n in NOTICES[f]]
+    return notices, [(f, f"{o} {n} {c}".strip()) for f, n in notices for o in OPENINGS for c in ("", "see the license file for details")]
 
 
-def train(docs: DataFrame, *, text: str = "text", rows: int = SAMPLE_ROWS, false_rate: float = FALSE_RATE) -> Model:
-    """A model from the notices' variants and at most ``2 * rows`` paragraphs of ``docs``, the first by a hash of their text.
+def vocabulary(spark: SparkSession) -> tuple[list[str], list[tuple[str, list[int]]]]:
+    """The variants' words and word pairs, which are the features whatever the corpus, and for each notice its family and those that are its word pairs."""
+    notices, variants = wordings()
+    cut = lambda said: [(r.family, r.words, [" ".join(x) for x in zip(r.words, r.words[1:])]) for r in worded(spark.createDataFrame(said, "family string, paragraph string")).collect()]
+    grams = sorted({g for _, w, pairs in cut(variants) for g in w + pairs})
+    number = {g: i for i, g in enumerate(grams)}
+    return grams, [(f, sorted({number[g] for g in pairs})) for f, _, pairs in cut(notices)]
 
-    Half of the paragraphs train the unknown class and half calibrate the threshold. Paragraphs that a notice's words would
-    confirm are left out of both, as they would teach licences as unknown.
+
+def prepared(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """(__row, pos, n_lines, features) of every line of ``docs`` and of the runs of lines that may be a notice; written, for training and scan alike.
+
+    ``__row`` is a digest of the text, the same for rows with equal texts.
+    """
+    keyed = docs.select(F.sha2(F.col(text), 256).alias("__row"), F.col(text).alias("t"))
+    lines = worded(paragraphs(keyed, "t")).select("__row", "pos", F.lit(1).alias("n_lines"), "words")
+    grams, _ = vocabulary(docs.sparkSession)
+    return written(featured(lines.unionAll(joined(keyed, "t")), grams).select("__row", "pos", "n_lines", "features"), "paragraphs")
+
+
+@dataclass
+class Model:
+    """The regression (class 0 is unknown, then each family), the features that are each notice's word pairs, and the threshold."""
+
+    notices: list[tuple[str, list[int]]]
+    fitted: LogisticRegressionModel
+    threshold: float = 0.5
+    #: Lines of the corpus that it was trained and calibrated on.
+    lines: int = 0
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with an array ``p``: of unknown and each family, by their ``features``."""
+        return self.fitted.transform(rows).withColumn("p", vector_to_array("probability")).drop("probability")
+
+
+def threshold(scored: DataFrame, rate: float) -> float:
+    """The least multiple of 1 / ``STEPS``, 0.5 at least, that no more than ``rate`` of all rows of ``scored`` (``known``, ``n``) reach."""
+    steps = dict(scored.groupBy(F.floor(F.col("known") * STEPS).alias("step")).agg(F.sum("n")).collect())  # STEPS + 1 rows at the most
+    over, cut = rate * sum(steps.values()), STEPS + 1
+    while cut > STEPS // 2 and steps.get(cut - 1, 0) <= over:
+        cut -= 1
+        over -= steps.get(cut, 0)
+    return cut / STEPS
+
+
+def train(docs: DataFrame, *, text: str = "text", false_rate: float = FALSE_RATE, rows: DataFrame | None = None) -> Model:
+    """A model from the notices' variants and every line of ``docs``, whose threshold follows from every line too. ``rows``: what ``prepared`` gave for them.
+
+    Lines that a notice's words would confirm are left out of both, as they would teach licences as unknown. Each other line
+    counts alike, and all together ``UNKNOWN_WEIGHT`` times as much as the variants, however many they are.
     """
     spark = docs.sparkSession
-    variants = [(float(FAMILIES.index(f) + 1), f"{o} {n} {c}".strip()) for f in FAMILIES for n in NOTICES[f] for o in OPENINGS for c in ("", "see the license file for details")]
-    notices = spark.createDataFrame(variants, "label double, paragraph string")
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("paragraph")).filter((F.length("paragraph") <= SAMPLE_CHARS) & (F.trim("paragraph") != ""))
-    picked = lines.select("paragraph", F.xxhash64("paragraph").alias("h")).groupBy("h").agg(F.min("paragraph").alias("paragraph")).orderBy("h").limit(2 * rows)
-    on = buckets(tokens(F.col("paragraph")))
-    wording = spark.createDataFrame([(f, n) for f in FAMILIES for n in NOTICES[f]], "family string, paragraph string")
-    hashed = F.transform(pairs(tokens(F.col("paragraph"))), lambda g: F.xxhash64(g))
-    known = [(r[0], list(dict.fromkeys(r[1]))) for r in wording.select("family", hashed).collect()]
-    some = picked.filter(best_notice(known, tokens(F.col("paragraph")))["share"] < CONFIRM)
-    some = written(some.select(F.lit(0.0).alias("label"), on.alias("on"), F.pmod("h", F.lit(2)).alias("half")), "unknown")
-    data = notices.select("label", on.alias("on")).unionAll(some.filter("half = 0").select("label", "on"))
-    used = [r[0] for r in notices.select(F.explode(on)).distinct().orderBy("col").collect()]  # bounded by the notices' words
-    narrow = F.transform(F.lit(used), lambda b: F.when(F.array_contains(F.col("on"), b), 1.0).otherwise(0.0))
-    data = written(data.select("label", array_to_vector(narrow).alias("features")).coalesce(1), "training")
-    fitted = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=1.0, maxIter=40, standardization=False).fit(data)
-    matrix = fitted.coefficientMatrix.toArray()
-    weights = {b: [float(w) for w in matrix[:, i]] for i, b in enumerate(used) if abs(matrix[:, i]).max() > 1e-6}
-    model = Model(weights, [float(x) for x in fitted.interceptVector.toArray()], known)
-    unknown = model.probabilities(F.col("on"))[0]
-    cut = some.filter("half = 1").agg(F.percentile(1 - unknown, F.lit(1 - false_rate))).first()[0]
-    model.threshold = max(0.5, cut if cut is not None else 0.5)
+    grams, notices = vocabulary(spark)
+    rows = prepared(docs, text=text) if rows is None else rows
+    # written first, so that notices are compared with each vector once, not with each line
+    kinds = written(rows.filter("n_lines = 1").groupBy("features").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    unknown = written(kinds.filter(best_notice(notices, present())["share"] < CONFIRM), "unknown")
+    total = unknown.agg(F.sum("n")).first()[0] or 0
+    _, variants = wordings()
+    examples = worded(spark.createDataFrame([(float(FAMILIES.index(f) + 1), n) for f, n in variants] + [(0.0, "")], "label double, paragraph string"))
+    weight = F.col("n") * F.lit(UNKNOWN_WEIGHT * len(variants) / max(1, total))
+    data = featured(examples, grams).select("label", F.lit(1.0).alias("weight"), "features").unionAll(unknown.select(F.lit(0.0), weight, "features"))
+    data = written(data.coalesce(spark.sparkContext.defaultParallelism), "training")
+    fitted = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=1.0, maxIter=40, standardization=False, weightCol="weight").fit(data)
+    model = Model(notices, fitted.setRawPredictionCol("").setPredictionCol(""), lines=total)
+    model.threshold = threshold(model.probabilities(unknown).select((1 - F.col("p")[0]).alias("known"), "n"), false_rate)
     return model
 
 
-def scan(docs: DataFrame, model: Model, *, text: str = "text", into: str = "licences") -> DataFrame:
+def scan(docs: DataFrame, model: Model, *, text: str = "text", into: str = "licences", rows: DataFrame | None = None) -> DataFrame:
     """``docs`` with an array column ``into``: a struct of line, family, probability and share for each licence paragraph.
 
     line counts from 1 and is the first one of a notice that is wrapped. Null and blank texts have none. A paragraph counts if its
     best family's probability reaches the model's threshold and a notice of the same family is its best match with ``CONFIRM`` of
     its word pairs or more; a line above the threshold without that is reported as family ``unknown``. Of findings that share a
     line the one with most pairs of its notice stays, then the shortest. All columns of ``docs`` stay but one called ``into``.
+    ``rows``: what ``prepared`` gave for ``docs``.
     """
     numbered = docs.withColumn("__row", F.sha2(F.col(text), 256))  # rows with equal texts have equal findings
-    lines = paragraphs(numbered.select("__row", text), text).select("__row", "pos", F.lit(1).alias("n_lines"), tokens(F.col("paragraph")).alias("words"))
-    scored = lines.unionAll(joined(numbered, text))
-    # one expression decides, so that each paragraph is scored once
-    chosen = F.transform(
-        F.array(model.probabilities(buckets(F.col("words")))),
-        lambda p: F.when(F.array_max(F.slice(p, 2, len(FAMILIES))) >= model.threshold, F.struct(F.array_max(F.slice(p, 2, len(FAMILIES))).alias("best"), p.alias("p"))),
-    )
-    hits = scored.select("__row", "pos", "n_lines", "words", F.explode(chosen).alias("c")).filter("c is not null").select("__row", "pos", "n_lines", "words", "c.best", "c.p")
-    family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(F.slice("p", 2, len(FAMILIES)), F.col("best")).cast("int"))
-    hits = hits.select("__row", "pos", "n_lines", "best", family.alias("family"), model.best_notice(F.col("words")).alias("match"))
+    scored = model.probabilities(prepared(docs, text=text) if rows is None else rows)
+    best, family = F.array_max(F.slice("p", 2, len(FAMILIES))), F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(F.slice("p", 2, len(FAMILIES)), F.col("best")).cast("int"))
+    hits = scored.withColumn("best", best).filter(F.col("best") >= model.threshold)
+    hits = hits.select("__row", "pos", "n_lines", "best", family.alias("family"), best_notice(model.notices, present()).alias("match"))
     agree = (F.col("match")["share"] >= CONFIRM) & (F.col("match")["family"] == F.col("family"))
     one = F.struct((F.col("pos") + 1).alias("line"), F.when(agree, F.col("family")).otherwise("unknown").alias("family"), F.col("best").alias("probability"), F.col("match")["share"].alias("share"))
     order = F.struct((-F.round(F.col("match")["share"] * F.col("match")["size"])).alias("pairs"), F.col("n_lines").alias("length"), (-F.col("pos")).alias("late"))

@@ -539,6 +539,25 @@ def test_wrapped_licences(spark, docs):
     assert got[100] == [(1, "MIT"), (2, "BSD-3-Clause"), (2 + len(textwrap.wrap(bsd, 72)), "Unlicense")]
 
 
+def test_licences_learn_from_every_line(spark):
+    """Longer lines than others, more than a few thousand, and those that are repeated: all are counted, and at most their share is above the threshold."""
+    lines = [f"Line w{i} of the text w{i % 97}." for i in range(4000)] + ["The permission to dance is under the license of joy."] * 400 + ["and so on " * 500] * 5 + ["Released under the MIT License."]
+    d = spark.createDataFrame([(i, "\n".join(lines[i::50])) for i in range(50)] + [(50, None), (51, "")], "doc_id int, text string")
+    model = licences.train(d)
+    assert model.lines == 4405  # all but the notice
+    found = [x.family for r in licences.scan(d, model).collect() for x in r.licences]
+    assert found.count("MIT") == 1 and len(found) - 1 <= licences.FALSE_RATE * 4405
+    none = licences.train(d.limit(0))
+    assert none.lines == 0 and none.threshold == 0.5
+
+
+def test_licence_threshold(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "known double, n long")
+    assert licences.threshold(rows((0.1, 990), (0.70005, 9), (0.90005, 1)), 0.001) == pytest.approx(0.7001)
+    assert licences.threshold(rows((0.1, 990), (0.70005, 9), (0.90005, 1)), 0.01) == 0.5
+    assert licences.threshold(rows((1.0, 10)), 0.001) > 1
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

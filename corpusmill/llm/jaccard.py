@@ -1,7 +1,7 @@
 """Groups of documents whose sets of word shingles are similar: an n-gram Jaccard join with a count-vector R-tree.
 
 1. Documents of the same text but for the case of A-Z form a class, by a cryptographic digest of it, or of the shingles themselves where a set is so small
-   that it links with equal sets only; the class's smallest id stands for it from then on. Shingles are hashed by polynomials whose bases are drawn for each run.
+   that it links with equal sets only; the class's smallest id stands for it from then on. Shingles are hashed from SipHashes of their words, with a key drawn for each run.
 2. Shingles are hashed to blocks. Two sets of similar size can differ in k shingles at most, so with more than k blocks one block
    at least holds the same shingles in both (or is empty in both, which then holds for so many blocks that
    only documents with many empty blocks need to name them). Documents with an equal block are candidates. No pair is made here: each
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PairHasher, draw_bases, mix, packs, small_batches, written
+from .common import draw_bases, mix, packs, small_batches, written
 from .components import components
 
 #: Groups of the count vector, points of a leaf and children of a node.
@@ -36,19 +37,16 @@ MAP_BITS = 1 << 25
 #: A task verifies clusters of at most this many shingles together; a hub meets its documents in parts of a sixteenth of that.
 TASK_SHINGLES = 1_000_000
 
-_SPACE = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
-def shingle_sets(texts: list[str], words: int, bases: tuple[int, int]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], words: int, key: str) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of ``words`` words; a shorter text is one shingle as a whole."""
-    raw = [t.encode("utf-8", "surrogatepass").translate(_LOWER) + b" " for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    gap = np.concatenate(([True], _SPACE[data]))
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
-    h = PairHasher(data, bases).spans(start, end)
-    first = np.searchsorted(start, np.cumsum([0, *map(len, raw)]))
+    cut = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
+    flat = np.empty(sum(map(len, cut)), object)
+    flat[:] = list(itertools.chain.from_iterable(cut))
+    h = pd.util.hash_array(flat, hash_key=key, categorize=False)  # SipHash
+    first = np.cumsum([0, *map(len, cut)])
     factor = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
     total = max(0, len(h) - words + 1)
     rolled = np.zeros(total, np.uint64)
@@ -105,10 +103,10 @@ def block_keys(s: np.ndarray, scheme: list[tuple[int, int, int, int]]) -> tuple[
     return np.concatenate(out), np.concatenate(thin)
 
 
-def _shingled(batch: pd.DataFrame, words: int, bases: tuple[int, int]) -> Iterator[tuple[np.ndarray, list[str], list[np.ndarray]]]:
+def _shingled(batch: pd.DataFrame, words: int, hash_key: str) -> Iterator[tuple[np.ndarray, list[str], list[np.ndarray]]]:
     texts = [t or "" for t in batch["text"]]
     for part in packs([len(t) for t in texts]):
-        yield batch["id"].to_numpy()[part], texts[part], shingle_sets(texts[part], words, bases)
+        yield batch["id"].to_numpy()[part], texts[part], shingle_sets(texts[part], words, hash_key)
 
 
 def class_digest(text: str, n: int, words: int, alone: int) -> tuple[int, int]:
@@ -219,24 +217,24 @@ def similar_groups(
     Words are runs of characters other than space and U+0009 to U+000D, with A-Z lower-cased. Null, empty and blank texts
     have no shingles and are their own group; so is a text with fewer than ``words`` words unless others have the same words. A null id
     gives a null component and links nothing. Rows that repeat an id are counted each, and linked by the text of one of them. Candidates
-    go by hashes of words with bases of this run, classes by a digest of the texts themselves; links between classes are verified word by word.
+    go by hashes of words with a key of this run, classes by a digest of the texts themselves; links between classes are verified word by word.
     """
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    bases, alone = draw_bases(), max(1, -(-num // (den - num)))  # sets below the first interval link with equal sets only
+    hash_key, alone = draw_bases(), max(1, -(-num // (den - num)))  # sets below the first interval link with equal sets only
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, texts, sets in _shingled(batch, words, bases):
+            for ids, texts, sets in _shingled(batch, words, hash_key):
                 h = [class_digest(t, len(s), words, alone) for t, s in zip(texts, sets, strict=True)]
                 yield pd.DataFrame({"id": ids, "n": [len(s) for s in sets], "h": [x for x, _ in h], "g": [x for _, x in h]})
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme = intervals(num, den, 1 << 32)
         for batch in batches:
-            for ids, _, sets in _shingled(batch, words, bases):
+            for ids, _, sets in _shingled(batch, words, hash_key):
                 got = [block_keys(s, scheme) for s in sets]
                 keys_, thin = (np.concatenate([g[i] for g in got]) for i in (0, 1))
                 yield pd.DataFrame({"key": keys_.astype(np.int64), "id": np.repeat(ids, [len(g) for g, _ in got]), "thin": thin})
@@ -247,7 +245,8 @@ def similar_groups(
     rep_of = written(known.join(classes, ["n", "h", "g"]).select("id", "rep", "n").distinct(), "classes")
     reps = rep_of.filter("id = rep").groupBy("rep").agg(F.max("n").alias("n"))
 
-    keyed = d.filter("id is not null").mapInPandas(keys, f"key long, id {kind}, thin int")
+    # copies have the blocks of their class's document
+    keyed = likely(d.filter("id is not null"), reps, "rep").mapInPandas(keys, f"key long, id {kind}, thin int")
     common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     often = Window.partitionBy("id", F.shiftright("thin", 16)).orderBy(F.desc("n"), "key")
     kept = keyed.join(common, "key").withColumn("nth", F.row_number().over(often)).filter(F.col("nth") > F.col("thin").bitwiseAND(0xFFFF)).select("key", "id")

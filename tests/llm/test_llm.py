@@ -224,6 +224,19 @@ def test_strings_that_collide_modulo_powers_of_two(spark):
     assert [len(s) for s in exact] == [6] * 6 + [0, 1, 1, 1] and len(np.unique(np.concatenate(exact))) == 39
 
 
+def test_copies_name_no_blocks(spark, monkeypatch):
+    """Of equal texts one is hashed to blocks, and words are hashed by a keyed function."""
+    passed = []
+    monkeypatch.setattr(jaccard, "likely", lambda d, members, node, f=jaccard.likely: passed.append(f(d, members, node)) or passed[-1])
+    words = [" ".join(f"v{i}w{j}" for j in range(60)) for i in range(3)]
+    d = spark.createDataFrame([(i, words[i % 3]) for i in range(60)] + [(60, words[0] + " more")], "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(d).collect()}
+    assert got == {i: i % 3 for i in range(61)}
+    assert passed[0].count() == 4
+    a, b = (jaccard.shingle_sets(["a b c d e", "A\tb c d e\n", "a b c"], 4, jaccard.draw_bases()) for _ in range(2))
+    assert a[0].tolist() == a[1].tolist() and len(a[0]) == 2 and len(a[2]) == 1 and not set(a[0].tolist()) & set(b[0].tolist())
+
+
 def brute_groups(texts, words, num, den):
     """Component of each text by every pair of sets."""
     sets = []

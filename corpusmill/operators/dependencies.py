@@ -110,10 +110,12 @@ def enrich(found: DataFrame, manifest: DataFrame, *, key: str = "doc_id") -> Dat
     """
     left = found.select(key, "pos", "name", "raw_spec", normal(F.col("name")).alias("__n")).alias("f")
     right = manifest.select(F.col(key).alias("__k"), F.col("pos").alias("__pos"), F.col("name").alias("__name"), F.col("raw_spec").alias("__spec"), normal(F.col("name")).alias("__m"))
-    joined = left.join(right, (F.col(f"f.{key}") == F.col("__k")) & (F.col("__n") == F.col("__m")), "full_outer")
+    same = (F.col(f"f.{key}") == F.col("__k")) & (F.col("__n") == F.col("__m"))
+    # a full outer join holds all pairs of a name at once; these two hold what one row meets
+    joined = left.join(right, same, "left").unionByName(right.join(left, same, "left_anti"), allowMissingColumns=True)
     return joined.select(
-        F.coalesce(f"f.{key}", "__k").alias(key), F.coalesce("f.name", "__name").alias("name"), F.coalesce("f.raw_spec", "__spec").alias("raw_spec"),
-        F.when(F.col("f.name").isNull(), "manifest").otherwise("pattern").alias("source"), F.coalesce(F.col("f.pos"), F.lit(1_000_000) + F.col("__pos")).alias("pos"),
+        F.coalesce(key, "__k").alias(key), F.coalesce("name", "__name").alias("name"), F.coalesce("raw_spec", "__spec").alias("raw_spec"),
+        F.when(F.col("name").isNull(), "manifest").otherwise("pattern").alias("source"), F.coalesce(F.col("pos"), F.lit(1_000_000) + F.col("__pos")).alias("pos"),
     )
 
 

@@ -134,3 +134,16 @@ def test_smart_reading(spark, budget):
     got = sampling.read_smart(d, budget).orderBy("repo", "pos").collect()
     assert [(r.path, r.piece) for r in got if r.repo == "r"] == brute_smart(rows, budget)
     assert [(r.path, r.piece) for r in got if r.repo == "s"] == brute_smart([r for r in rows if r[0] != 0], budget)
+
+
+def test_merge_with_a_manifest_streams_its_pairs(spark):
+    found = [(1, i, "Hot_Pkg", None if i % 2 else f">={i}") for i in range(300)] + [(1, 900, "only.found", None), (2, 901, "hot-pkg", None), (None, 902, "hot-pkg", "x")]
+    listed = [(1, i, "hot.pkg", f"=={i}") for i in range(200)] + [(1, 500, "only-listed", "1"), (3, 501, "hot-pkg", None), (None, 502, "hot-pkg", "y"), (3, 503, None, "z")]
+    side = lambda rows: spark.createDataFrame(rows, "doc_id int, pos int, name string, raw_spec string")
+    merged = dependencies.enrich(side(found), side(listed))
+    pairs = [(1, "Hot_Pkg", s or m, "pattern", i) for k, i, _, s in found[:300] for _, _, _, m in listed[:200]]
+    rest = [(1, "only.found", None, "pattern", 900), (2, "hot-pkg", None, "pattern", 901), (None, "hot-pkg", "x", "pattern", 902)]
+    late = [(1, "only-listed", "1", "manifest", 1_000_500), (3, "hot-pkg", None, "manifest", 1_000_501), (None, "hot-pkg", "y", "manifest", 1_000_502), (3, None, "z", "manifest", 1_000_503)]
+    assert sorted(map(str, merged.toLocalIterator())) == sorted(map(str, (merged.sparkSession.createDataFrame(pairs + rest + late, merged.schema).toLocalIterator())))
+    # a full outer join keeps all pairs of a name in memory before it gives the first
+    assert "FullOuter" not in merged._jdf.queryExecution().optimizedPlan().toString()

@@ -33,6 +33,7 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .rules import SEVERITIES, Pattern, Rule, check
 
 # What threat types are called here.
@@ -439,16 +440,26 @@ def _from(p: Pattern, text: Column, n: Column) -> Column:
 def starts_at(p: Pattern, text: Column, n: Column) -> Column:
     """Whether a match begins at byte ``n``."""
     first = p.view(text).rlike(rf"{p.flags()}\A(?:{p.body_source()})")
-    return F.when(n == 0, first).otherwise(_from(p, text, n).rlike(rf"{p.flags()}\A(?s:.)(?:{p.body_source()})"))
+    return F.when(n == 0, first).when(n > 0, _from(p, text, n).rlike(rf"{p.flags()}\A(?s:.)(?:{p.body_source()})"))
+
+
+def _next_character(text: Column, low: Column, high: Column) -> Column:
+    """The byte ``low``, or if it is within a character the one behind that character, as far as ``high`` goes."""
+    span = F.least(high - low + 1, F.octet_length(text).cast("long")).cast("int")
+    rest = F.decode(F.substr(text.cast("binary"), (low + 1).cast("int"), span), "ISO-8859-1")
+    return F.when(low < F.octet_length(text), low + F.length(F.regexp_extract(rest, r"\A[\x80-\xBF]*+", 0)))
 
 
 def starts_within(p: Pattern, text: Column, low: Column, high: Column) -> Column:
     """Whether a match begins at one of the bytes ``low`` to ``high``."""
-    tail = _from(p, text, low)
-    at = F.regexp_instr(tail, F.lit(rf"{p.flags()}(?!\A)(?:{p.body_source()})"))
-    skipped = F.substr(tail, F.lit(2), at - 2)
-    later = (at > 0) & (low + (F.length(skipped) if p.raw else F.octet_length(skipped)) <= high)
-    return F.when(low == 0, offset(p, text) <= high).otherwise(later)
+
+    def later(low: Column) -> Column:
+        tail = _from(p, text, low)
+        at = F.regexp_instr(tail, F.lit(rf"{p.flags()}(?!\A)(?:{p.body_source()})"))
+        skipped = F.substr(tail, F.lit(2), at - 2)
+        return (at > 0) & (low + (F.length(skipped) if p.raw else F.octet_length(skipped)) <= high)
+
+    return F.when(low <= 0, offset(p, text) <= high).otherwise(later(low) if p.raw else bound(_next_character(text, low, high), later))
 
 
 def render(name: str, meta: dict[str, str], strings: dict[str, Pattern], condition: str) -> str:

@@ -157,3 +157,9 @@ def test_plain_parts_are_in_every_match():
                 held += 1
                 assert may, (body, nocase, text)
     assert held > 5000 and tried > 1000
+
+
+def test_a_range_may_begin_within_a_character(spark):
+    made = rule_text.parse(rule('$a = "b"', "$a in (2..4)") + rule('$a = "b"', "$a in (#a - 3..1)", name="s") + rule('$a = "b"', "$a at #a - 2", name="t"))
+    fired = {r.text: {f.rule_id for f in r.findings} for r in scan.scan(docs(spark, ["aéb", "a😀b", "aé😀b", "aé", "éb", "xb", "b"]), rules=made).collect()}
+    assert fired == {"aéb": {"r"}, "a😀b": set(), "aé😀b": set(), "aé": set(), "éb": {"r"}, "xb": {"s"}, "b": {"s"}}

@@ -75,18 +75,23 @@ def code_flags(ls: Column) -> Column:
     A fence is three or more backticks or tildes behind white space at most. It is closed by as many of the same or more, with
     nothing but white space behind them.
     """
-    fence = F.transform(ls, lambda x: F.regexp_extract(x, rf"\A{SPACE}*(`{{3,}}+|~{{3,}}+)", 1))
-    bare = F.transform(ls, lambda x: x.rlike(rf"\A{SPACE}*(?:`{{3,}}+|~{{3,}}+){SPACE}*\z"))
-    marks = F.zip_with(fence, bare, lambda f, b: F.struct(f.alias("f"), b.alias("b")))
+    marked = lambda x: x.contains("```") | x.contains("~~~")
+    mark = lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, rf"\A{SPACE}*(`{{3,}}+|~{{3,}}+)", 1).alias("f"), x.rlike(rf"\A{SPACE}*(?:`{{3,}}+|~{{3,}}+){SPACE}*\z").alias("b"))
+    fences = F.filter(F.transform(ls, lambda x, i: F.when(marked(x), mark(x, i))), lambda m: m.isNotNull() & (m["f"] != ""))
 
     def step(open_: Column, m: Column) -> Column:
         opens = (open_ == "") & (m["f"] != "")
         closes = (open_ != "") & m["b"] & m["f"].startswith(open_)
         state = F.when(opens, m["f"]).when(closes, F.lit("")).otherwise(open_)
-        return F.struct(state.alias("s"), (state != "").alias("o"))
+        return F.struct(state.alias("s"), F.struct(m["i"].alias("i"), (state != "").alias("o")).alias("o"))
 
-    folded = running(marks, F.lit(""), step, "boolean")
-    return F.when(F.exists(fence, lambda f: f != ""), folded).otherwise(F.transform(ls, lambda _: F.lit(False)))
+    def spread(states: Column) -> Column:
+        """Lines between fences are as the fence before them says."""
+        after = F.transform(states, lambda s, k: F.array_repeat(s["o"], F.coalesce(F.get(states, k + 1)["i"], F.size(ls)) - s["i"]))
+        return F.flatten(F.concat(F.array(F.array_repeat(F.lit(False), F.get(states, F.lit(0))["i"])), after))
+
+    folded = bound(running(fences, F.lit(""), step, "struct<i:int,o:boolean>"), lambda states: F.when(F.size(states) > 0, spread(states)))
+    return F.coalesce(F.when(F.exists(ls, marked), folded), F.transform(ls, lambda _: F.lit(False)))
 
 
 #: The same without the line feed.

@@ -216,3 +216,24 @@ def test_behavioral_semantics(spark, text, found):
 def test_security_errors(spark):
     got = lint.lint(docs(spark, ["rm -rf / now\ncurl x | sh", "fine"])).orderBy("doc_id").select(lint.security_errors(F.col("issues")).alias("x")).collect()
     assert got[0].x.count("\n") == 1 and got[1].x is None
+
+
+def test_lint_lowers_a_line_once_for_all_phrases(spark):
+    plan = lint.lint(docs(spark, ["x"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") < 80  # with one for each phrase and line 120
+
+
+def test_lint_finds_what_few_lines_of_a_text_have(spark):
+    """Lines are looked at only if the text has a part of a phrase; each phrase still counts alone."""
+    plain = ["Some words of prose, told once."] * 3
+    phrases = sorted({*lint.DESTRUCTIVE, *lint.INJECTION, *lint.SYSTEM_PATHS})
+    leaks, talk = lint.PROMPT_LEAKS, lint.META_TEXT
+    made = lint.lint(docs(spark, ["\n".join([*plain, p.upper() if p in lint.INJECTION else p]) for p in [*phrases, *leaks]])).orderBy("doc_id").collect()
+    of = lambda r, category: [i.line for i in r.issues if i.category == category]
+    assert all(4 in of(r, "security") for r in made[: len(phrases)])
+    assert all(4 in of(r, "degeneration") for r in made[len(phrases) :])
+    head = "---\nname: a\n---\n"
+    assert all(None in of(r, "degeneration") for r in lint.lint(docs(spark, [head + p.title() for p in talk])).collect())
+    fences = "a\n```\nb\n````\n~~~\n```\nc\n  ~~~~ \nd\n~~~\n\ne"
+    got = spark.range(1).select(F.lit(fences).alias("t")).select(X.code_flags(X.lines(F.col("t"))).alias("f")).first().f
+    assert got == [False, True, True, False, True, True, True, False, False, True, True, True]

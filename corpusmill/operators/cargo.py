@@ -19,6 +19,8 @@ from .dependencies import RUST_STD, safe_name
 
 _ENTRY = "struct<pos:int,name:string,spec:string,path:boolean,inherits:boolean,version:string,features:array<string>,rest:map<string,string>>"
 _PARSED = f"struct<workspace:boolean,own:array<{_ENTRY}>,shared:array<{_ENTRY}>,top:array<{_ENTRY}>>"
+#: A manifest whose top has a key ``workspace`` has a line that begins with it, perhaps as a header, quoted, or in quotes with escapes.
+_MAY_SHARE = r"""(?m)^[ \t]*\[?[ \t]*(?:["']?workspace|"[^"\n]*\\)"""
 #: Stands for any version.
 ANY = '"*"'
 
@@ -72,7 +74,7 @@ def parsed(text: Column) -> Column:
         rows = [parse(t) or {} for t in texts]
         return pd.DataFrame({k: [r.get(k) for r in rows] for k in ("workspace", "own", "shared", "top")})
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter on a part of it parses once more
 
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:
@@ -84,18 +86,20 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     null path or content, has no rows; of rows that repeat a path one counts.
     """
     d = files.filter(F.regexp_like("path", F.lit("(?:^|/)Cargo\\.toml$")) & F.col("content").isNotNull()).select("repo", "path", "content").dropDuplicates(["repo", "path"])
-    d = d.select("repo", "path", F.regexp_replace("path", "/?Cargo\\.toml$", "").alias("folder"), parsed(F.col("content")).alias("m"))
-    own = d.select("repo", "path", "folder", F.explode("m.own").alias("e")).filter(~F.col("e.path"))
-    # the folders above a manifest, nearest first, meet the workspaces of the repository
-    members = own.filter("e.inherits").select("repo", "folder").distinct()
+    d = d.select("repo", "path", F.regexp_replace("path", "/?Cargo\\.toml$", "").alias("folder"), "content")
+    own = d.select("repo", "path", "folder", F.explode(parsed(F.col("content"))["own"]).alias("e")).filter(~F.col("e.path"))
+    # the folders above a manifest, nearest first, meet the workspaces of the repository; to know the folders takes no parsing
+    members = d.select("repo", "folder").distinct()
     steps = F.split("folder", "/")
     above = F.transform(F.sequence(F.size(steps), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     above = members.select("repo", "folder", F.posexplode(F.array_distinct(above)).alias("up", "at"))
-    spaces = d.filter("m.workspace").select("repo", F.col("folder").alias("at"), F.col("m.shared").alias("shared"))
-    nearest = above.join(spaces.select("repo", "at"), ["repo", "at"]).groupBy("repo", "folder").agg(F.min_by("at", "up").alias("at"))
-    given = nearest.join(spaces, ["repo", "at"]).select("repo", "folder", F.explode("shared").alias("w")).select("repo", "folder", F.col("w.name").alias("name"), "w")
+    spaces = d.filter(F.col("content").rlike(_MAY_SHARE)).select("repo", F.col("folder").alias("at"), parsed(F.col("content")).alias("m"))
+    spaces = spaces.filter("m.workspace").select("repo", "at", F.col("m.shared").alias("shared"))
+    # there are as many workspaces as repositories, and Spark can't tell the size of what is parsed: none of it goes through the driver
+    nearest = above.join(spaces.select("repo", "at").hint("merge"), ["repo", "at"]).groupBy("repo", "folder").agg(F.min_by("at", "up").alias("at"))
+    given = nearest.join(spaces.hint("merge"), ["repo", "at"]).select("repo", "folder", F.explode("shared").alias("w")).select("repo", "folder", F.col("w.name").alias("name"), "w")
     e, w = F.col("e"), F.col("w")
-    joined = own.select("repo", "path", "folder", "e", e["name"].alias("name")).join(given, ["repo", "folder", "name"], "left")
+    joined = own.select("repo", "path", "folder", "e", e["name"].alias("name")).join(given.hint("merge"), ["repo", "folder", "name"], "left")
     keys = lambda m: F.map_filter(m, lambda k, v: k != "features")
     # a bare version of the workspace becomes a table once the member adds to it
     base = F.when(w["version"].isNotNull(), F.create_map(F.lit("version"), w["version"])).otherwise(w["rest"])

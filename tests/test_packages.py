@@ -147,3 +147,17 @@ def test_merge_with_a_manifest_streams_its_pairs(spark):
     assert sorted(map(str, merged.toLocalIterator())) == sorted(map(str, (merged.sparkSession.createDataFrame(pairs + rest + late, merged.schema).toLocalIterator())))
     # a full outer join keeps all pairs of a name in memory before it gives the first
     assert "FullOuter" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workspaces_stay_off_the_driver(spark, tmp_path):
+    member = manifest('x = { workspace = true, optional = true }', "y.workspace = true")
+    roots = ['[workspace.dependencies]\nx = "1"\ny = "2"\n', 'workspace.dependencies.x = "1"\nworkspace.dependencies.y = "2"\n', ' [ "workspace" . dependencies ]\r\nx = "1"\r\ny = "2"\r\n', "a = [\n1\n]\n\t'workspace' = { dependencies = { x = '1', y = '2' } }\n", '["work\\u0073pace".dependencies]\nx = "1"\ny = "2"\n']
+    others = ['[package]\nworkspace = "../.."\n', '[[workspace]]\n[workspace.dependencies]\nx = "3"\n', "[package.workspace]\ndependencies = { x = '4' }\n", 'text = """\n[workspace]\n"""\n']
+    rows = [(f"r{i}", p, t) for i, root in enumerate(roots + others) for p, t in (("Cargo.toml", root), ("a/b/Cargo.toml", member))]
+    files(spark, rows).write.parquet(str(tmp_path / "files"))
+    found = cargo.manifest_dependencies(spark.read.parquet(str(tmp_path / "files")))
+    got = specs(found)
+    assert all(got["r%d" % i, "a/b/Cargo.toml"] == {"x": '{ optional = true, version = "1" }', "y": '"2"'} for i in range(len(roots)))
+    assert all(got["r%d" % (len(roots) + i), "a/b/Cargo.toml"] == {"x": '"*"', "y": '"*"'} for i in range(len(others)))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert [x for x in plan.split("\n") if "Broadcast" in x] == [] and plan.count("ArrowEvalPython [") <= 3
